@@ -13,6 +13,7 @@ from tracehold.functions import otel
 from tracehold.functions.numeric import exact_sum, money, round_half_away
 from tracehold.operators.forest import trace_tree
 from tracehold.operators.median import median_of_counts
+from tracehold.session import cut
 
 
 def in_window(since: dt.datetime, until: dt.datetime, time: str = "time") -> Column:
@@ -35,14 +36,15 @@ def tokens(key: str) -> Column:
 def runs(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions = cv.DEFAULT) -> DataFrame:
     """Runs by outcome for each lane.
 
-    One shuffle counts by (lane, outcome, duration); totals and medians both read that exchange.
+    One pass counts by (lane, outcome, duration) and is written out; totals and medians both read
+    that small table, so the spans are scanned and deduplicated once.
     """
     keys = ["lane", "outcome"]
-    by_value = (run_spans(spans, since, until, lane, labels, c)
+    by_value = cut(run_spans(spans, since, until, lane, labels, c)
                 .select(F.coalesce("lane", F.lit(cv.BY_HAND)).alias("lane"),
                         F.coalesce("outcome", F.lit(cv.NO_OUTCOME)).alias("outcome"), "duration_ms", "cost_usd", "time")
                 .groupBy(*keys, "duration_ms")
-                .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("cost_usd")).alias("cost"), F.max("time").alias("last")))
+                .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("cost_usd")).alias("cost"), F.max("time").alias("last")), "runs")
     totals = by_value.groupBy(*keys).agg(F.sum("n").alias("runs"), F.sum("cost").alias("cost"), F.max("last").alias("last"))
     medians = median_of_counts(by_value, keys, "duration_ms", "n")
     return (totals.join(medians, keys, "left")
