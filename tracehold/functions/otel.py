@@ -18,6 +18,11 @@ from tracehold.schemas import ATTRS, VALUE_FIELDS
 UNIT = "\x1f"  # joins the wanted labels in one text parameter
 
 
+def row(**fields: Column) -> Column:
+    """A struct with fixed field names; unlike aliases they hold inside a lambda too."""
+    return F.named_struct(*[x for n, c in fields.items() for x in (F.lit(n), c)])
+
+
 def otel_str(v: Column) -> Column:
     """Any attribute value as text; arrays and maps as JSON."""
     return F.coalesce(*[v[f] for f in VALUE_FIELDS])
@@ -25,7 +30,7 @@ def otel_str(v: Column) -> Column:
 
 def otel_attrs(l: Column) -> Column:
     """A KeyValue list as ``array<struct<k,v>>``; NULL becomes empty."""
-    pairs = F.transform(l, lambda a: F.struct(a["key"].alias("k"), otel_str(a["value"]).alias("v")))
+    pairs = F.transform(l, lambda a: row(k=a["key"], v=otel_str(a["value"])))
     return F.coalesce(pairs, F.array().cast(ATTRS))
 
 
@@ -100,8 +105,7 @@ def labels_of(resource: Column, prefix: str = cv.LABEL_PREFIX) -> Column:
     n = len(prefix)
     own = F.filter(resource, lambda a: F.startswith(a["k"], F.lit(prefix))
                    & (F.length(a["k"]) > n) & a["v"].isNotNull())
-    pairs = F.transform(own, lambda a: F.struct(F.substring(a["k"], n + 1, 1 << 30).alias("k"),
-                                                a["v"].alias("v")))
+    pairs = F.transform(own, lambda a: row(k=F.substring(a["k"], n + 1, 1 << 30), v=a["v"]))
     first = F.filter(pairs, lambda e, i: F.array_position(pairs.getField("k"), e["k"]) == i + 1)
     return F.map_from_entries(first)
 
@@ -134,8 +138,8 @@ def mask_attrs(l: Column, handles: Sequence[str]) -> Column:
     if not handles:
         return l
     hit = lambda a: (a["k"] == cv.USER_NAME) & a["v"].isin(*handles)
-    return F.transform(l, lambda a: F.struct(
-        a["k"].alias("k"), F.when(hit(a), F.lit(cv.ERASED)).otherwise(a["v"]).alias("v")))
+    return F.transform(l, lambda a: row(
+        k=a["k"], v=F.when(hit(a), F.lit(cv.ERASED)).otherwise(a["v"])))
 
 
 def mask_actor(actor: Column, handles: Sequence[str]) -> Column:

@@ -13,11 +13,11 @@ from tracehold.functions import otel
 from tracehold.functions.numeric import exact_sum, money, round_half_away
 from tracehold.operators.forest import trace_tree
 from tracehold.operators.median import median_of_counts
-from tracehold.session import cut
+from tracehold.session import cut, utc
 
 
 def in_window(since: dt.datetime, until: dt.datetime, time: str = "time") -> Column:
-    return (F.col(time) >= F.lit(since)) & (F.col(time) < F.lit(until))
+    return (F.col(time) >= F.lit(utc(since))) & (F.col(time) < F.lit(utc(until)))
 
 
 def matching(lane: str = "", labels: Sequence[str] = ()) -> Column:

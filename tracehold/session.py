@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -16,6 +17,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def utc(t: dt.datetime) -> dt.datetime:
+    """A time of ours, which carries no zone, as UTC whatever the driver's own zone is."""
+    return t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names, else a local one (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
