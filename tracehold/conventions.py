@@ -66,25 +66,26 @@ OUTCOME_GOOD = ("converged", "completed", "ok", "accepted", "claimed")
 OUTCOME_WARN = ("budget", "stuck", "held", "deduplicated", "aborted")
 OUTCOME_BAD = ("failed", "error", "tamper", "operator_error", "lost", "rejected")
 
-EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-ULID = r"^[0-9A-HJKMNP-TV-Z]{26}$"
-HEX_ID = r"^(0x)?[0-9a-fA-F]{16,}$"
-ITEM_LIKE = r"^(item/\S+|[A-Z][A-Z0-9]+-\d+|\S+/\S+#\d+)$"
-USABLE_NAME = r"^[A-Za-z0-9_.:-]{1,128}$"
-LABEL_KEY = r"^[a-z][a-z0-9_.-]{0,31}$"
-LABEL_VALUE = r"^[A-Za-z0-9._#-][A-Za-z0-9._/#-]{0,63}$"
-WRITER_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
+EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\z"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+ULID = r"^[0-9A-HJKMNP-TV-Z]{26}\z"
+HEX_ID = r"^(0x)?[0-9a-fA-F]{16,}\z"
+ITEM_LIKE = r"^(item/\S+|[A-Z][A-Z0-9]+-\d+|\S+/\S+#\d+)\z"
+USABLE_NAME = r"^[A-Za-z0-9_.:-]{1,128}\z"
+LABEL_KEY = r"^[a-z][a-z0-9_.-]{0,31}\z"
+LABEL_VALUE = r"^[A-Za-z0-9._#-][A-Za-z0-9._/#-]{0,63}\z"
+WRITER_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 BATCH_KEY = (r"^(traces|logs|metrics)/(\d{4})/(\d{2})/(\d{2})/(\d{2})/([a-z0-9][a-z0-9._-]{0,62})/"
-             r"([0-9A-HJKMNP-TV-Z]{26})_([A-Za-z0-9._~-]+-\d+-\d+)\.jsonl\.gz$")
+             r"([0-9A-HJKMNP-TV-Z]{26})_([A-Za-z0-9._~-]+-\d+-\d+)\.jsonl\.gz\z")
 PART_KEY = (r"^compacted/(traces|logs|metrics)/(\d{4})/(\d{2})/(\d{2})/(\d{2})/"
-            r"(part-[1-9]\d{0,8}\.parquet|_manifest-[1-9]\d{0,8}\.json)$")
-INDEX_KEY = r"^index/items/(\d{4})/(\d{2})/(\d{2})\.parquet$"
-DAILY_KEY = r"^rollups/(runs|metrics)/daily/(\d{4})-(\d{2})-(\d{2})\.parquet$"
-MONTHLY_KEY = r"^rollups/(runs|metrics)/monthly/(\d{4})-(\d{2})\.parquet$"
+            r"(part-[1-9]\d{0,8}\.parquet|_manifest-[1-9]\d{0,8}\.json)\z")
+INDEX_KEY = r"^index/items/(\d{4})/(\d{2})/(\d{2})\.parquet\z"
+DAILY_KEY = r"^rollups/(runs|metrics)/daily/(\d{4})-(\d{2})-(\d{2})\.parquet\z"
+MONTHLY_KEY = r"^rollups/(runs|metrics)/monthly/(\d{4})-(\d{2})\.parquet\z"
 REGISTRY_KEY = (r"^registries/([a-z0-9][a-z0-9._-]{0,62})/([a-z0-9][a-z0-9_-]{0,31})/"
-                r"([A-Za-z0-9][A-Za-z0-9._~-]{0,63})/([0-9a-f]{64})\.json$")
+                r"([A-Za-z0-9][A-Za-z0-9._~-]{0,63})/([0-9a-f]{64})\.json\z")
 
+# Patterns end with \z, the end of the text; $ would also match before a last newline.
 ERASED = "(erased)"
 BY_HAND = "(by hand)"
 NO_OUTCOME = "(none)"

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tracehold import conventions as cv
 
 
+def bare(pattern: str) -> str:
+    """A whole-text pattern without its anchors, for ``re.fullmatch``."""
+    return pattern.removeprefix("^").removesuffix(r"\z")
+
+
 def outcome_class(o: Column) -> Column:
     return (F.when(o.isin(*cv.OUTCOME_GOOD), "good").when(o.isin(*cv.OUTCOME_WARN), "warn")
             .when(o.isin(*cv.OUTCOME_BAD), "bad").otherwise("none"))
@@ -79,9 +84,9 @@ def check_label(label: str) -> None:
     key, colon, value = label.partition(":")
     if not colon:
         raise ValueError(f"label {label!r}: write it key:value")
-    if not re.fullmatch(cv.LABEL_KEY[1:-1], key):
+    if not re.fullmatch(bare(cv.LABEL_KEY), key):
         raise ValueError(f"label {label!r}: a key starts with a-z and holds up to 32 of a-z, 0-9, _ . -")
-    if not re.fullmatch(cv.LABEL_VALUE[1:-1], value):
+    if not re.fullmatch(bare(cv.LABEL_VALUE), value):
         raise ValueError(f"label {label!r}: a value is 1 to 64 of A-Z, a-z, 0-9, . _ / # - and has no leading /")
 
 

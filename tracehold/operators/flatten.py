@@ -154,35 +154,37 @@ def metric_points(raw: DataFrame, **options) -> DataFrame:
     return one_per_record(flatten_points(raw, **options))
 
 
-RECORD_COLUMNS = ("time", "kind", "service", "name", "lane", "item", "outcome", "status", "duration_ms",
-                  "value", "body", "trace_id", "span_id", "writer")
-
-
 def records(spans_raw: DataFrame | None, logs_raw: DataFrame | None, points_raw: DataFrame | None,
-            writer: str = "file") -> DataFrame:
+            keep: Sequence[str] = (), writer: str = "file") -> DataFrame:
     """Spans, events, logs and points as one row type, for following what arrives. Copies are kept:
-    a follower shows each line once. The inputs are raw frames; any may be None."""
+    a follower shows each line once. The inputs are raw frames; any may be None.
+
+    Where the frames carry ``class, _lane, _item`` (``governance.with_manifest``), a run's lane and item
+    are what its manifest says.
+    """
     null = lambda t: F.lit(None).cast(t)
+    trusted = "_lane" in keep
+
+    def trust(column: str, from_manifest: str) -> Column:
+        return F.when(F.col("class") == "run", F.col(from_manifest)).otherwise(F.col(column)) if trusted else F.col(column)
+
+    def one(f: DataFrame, kind: Column, name: Column, **own: Column) -> DataFrame:
+        cols = {"status": null("string"), "duration_ms": null("double"), "value": null("double"), "body": null("string"),
+                "trace_id": null("string"), "span_id": null("string"), **own}
+        return f.select("time", kind.alias("kind"), "service", name.alias("name"), trust("lane", "_lane").alias("lane"),
+                        trust("item_key", "_item").alias("item"), "outcome", *[c.alias(n) for n, c in cols.items()],
+                        F.col(writer).alias("writer"))
     frames = []
-    c = cv.Conventions(promoted={k: v for k, v in cv.PROMOTED.items()})
     if spans_raw is not None:
-        f = flatten_spans(spans_raw, c=c)
-        frames.append(f.select("time", F.lit("span").alias("kind"), "service", "name", "lane", F.col("item_key").alias("item"),
-                               "outcome", F.nullif("status", F.lit("unset")).alias("status"), "duration_ms", null("double").alias("value"),
-                               null("string").alias("body"), "trace_id", "span_id", F.col(writer).alias("writer")))
+        frames.append(one(flatten_spans(spans_raw, keep=keep), F.lit("span"), F.col("name"), trace_id=F.col("trace_id"), span_id=F.col("span_id"),
+                          status=F.nullif("status", F.lit("unset")), duration_ms=F.col("duration_ms")))
     if logs_raw is not None:
-        f = flatten_logs(logs_raw, c=c, keep=()).withColumn("own", F.col("event").isNotNull())
-        frames.append(f.select("time", F.when(F.col("own"), "event").otherwise("log").alias("kind"), "service",
-                               F.when(F.col("own"), F.col("event")).otherwise(F.col("severity")).alias("name"), "lane",
-                               F.col("item_key").alias("item"), "outcome", null("string").alias("status"),
-                               null("double").alias("duration_ms"), null("double").alias("value"), "body", "trace_id",
-                               F.when(F.col("trace_id").isNotNull(), F.col("span_id")).alias("span_id"), F.col(writer).alias("writer")))
+        named = F.col("event").isNotNull()
+        frames.append(one(flatten_logs(logs_raw, keep=keep), F.when(named, "event").otherwise("log"),
+                          F.when(named, F.col("event")).otherwise(F.col("severity")), body=F.col("body"), trace_id=F.col("trace_id"),
+                          span_id=F.when(F.col("trace_id").isNotNull(), F.col("span_id"))))
     if points_raw is not None:
-        f = flatten_points(points_raw, c=c)
-        frames.append(f.select("time", F.lit("metric").alias("kind"), "service", "name", "lane", F.col("item_key").alias("item"),
-                               "outcome", null("string").alias("status"), null("double").alias("duration_ms"),
-                               F.coalesce("value", F.lit(0.0)).alias("value"), null("string").alias("body"),
-                               null("string").alias("trace_id"), null("string").alias("span_id"), F.col(writer).alias("writer")))
+        frames.append(one(flatten_points(points_raw, keep=keep), F.lit("metric"), F.col("name"), value=F.coalesce("value", F.lit(0.0))))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -9,8 +9,8 @@ from tracehold import conventions as cv
 from tracehold.functions.text import source_name
 from tracehold.sources.batches import clean_line, line_signal, line_status
 
-_NAMED = r"^(services|runs)/([A-Za-z0-9][A-Za-z0-9._-]{0,127})/[^/]+\.jsonl$"
-_PLAIN = r"^(factory|local)/[^/]+\.jsonl$"
+_NAMED = r"^(services|runs)/([A-Za-z0-9][A-Za-z0-9._-]{0,127})/[^/]+\.jsonl\z"
+_PLAIN = r"^(factory|local)/[^/]+\.jsonl\z"
 
 
 def writer(rel: Column) -> Column:
@@ -29,7 +29,7 @@ def is_open(path: Column) -> Column:
 
 
 def read_spool(spark: SparkSession, root: str, streaming: bool = False, max_line: int = cv.MAX_LINE_BYTES,
-               max_bytes_per_trigger: str | None = None) -> DataFrame:
+               max_bytes_per_trigger: int | None = None) -> DataFrame:
     """``line, file, rel, class, name, writer, source, bytes, status, signal`` of the closed files' lines."""
     reader = spark.readStream if streaming else spark.read
     reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option(
