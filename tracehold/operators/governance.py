@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracehold import conventions as cv
 from tracehold.functions.otel import row
 from tracehold.functions.text import account_hash, bare, clean_home, is_email, under_home, usable_name
+from tracehold.operators.prefix import running_total
 from tracehold.schemas import full
 
 DEPTH = 2
@@ -349,15 +350,10 @@ def within_budget(lines: DataFrame, budgets: DataFrame, run: str = "run", file:
                   size: str = "bytes", default: int = cv.DEFAULT_RUN_BUDGET) -> DataFrame:
     """Lines with ``kept`` and ``over_budget``: a run is read in file order until its bytes no longer fit.
 
-    A running total in two levels: over the files of a run, which are few, then over the lines of one
-    file. A run with a third of all lines is spread over its files.
+    The running total is spread over the cluster by run, file and offset, so a run with a third of all
+    lines is many tasks' work.
     """
-    files = lines.groupBy(run, file).agg(F.sum(size).alias("_file"))
-    w = Window.partitionBy(run).orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    before = files.withColumn("_before", F.coalesce(F.sum("_file").over(w), F.lit(0)))
-    total = before.groupBy(run).agg(F.sum("_file").alias("_total"))
-    limits = total.join(budgets.select(run, "budget"), run, "left").select(
-        run, F.coalesce("budget", F.lit(default)).alias("budget"), (F.col("_total") > F.coalesce("budget", F.lit(default))).alias("over_budget"))
-    inside = Window.partitionBy(run, file).orderBy(offset).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (lines.withColumn("_upto", F.sum(size).over(inside)).join(before.select(run, file, "_before"), [run, file])
-            .join(limits, run).withColumn("kept", F.col("_before") + F.col("_upto") <= F.col("budget")).drop("_upto", "_before", "budget"))
+    upto = running_total(lines, [run], [file, offset], size, "_upto", "_total")
+    limit = F.coalesce("budget", F.lit(default))
+    return (upto.join(budgets.select(run, "budget"), run, "left").withColumn("kept", F.col("_upto") <= limit)
+            .withColumn("over_budget", F.col("_total") > limit).drop("_upto", "_total", "budget"))

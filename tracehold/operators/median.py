@@ -4,7 +4,7 @@
 counted by value, which combines before the shuffle; both later steps read that one exchange. The
 counts are then bucketed by a monotone function of the value, which is a histogram of bounded size;
 a running total over it names the bucket the middle ranks fall in; and only the values inside that
-bucket, a 1/6000 slice of the value's own size, are ranked. No buffer holds a group, and no value is
+bucket, a slice of a few millionths of the value's own size, are ranked. No buffer holds a group, and no value is
 sampled or approximated.
 """
 
@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_DOUBLING = 4096
+BUCKETS_PER_DOUBLING = 1 << 18
 
 
 def _bucket(v: Column) -> Column:
-    """Order-preserving: values in one bucket differ by less than one part in 5,900."""
+    """Order-preserving: values in one bucket differ by less than three millionths."""
     size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_DOUBLING).cast("bigint") + F.lit(1100 * BUCKETS_PER_DOUBLING)
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
 

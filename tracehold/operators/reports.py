@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tracehold import conventions as cv
 from tracehold.functions.numeric import exact_sum, round_half_away
-from tracehold.session import utc
+from tracehold.operators.prefix import running_total
+from tracehold.session import cut, utc
 from tracehold.sources.keys import key_span
+from tracehold.sources.spool import is_open
 
 
 def lane_summary(runs: DataFrame) -> DataFrame:
@@ -85,17 +87,6 @@ def evidence(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: i
 
 
 # --- retention ------------------------------------------------------------------------------------
-def running_total(units: DataFrame, order: str, size: str, bucket: Column) -> DataFrame:
-    """``_upto``: bytes of this unit and those before it, in two levels so no task sees all units."""
-    rows = units.withColumn("_bucket", bucket)
-    buckets = rows.groupBy("_bucket").agg(F.sum(size).alias("_bytes"))
-    before = buckets.withColumn("_before", F.coalesce(F.sum("_bytes").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_before")
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (rows.withColumn("_in", F.sum(size).over(w)).join(before, "_bucket")
-            .withColumn("_upto", F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before"))
-
-
 def retention_plan(listing: DataFrame, now: dt.datetime, records: dt.timedelta | None = dt.timedelta(days=7),
                    rollups: dt.timedelta | None = dt.timedelta(days=396), max_bytes: int = 1 << 30) -> DataFrame:
     """``key, size, reason`` of what to delete from ``key, size``.
@@ -105,7 +96,8 @@ def retention_plan(listing: DataFrame, now: dt.datetime, records: dt.timedelta |
     """
     s = listing.withColumn("_s", key_span(F.col("key"))).filter("_s IS NOT NULL").select(
         "key", "size", F.col("_s.start").alias("_from"), F.col("_s.end").alias("_to"), F.col("_s.rollup").alias("_rollup"))
-    return plan_by_span(s, now, records, rollups, max_bytes)
+    # The plan looks at the spans three times; the keys are parsed once.
+    return plan_by_span(cut(s, "spans"), now, records, rollups, max_bytes)
 
 
 def plan_by_span(s: DataFrame, now: dt.datetime, records: dt.timedelta | None, rollups: dt.timedelta | None, max_bytes: int) -> DataFrame:
@@ -118,8 +110,8 @@ def plan_by_span(s: DataFrame, now: dt.datetime, records: dt.timedelta | None, r
     if max_bytes <= 0:
         return by_age
     units = left.groupBy("_from").agg(F.sum("size").alias("_unit"))
-    newest = units.withColumn("_age", -F.unix_micros("_from"))
-    kept = running_total(newest, "_age", "_unit", F.floor(F.col("_age") / F.lit(86_400_000_000 * 30)))
+    newest = units.withColumn("_age", -F.unix_micros("_from")).withColumn("_all", F.lit(1))
+    kept = running_total(newest, ["_all"], ["_age"], "_unit", "_upto")
     drop = kept.filter(F.col("_upto") > max_bytes).select("_from")
     return by_age.unionByName(left.join(drop, "_from").select("key", "size", F.lit("size").alias("reason")))
 
@@ -127,10 +119,9 @@ def plan_by_span(s: DataFrame, now: dt.datetime, records: dt.timedelta | None, r
 def eviction_plan(files: DataFrame, max_bytes: int) -> DataFrame:
     """``path, size`` of the oldest closed files to delete until the spool fits. Open files count but
     are never deleted."""
-    from tracehold.sources.spool import is_open
     opened = files.agg(F.sum(F.when(is_open(F.col("path")), F.col("size")).otherwise(0)).alias("_open")).withColumn("_one", F.lit(1))
-    closed = files.filter(~is_open(F.col("path"))).withColumn("_age", -F.unix_micros("modified")).withColumn("_order", F.struct("_age", "path"))
-    kept = running_total(closed, "_order", "size", F.floor(F.col("_age") / F.lit(3_600_000_000)))
+    closed = files.filter(~is_open(F.col("path"))).withColumn("_age", -F.unix_micros("modified")).withColumn("_all", F.lit(1))
+    kept = running_total(closed, ["_all"], ["_age", "path"], "size", "_upto")
     # A file stays only while it, every newer closed file and the open ones fit.
     return (kept.withColumn("_one", F.lit(1)).join(opened, "_one").filter((F.col("_upto") + F.col("_open") > max_bytes) if max_bytes > 0 else F.lit(False))
             .select("path", "size"))

@@ -12,18 +12,24 @@ def _part(key: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(key, pattern, group), F.lit(""))
 
 
-def _time(key: Column, pattern: str, groups: list[int]) -> Column:
-    """A real date (and hour) from a pattern's groups; NULL for a 31 February or hour 25."""
-    bits = [F.regexp_extract(key, pattern, g) for g in groups] + [F.lit("01")] * (3 - min(len(groups), 3))
-    hour = bits[3] if len(groups) == 4 else F.lit("00")
-    text = F.concat(bits[0], F.lit("-"), bits[1], F.lit("-"), bits[2], F.lit(" "), hour)
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH"))
+def _time(key: Column, pattern: str, shape: str, *prefixes: str) -> Column:
+    """A real date and hour from a pattern's groups; NULL for a 31 February, an hour 25 or another shape.
+
+    One pass of one pattern, and only for keys under its prefixes.
+    """
+    under = F.lit(False)
+    for p in prefixes:
+        under = under | F.startswith(key, F.lit(p))
+    return F.when(under, F.try_to_timestamp(F.regexp_replace(key, pattern, shape), F.lit("yyyy-MM-dd HH")))
+
+
+def _batch_time(key: Column, *signals: str) -> Column:
+    return _time(key, cv.BATCH_KEY, "$2-$3-$4 $5", *[s + "/" for s in signals])
 
 
 def batch_hour(key: Column, signal: str) -> Column:
     """``yyyy-mm-dd-hh`` of a well-formed batch key of one signal, else NULL."""
-    at = _time(key, cv.BATCH_KEY, [2, 3, 4, 5])
-    return F.when(F.startswith(key, F.lit(signal + "/")), F.date_format(at, "yyyy-MM-dd-HH"))
+    return F.date_format(_batch_time(key, signal), "yyyy-MM-dd-HH")
 
 
 def parse_key(key: Column) -> Column:
@@ -32,9 +38,9 @@ def parse_key(key: Column) -> Column:
     ``kind`` is batch, compacted, index, daily, monthly, registry or ignored: anything that is not of
     exactly the shape a writer makes is ignored, so a stray file never becomes data.
     """
-    batch, part = _time(key, cv.BATCH_KEY, [2, 3, 4, 5]), _time(key, cv.PART_KEY, [2, 3, 4, 5])
-    index, daily = _time(key, cv.INDEX_KEY, [1, 2, 3]), _time(key, cv.DAILY_KEY, [2, 3, 4])
-    monthly = _time(key, cv.MONTHLY_KEY, [2, 3])
+    batch, part = _batch_time(key, *cv.SIGNALS), _time(key, cv.PART_KEY, "$2-$3-$4 $5", "compacted/")
+    index, daily = _time(key, cv.INDEX_KEY, "$1-$2-$3 00", "index/"), _time(key, cv.DAILY_KEY, "$2-$3-$4 00", "rollups/")
+    monthly = _time(key, cv.MONTHLY_KEY, "$2-$3-01 00", "rollups/")
     registry = key.rlike(cv.REGISTRY_KEY)
     kind = (F.when(batch.isNotNull(), "batch").when(part.isNotNull(), "compacted").when(index.isNotNull(), "index")
             .when(daily.isNotNull(), "daily").when(monthly.isNotNull(), "monthly")

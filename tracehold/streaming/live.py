@@ -35,6 +35,12 @@ def run_counts(spans: DataFrame, watermark: str = "1 hour", c: cv.Conventions =
             .select(F.col("w.start").alias("hour"), "lane", "outcome", "runs"))
 
 
+def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The earliest mark of each kind in a batch: copies are dropped before they are shuffled."""
+    for b in batches:
+        yield b.groupby(["trace_id", "unit", "what"], as_index=False, dropna=False)["time"].min()
+
+
 def unfinished_stream(marks: DataFrame, grace: str = "1 hour") -> DataFrame:
     """``trace_id, unit, started`` of units whose span has not come ``grace`` after their start.
 
@@ -62,5 +68,6 @@ def unfinished_stream(marks: DataFrame, grace: str = "1 hour") -> DataFrame:
         elif started is not None:
             state.update((started,))
             state.setTimeoutTimestamp(max(started // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
-    return (marks.withWatermark("time", "0 seconds").groupBy("trace_id", "unit").applyInPandasWithState(
+    marks = marks.select("trace_id", "unit", "what", "time")
+    return (marks.mapInPandas(_thin, marks.schema).withWatermark("time", "0 seconds").groupBy("trace_id", "unit").applyInPandasWithState(
         step, "trace_id string, unit string, started timestamp", "started bigint", "append", GroupStateTimeout.EventTimeTimeout))
