@@ -30,7 +30,7 @@ HEX = "lpad(lower(hex({})), {}, '0')"
 
 def run_lines(spark, d):
     """Each order as one export request with its run span; text that no reader has parsed yet."""
-    o = fx.table(spark, d, "orders")
+    o = fx.spread(fx.table(spark, d, "orders"))
     span = ("named_struct('traceId', upper({t}), 'spanId', {s}, 'parentSpanId', '', 'name', '{name}', 'kind', 1, 'startTimeUnixNano', {st}, "
             "'endTimeUnixNano', {en}, 'attributes', array({at}), 'status', named_struct('code', if(o_orderstatus = 'O', 2, 1)))").format(
         t=HEX.format("o_orderkey", 32), s=HEX.format("o_orderkey", 16), name=cv.RUN_SPAN, st=NS.format("o_orderdate"),
@@ -46,7 +46,7 @@ def run_lines(spark, d):
 
 
 def event_lines(spark, d):
-    e = fx.table(spark, d, "events")
+    e = fx.spread(fx.table(spark, d, "events"))
     rec = ("named_struct('timeUnixNano', {t}, 'severityNumber', 9, 'severityText', 'INFO', 'eventName', if(event_type = 'view', '', event_type), 'body', "
            "named_struct('stringValue', props), 'attributes', array({a}), 'traceId', {tr}, 'spanId', {sp})").format(
         t=NS.format("ts"), a=", ".join([_kv("event.name", "if(event_type = 'view', 'seen', null)"), _kv("k", "get_json_object(props, '$.k')", "intValue")]),
@@ -56,7 +56,7 @@ def event_lines(spark, d):
 
 
 def metric_lines(spark, d):
-    e = fx.table(spark, d, "events")
+    e = fx.spread(fx.table(spark, d, "events"))
     common = f"'timeUnixNano', {NS.format('ts')}, 'startTimeUnixNano', {NS.format('date_trunc(chr(100)||chr(97)||chr(121), ts)')}, 'attributes', array({_kv('k', 'cast(event_id as string)')})"
     num = f"array(named_struct({common}, 'asDouble', value))"
     his = f"array(named_struct({common}, 'count', 3, 'sum', value))"
@@ -204,7 +204,7 @@ def text_excerpts(spark, d):
 
 def document_lines(spark, d):
     """Each document as a log request whose attributes hold what a scrub must drop."""
-    doc = fx.table(spark, d, "documents").selectExpr(
+    doc = fx.spread(fx.table(spark, d, "documents")).selectExpr(
         "doc_id", r"regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', 0) AS mail", "text", "lang", "source")
     rec = "named_struct('eventName', 'doc', 'attributes', array({}))".format(", ".join([
         _kv("note", "text"), _kv("cwd", "source"), _kv("lang", "lang"), _kv("user.id", "cast(doc_id as string)"), _kv("who", "mail"), _kv("dir", "concat('/home/', lang, '/x')")]))
