@@ -29,19 +29,19 @@ def ancestry(spans: DataFrame, max_depth: int = cv.MAX_TREE_DEPTH) -> DataFrame:
     state = cut(rows.join(ids, ["trace_id", "parent_span_id"], "left").select(
         "trace_id", "span_id", F.when(F.col("_inside"), F.col("parent_span_id")).alias("up"),
         F.when(F.col("_inside"), 1).otherwise(0).alias("depth"), F.array("time").alias("path"),
-        F.col("span_id").alias("root_span_id")))
-    seen = 1
-    while seen <= 2 * max_depth and not state.filter(F.col("up").isNotNull()).isEmpty():
-        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"),
-                             F.col("depth").alias("_depth"), F.col("path").alias("_path"),
-                             F.col("root_span_id").alias("_root"))
-        state = cut(state.join(above, ["trace_id", "up"], "left").select(
-            "trace_id", "span_id", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.when(F.col("up").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("up").isNotNull(), F.col("_root")).otherwise(F.col("root_span_id")).alias("root_span_id")))
+        F.col("span_id").alias("root_span_id")), "tree")
+    done, climbing, seen = state.filter("up IS NULL"), state.filter("up IS NOT NULL"), 1
+    while seen <= 2 * max_depth and not climbing.isEmpty():
+        # Only spans still below their root move; what they climb to may be finished or not.
+        above = done.unionByName(climbing).select(
+            "trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
+            F.col("path").alias("_path"), F.col("root_span_id").alias("_root"))
+        state = cut(climbing.join(above, ["trace_id", "up"]).select(
+            "trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.concat("_path", "path").alias("path"), F.col("_root").alias("root_span_id")), "tree")
+        done, climbing = done.unionByName(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
         seen *= 2
-    return state.filter(F.col("up").isNull() & (F.col("depth") <= max_depth)).drop("up")
+    return done.filter(F.col("depth") <= max_depth).drop("up")
 
 
 def trace_tree(spans: DataFrame, max_depth: int = cv.MAX_TREE_DEPTH) -> DataFrame:

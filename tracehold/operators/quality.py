@@ -355,4 +355,4 @@ def summarise(checks: DataFrame) -> DataFrame:
 
 def verdict(checks: DataFrame) -> DataFrame:
     """``ok``: whether no check failed."""
-    return checks.agg(~F.coalesce(F.bool_or(F.col("status") == FAIL), F.lit(False)).alias("ok"))
+    return checks.agg((~F.coalesce(F.bool_or(F.col("status") == FAIL), F.lit(False))).alias("ok"))
