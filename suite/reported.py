@@ -81,7 +81,7 @@ def span_counts(spark, d):
 
 # --- retention, budgets, hygiene ------------------------------------------------------------------
 def _listing(spark, d):
-    o, p = fx.table(spark, d, "orders"), fx.points(spark, d)
+    o, p = fx.spread(fx.table(spark, d, "orders")), fx.spread(fx.points(spark, d))
     ulid = F.lpad(F.col("o_orderkey").cast("string"), 26, "0")
     at = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
     batches = o.select(F.concat(F.lit("traces/"), F.date_format(at, "yyyy/MM/dd/HH"), F.lit("/c"), F.col("o_custkey") % 9, F.lit("/"), ulid,
