@@ -99,11 +99,11 @@ def registry_accepted(spark, d):
     return dims.accepted_names(dims.registry_names(_registry_docs(spark, d))).select("tool", "version", "kind", "name").distinct()
 
 
-@query("vendor_names", f"""SELECT 'ynh.run.outcome' AS name, count(*) AS count FROM orders UNION ALL SELECT '{cv.RUN_COST}', count(*) FROM orders
+@query("vendor_names", f"""SELECT '{cv.RUN_OUTCOME}' AS name, count(*) AS count FROM orders UNION ALL SELECT '{cv.RUN_COST}', count(*) FROM orders
   UNION ALL SELECT '{cv.USER_NAME}', count(*) FROM orders""")
 def vendor_names(spark, d):
     """Attribute names of the order spans that a pinned list of the token and model names lacks."""
-    pinned = spark.createDataFrame([(cv.INPUT_TOKENS,), (cv.OUTPUT_TOKENS,), ("gen_ai.response.model",)], "name string")
+    pinned = spark.createDataFrame([(cv.INPUT_TOKENS,), (cv.OUTPUT_TOKENS,), (cv.RESPONSE_MODEL,)], "name string")
     return governance.unknown_vendor_names(parse_lines(run_lines(spark, d), "traces", whole=True), pinned, "fixture")
 
 

@@ -35,8 +35,8 @@ def run_lines(spark, d):
             "'endTimeUnixNano', {en}, 'attributes', array({at}), 'status', named_struct('code', if(o_orderstatus = 'O', 2, 1)))").format(
         t=HEX.format("o_orderkey", 32), s=HEX.format("o_orderkey", 16), name=cv.RUN_SPAN, st=NS.format("o_orderdate"),
         en="cast((unix_micros(o_orderdate) + (o_orderkey % 997) * 100000) * 1000 as string)",
-        at=", ".join([_kv("ynh.run.outcome", "case o_orderstatus when 'F' then 'converged' when 'O' then 'budget' end"),
-                      _kv("gen_ai.response.model", "if(o_orderkey % 7 <> 6, concat('m', o_orderkey % 7), null)"),
+        at=", ".join([_kv(cv.RUN_OUTCOME, "case o_orderstatus when 'F' then 'converged' when 'O' then 'budget' end"),
+                      _kv(cv.RESPONSE_MODEL, "if(o_orderkey % 7 <> 6, concat('m', o_orderkey % 7), null)"),
                       _kv(cv.RUN_COST, "o_totalprice / 1000", "doubleValue"), _kv(cv.INPUT_TOKENS, "1000 + o_orderkey % 500", "intValue"),
                       _kv(cv.OUTPUT_TOKENS, "cast(200 + o_orderkey % 100 as string)", "intValue"), _kv(cv.USER_NAME, "concat('c', o_custkey)")]))
     res = [_kv(cv.SERVICE_NAME, "'runner'"), _kv(cv.LANE, "if(o_orderpriority <> '5-LOW', o_orderpriority, null)"),

@@ -42,9 +42,9 @@ def span(trace, sid, name, at, ms=90_000.0, resource=None, attributes=None, pare
 
 
 def run(trace, sid, lane, outcome, model, cost, at, resource=None, attributes=None):
-    res = {cv.SERVICE_NAME: "ynh", **({cv.LANE: lane} if lane else {}), **(resource or {})}
+    res = {cv.SERVICE_NAME: "runner", **({cv.LANE: lane} if lane else {}), **(resource or {})}
     return span(trace.rjust(32, "0"), sid.rjust(16, "0"), cv.RUN_SPAN, at, resource=res, attributes={
-        "ynh.run.outcome": outcome, "gen_ai.response.model": model, cv.RUN_COST: cost, cv.INPUT_TOKENS: 1000, cv.OUTPUT_TOKENS: 200, **(attributes or {})})
+        cv.RUN_OUTCOME: outcome, cv.RESPONSE_MODEL: model, cv.RUN_COST: cost, cv.INPUT_TOKENS: 1000, cv.OUTPUT_TOKENS: 200, **(attributes or {})})
 
 
 def event(name, at, resource=None, attributes=None, trace="", sid="", severity="INFO", body="b"):

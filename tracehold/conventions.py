@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 # --- Fixed values: attribute and span names the senders write, in the contract's order. ---------
 RUN_SPAN = "ynh.run"
 RUN_COST = "ynh.run.cost_usd"
+RUN_OUTCOME = "ynh.run.outcome"
+RESPONSE_MODEL = "gen_ai.response.model"
 INPUT_TOKENS = "gen_ai.usage.input_tokens"
 OUTPUT_TOKENS = "gen_ai.usage.output_tokens"
 EVENT_NAME = "event.name"
@@ -43,9 +45,9 @@ PROMOTED: dict[str, tuple[str, ...]] = {
     "harness": (LANE_HARNESS, "ynh.harness.name"),
     "focus": (LANE_FOCUS, "ynh.run.focus"),
     "repo": ("ynf.repo", "vcs.repository.url.full"),
-    "outcome": ("ynf.outcome", "ynh.run.outcome", "ynm.outcome"),
+    "outcome": ("ynf.outcome", RUN_OUTCOME, "ynm.outcome"),
     "actor": (USER_NAME,),
-    "model": ("gen_ai.response.model", "gen_ai.request.model"),
+    "model": (RESPONSE_MODEL, "gen_ai.request.model"),
     "provenance": (PROVENANCE,),
     "collector_id": (COLLECTOR_ID,),
     "collector_instance": (COLLECTOR_INSTANCE,),
@@ -113,7 +115,6 @@ DEFAULT_RUN_BUDGET = 64 << 20
 MAX_TREE_DEPTH = 64
 NEWEST = 200
 EVIDENCE_ROWS = 6
-CARDINALITY_LIMIT_DEFAULT = 0
 
 
 @dataclass(frozen=True)

@@ -26,7 +26,7 @@ from tracehold.operators.flatten import flatten_logs, flatten_points, flatten_sp
 from tracehold.plans import rollups
 from tracehold.schemas import ITEM_INDEX, MANIFEST, ROLLUPS, TABLE
 from tracehold.session import cut, prepare, utc
-from tracehold.sources.batches import empty_raw, list_files, read_batches
+from tracehold.sources.batches import list_files, read_batches
 from tracehold.sources.keys import batch_hour
 from tracehold.sources.parts import read_parts, write_sorted
 
@@ -161,6 +161,11 @@ class Store:
         extra = {} if signal == "traces" else {"identity": self.identity}
         return _FLATTEN[signal](raw, erased=self.erased, c=self.c, keep=("hour",), **extra)
 
+    def _received(self, signal: str, dirs: Sequence[str]) -> DataFrame:
+        """Well-formed batches of some hour folders as nested rows with their receipt ``hour``."""
+        raw = read_batches(self.spark, signal, dirs)
+        return raw.withColumn("hour", batch_hour(F.substring_index("file", "/", -7), signal)).filter("hour IS NOT NULL")
+
     def copies(self, signal: str, states: Sequence[HourState]) -> DataFrame:
         """Every copy of the records in some hours with their receipt ``hour``; parts and uncovered batches."""
         table = [*TABLE[signal].fieldNames(), "hour"]
@@ -168,14 +173,19 @@ class Store:
         base = f"{self.root}/compacted/signal={signal}"
         held = read_parts(self.spark, signal, [f"{base}/hour={s.hour}/n={s.n}" for s in parts], self.erased,
                           ["hour", "n"], base).select(*table)
-        dirs = [self._batch_dir(signal, s.hour) for s in states if s.batches]
-        if not dirs:
+        # Hours without a part are read as they are. Beside a part, batches it covers are left out by a
+        # join on those that still lie there, which pruning keeps to the last compactions: few enough
+        # for Spark to broadcast, and its skew join splits a large file otherwise.
+        plain = [self._batch_dir(signal, s.hour) for s in states if s.batches and not s.n]
+        mixed = [s for s in states if s.batches and s.n]
+        if not plain and not mixed:
             return held
-        raw = read_batches(self.spark, signal, dirs)
-        raw = raw.withColumn("hour", batch_hour(F.substring_index("file", "/", -7), signal)).filter("hour IS NOT NULL")
-        if parts:
-            covered = self.latest(signal, [s.hour for s in parts]).select(F.col("batch").alias("file"))
-            raw = raw.join(covered, "file", "left_anti")
+        raw = self._received(signal, plain)
+        if mixed:
+            dirs = [self._batch_dir(signal, s.hour) for s in mixed]
+            covered = (self.latest(signal, [s.hour for s in mixed]).select(F.col("batch").alias("file"))
+                       .join(list_files(self.spark, dirs, "*.jsonl.gz").select(F.col("path").alias("file")), "file", "left_semi"))
+            raw = raw.unionByName(self._received(signal, dirs).join(covered, "file", "left_anti"))
         return held.unionByName(self._flat(signal, raw).select(*table))
 
     def table(self, signal: str, hours: Sequence[dt.datetime]) -> DataFrame:
