@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import simhash_bktree
+from tracehold.llm import golomb_dedup, simhash_bktree, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -12,5 +12,27 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_bktree,)}
-ORACLES: dict[str, str] = {}
+def op6_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golomb_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op6_golomb_dedup, op8_warc_chunks, op9_simhash_bktree)}
+
+ORACLES = {
+    "op6_golomb_dedup": r"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+                     count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op8_warc_chunks": """
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to FROM f""",
+}
