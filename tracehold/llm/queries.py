@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import golomb_dedup, simhash_bktree, warc_chunks
+from tracehold.llm import boosted_quality, golomb_dedup, ordinal_toxicity, simhash_bktree, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -12,6 +12,16 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_toxicity.score(docs, ordinal_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boosted_quality.score(docs, boosted_quality.fit(docs, boosted_quality.training_labels(table(spark, sf_dir, "labels"))))
+
+
 def op6_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golomb_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,7 +30,7 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_golomb_dedup, op8_warc_chunks, op9_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op4_boosted_quality, op6_golomb_dedup, op8_warc_chunks, op9_simhash_bktree)}
 
 ORACLES = {
     "op6_golomb_dedup": r"""
