@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import boosted_quality, golomb_dedup, ordinal_toxicity, simhash_bktree, warc_chunks
+from tracehold.llm import boosted_quality, golomb_dedup, lattice_sampling, ordinal_toxicity, simhash_bktree, template_decontam, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -17,11 +17,21 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.score(docs, ordinal_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return boosted_quality.score(docs, boosted_quality.fit(docs, boosted_quality.training_labels(table(spark, sf_dir, "labels"))))
 
 
+def op5_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every text, and whether each decodes to the text it came from."""
+    docs = table(spark, sf_dir, "documents")
+    return lattice_sampling.round_trips(docs)
+
+
 def op6_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golomb_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,7 +40,7 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op4_boosted_quality, op6_golomb_dedup, op8_warc_chunks, op9_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op8_warc_chunks, op9_simhash_bktree)}
 
 ORACLES = {
     "op6_golomb_dedup": r"""
