@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import boosted_quality, golomb_dedup, lattice_sampling, ordinal_toxicity, secret_owners, simhash_bktree, template_decontam, warc_chunks
+from tracehold.llm import boosted_quality, golomb_dedup, kneser_ney, lattice_sampling, ordinal_toxicity, secret_owners, simhash_bktree, template_decontam, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -44,7 +44,11 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree, op10_kneser_ney)}
 
 ORACLES = {
     "op6_golomb_dedup": r"""
