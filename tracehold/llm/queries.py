@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import boosted_quality, golomb_dedup, kneser_ney, lattice_sampling, ordinal_toxicity, secret_owners, simhash_bktree, template_decontam, warc_chunks
+from tracehold.llm import boosted_quality, golomb_dedup, kneser_ney, lattice_sampling, ordinal_toxicity, secret_owners, simhash_bktree, suffix_dedup, template_decontam, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ordinal_toxicity.score(docs, ordinal_toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree, op10_kneser_ney)}
 
 ORACLES = {
     "op6_golomb_dedup": r"""
