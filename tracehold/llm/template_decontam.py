@@ -60,8 +60,8 @@ class Templates:
         self.place[raw] = n
         return n
 
-    def read(self, text: str | None, names: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens, hashes of the tokens or of their placeholders, and each one's slot (0: none, else 1 number, 2 unit, 3 name)."""
+    def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Tokens, their hashes, and each one's slot (0: none, else 1 number, 2 unit, 3 name)."""
         words = [] if text is None else text.split()
         if len(self.place) > REMEMBERED:
             self.forget()
@@ -71,26 +71,31 @@ class Templates:
             return words, np.zeros(0, np.uint64), np.zeros(0, np.int8)
         kind, first = self.kinds[at], np.concatenate([[True], self.ends[at[:-1]]])
         after_number = np.concatenate([[False], kind[:-1] == _NUM])
-        slot = np.where(kind == _NUM, 1, np.where((kind == _UNIT) & after_number, 2, np.where(self.capital[at] & ~first & names, 3, 0))).astype(np.int8)
-        return words, np.where(slot > 0, _HOLDERS[slot], self.hashes[at]), slot
-
-    def windows(self, text: str | None, names: bool = True, size: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, slots, and the windows' places, lengths and hashes. A text of fewer tokens is one
-        window. Windows with fewer than ``LITERALS`` plain words say nothing and are left out, unless
-        the text has no others."""
-        words, hashes, slot = self.read(text, names)
-        if not words:
-            return words, slot, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        slot = np.where(kind == _NUM, 1, np.where((kind == _UNIT) & after_number, 2, np.where(self.capital[at] & ~first, 3, 0))).astype(np.int8)
+        return words, self.hashes[at], slot
+
+    def windows(self, text: str | None, size: int = WINDOW) -> Iterator[tuple[bool, list[str], np.ndarray, np.ndarray, int, np.ndarray]]:
+        """For the readings with name slots and without: which, tokens, slots, and the windows' places,
+        length and hashes. A text of fewer tokens is one window. Windows with fewer than ``LITERALS`` plain
+        words say nothing and are left out, unless the text has no others."""
+        words, hashes, slot = self.read(text)
         size = min(size, len(words))
         n = len(words) - size + 1
-        h = np.full(n, np.uint64(2 * size + names))
-        with np.errstate(over="ignore"):
-            for i in range(size):
-                h = (h ^ hashes[i:i + n]) * _P
-                h ^= h >> np.uint64(29)
-        plain = np.convolve(slot == 0, np.ones(size, np.int64), "valid")
-        keep = np.flatnonzero(plain >= min(LITERALS, size)) if (plain >= min(LITERALS, size)).any() else np.arange(n)
-        return words, slot, keep, np.full(len(keep), size), h[keep]
+        for names in (True, False) if words else ():
+            if not names:
+                slot = np.where(slot == 3, 0, slot)
+            held = np.where(slot > 0, _HOLDERS[slot], hashes)
+            h = np.full(n, np.uint64(2 * size + names))
+            plain = np.zeros(n, np.int8)
+            with np.errstate(over="ignore"):
+                for i in range(size):
+                    h ^= held[i:i + n]
+                    h *= _P
+                    h ^= h >> np.uint64(29)
+                    plain += slot[i:i + n] == 0
+            keep = np.flatnonzero(plain >= min(LITERALS, size))
+            keep = keep if len(keep) else np.arange(n)
+            yield names, words, slot, keep, size, h[keep]
 
 
 def _clean(word: str) -> str:
@@ -105,8 +110,7 @@ def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     reader, bits = Templates(), None if bitmap is None else bitmap.value
     for b in slices(batches):
         rows = []
-        for key, text, names in ((k, t, n) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) for n in (True, False)):
-            words, slot, at, size, h = reader.windows(text, names)
+        for key, (names, words, slot, at, s, h) in ((k, w) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) for w in reader.windows(t)):
             total = len(at)
             if bits is not None and total:
                 top = h >> np.uint64(64 - MAP_BITS)
@@ -115,7 +119,7 @@ def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             else:
                 chosen = range(total)
             for i in chosen:
-                p, s = int(at[i]), int(size[i])
+                p = int(at[i])
                 rows.append((key, p, int(h[i].view(np.int64)), [f"{q - p}:{slot[q]}:{_clean(words[q])}" for q in range(p, p + s) if slot[q]], total, len(words), names))
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip([c for c, _ in _FIELDS], map(list, zip(*rows)))), pa.schema(_FIELDS))
