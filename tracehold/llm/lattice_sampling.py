@@ -33,7 +33,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Edges of word lattices that a task remembers, and bytes of text walked at once.
 REMEMBERED, WALKED = 4_000_000, 1 << 20
-_BLOCK = 64
+_BLOCK = 512
+#: Low bits that the buckets of the prefix table leave out.
+_TOP = 46
 _UNIT = re.compile(r" *[^ ]+| +$")
 _SPACE = "▁"
 
@@ -77,8 +79,22 @@ class Lattices:
         order = np.argsort(h)
         self._prefix = h[order]
         self._piece, self._weight = [np.array(x)[order] for x in zip(*prefixes.values())]
+        starts = np.searchsorted(self._prefix >> np.uint64(_TOP), np.arange(1 << 64 - _TOP, dtype=np.uint64))
+        self._bucket, self._deepest = np.minimum(starts, len(order) - 1), int(np.diff(starts, append=len(order)).max())
+        for n, t in (self._BY_STATE | self._BY_EDGE).items():
+            setattr(self, n, np.zeros(1 << 12, t))
         self.forget()
 
+    def _prefixes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes among those of all prefixes of pieces, and which are there."""
+        k = self._bucket[(h >> np.uint64(_TOP)).astype(np.int64)]
+        for _ in range(self._deepest - 1):
+            less = np.flatnonzero(self._prefix[k] < h)
+            if not len(less):
+                break
+            k[less] = np.minimum(k[less] + 1, len(self._prefix) - 1)
+        return k, self._prefix[k] == h
+
     @staticmethod
     def _hash(codes) -> np.uint64:
         h = np.zeros(1, np.uint64)
@@ -95,8 +111,6 @@ class Lattices:
     def forget(self) -> None:
         self.first: dict[str, int] = {}
         self.states = self.edges = 0
-        for n, t in (self._BY_STATE | self._BY_EDGE).items():
-            setattr(self, n, np.zeros(1 << 12, t))
 
     def _append(self, names, count: int, n: int, spare: int, **new) -> int:
         for name in names:
@@ -123,8 +137,7 @@ class Lattices:
         for length in range(1, self.longest + 1):
             fits = at + length <= end[at]
             at, h = at[fits], self._mix(h[fits], codes[at[fits] + length - 1])
-            k = np.minimum(np.searchsorted(self._prefix, h), len(self._prefix) - 1)
-            known = self._prefix[k] == h
+            k, known = self._prefixes(h)
             at, h, k = at[known], h[known], k[known]
             whole = self._piece[k] >= 0
             src.append(at[whole]), dst.append(at[whole] + length), piece.append(self._piece[k][whole]), weight.append(self._weight[k][whole])
@@ -138,30 +151,37 @@ class Lattices:
         weight.append(np.array([self.byte_weights[list(raw)].sum() for _, raw in chains]))
         by_bytes = np.repeat([False, True], [sum(map(len, src[:-1])), len(chains)])
         src, dst, piece, weight = map(np.concatenate, (src, dst, piece, weight))
+        order = np.argsort(src, kind="stable")
+        src, dst, piece, weight, by_bytes = (x[order] for x in (src, dst, piece, weight, by_bytes))
         # backward sums, by the distance to the word's end
         far = end[src] - src
-        order = np.lexsort((src, far))
-        src, dst, piece, weight, by_bytes, far = (x[order] for x in (src, dst, piece, weight, by_bytes, far))
-        beta, logp = np.zeros(n + 1), np.zeros(len(src))
-        bounds = np.searchsorted(far, np.arange(1, int(size.max()) + 2))
+        longest = int(size.max())
+        order = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
+        near, to, score = src[order], dst[order], weight[order]
+        beta, last = np.zeros(n + 1), to == end[near]
+        bounds = np.searchsorted(far[order], np.arange(1, longest + 2))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            here = src[lo:hi]
-            score = weight[lo:hi] + np.where(dst[lo:hi] == end[here], 0.0, beta[dst[lo:hi]])
+            here = near[lo:hi]
+            score[lo:hi] += np.where(last[lo:hi], 0.0, beta[to[lo:hi]])
             head = np.flatnonzero(np.diff(here, prepend=-1))
-            total = np.logaddexp.reduceat(score, head)
+            total = np.logaddexp.reduceat(score[lo:hi], head)
             beta[here[head]] = total
-            logp[lo:hi] = score - np.repeat(total, np.diff(head, append=hi - lo))
-        order = np.lexsort((piece, -logp, src))
-        src, dst, piece, by_bytes, logp = (x[order] for x in (src, dst, piece, by_bytes, logp))
-        p, head = np.exp(logp), np.flatnonzero(np.diff(src, prepend=-1))
+            score[lo:hi] -= np.repeat(total, np.diff(head, append=hi - lo))
+        logp = np.empty(len(src))
+        logp[order] = score
+        # the likeliest edge of a state comes first
+        head = np.flatnonzero(np.diff(src, prepend=-1))
+        top = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, head), np.diff(head, append=len(src))))
+        top = top[np.diff(src[top], prepend=-1) > 0]
+        for x in (dst, piece, by_bytes, logp):
+            x[head], x[top] = x[top], x[head]
+        p = np.exp(logp)
         degree = np.diff(head, append=len(src))
         rank = np.arange(len(src)) - np.repeat(head, degree)
         total = np.repeat(np.add.reduceat(p, head), degree)
         others = np.where(rank == 0, np.repeat(np.add.reduceat(np.where(rank == 0, 0.0, p), head), degree), total - p)
-        run = p.copy()
-        for r in range(1, int(degree.max())):
-            later = np.flatnonzero(rank == r)
-            run[later] += run[later - 1]
+        run = np.cumsum(p)
+        run -= np.repeat(run[head] - p[head], degree)
         base, state = self.states, self.states + src
         upto = np.where(rank + 1 == np.repeat(degree, degree), state + 1.0, state + np.minimum(run / total, 1.0))
         to = np.where(dst == end[src], -1, base + dst)
