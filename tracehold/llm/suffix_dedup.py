@@ -240,10 +240,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = cut(base.mapInArrow(partial(_prepare, length, gram), "key long, doc_id long, packed binary, n_bytes long, at array<long>, h array<long>, g array<long>"), "repeats-texts")
     anchors = packed.select("key", F.explode(F.arrays_zip("at", "h", "g")).alias("a")).select("key", F.col("a.at").cast("int").alias("at"), "a.h", "a.g")
     # grams that occur once hold no repeat; counts are combined before the shuffle
-    often = packed.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").select("h")
+    # (written, so that the join below deals out both sides itself and can split a frequent gram)
+    often = cut(packed.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").select("h"), "repeats-grams")
     some = cut(anchors.join(often, "h", "left_semi"), "repeats-anchors")
     pieces = cut(some.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("key").alias("key")), "repeats-pieces")
-    many = pieces.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1")
+    many = cut(pieces.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1"), "repeats-many")
     parts = F.ceil(F.col("different") / group).cast("int")
     # one place of each different piece is enough: any of the least text that has it
     wanted = cut(pieces.join(many, "h").select("h", "g", "n", "key", parts.alias("parts"), F.pmod(F.xxhash64("g"), parts).cast("int").alias("part")), "repeats-wanted")
