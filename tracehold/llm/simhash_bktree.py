@@ -174,5 +174,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(cut(links(nodes.select("fp"), radius), "simhash-links"))
     linked = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "label", "least")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = nodes.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join below deals out both sides itself and can split a frequent fingerprint
+    of = cut(nodes.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
     return fps.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
