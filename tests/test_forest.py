@@ -13,10 +13,11 @@ def test_depths_orphans_cycles_and_the_limit(spark):
     rows = chain + [("t", "o", "missing"), ("t", "oc", "o"), ("t", "x", "y"), ("t", "y", "x"), ("t", "z", "x"), ("t", "self", "self"), ("u", "c1", "c0")]
     df = spark.createDataFrame([(t, s, p, T0 + dt.timedelta(seconds=i)) for i, (t, s, p) in enumerate(rows)],
                                "trace_id string, span_id string, parent_span_id string, time timestamp")
-    got = {(r.trace_id, r.span_id): (r.depth, r.root_span_id, len(r.path)) for r in ancestry(df).collect()}
-    want = {("t", f"c{i}"): (i, "c0", i + 1) for i in range(65)}
-    want |= {("t", "o"): (0, "o", 1), ("t", "oc"): (1, "o", 2), ("u", "c1"): (0, "c1", 1)}
-    assert got == want
+    for limit, deepest in ((None, 69), (64, 64)):
+        got = {(r.trace_id, r.span_id): (r.depth, r.root_span_id, len(r.path)) for r in ancestry(df, limit).collect()}
+        want = {("t", f"c{i}"): (i, "c0", i + 1) for i in range(deepest + 1)}
+        want |= {("t", "o"): (0, "o", 1), ("t", "oc"): (1, "o", 2), ("u", "c1"): (0, "c1", 1)}
+        assert got == want
 
 
 def test_copies(spark):

@@ -15,8 +15,24 @@ def round_half_away(x: Column, digits: int) -> Column:
 
 
 def exact_sum(x: Column) -> Column:
-    """Sum a double as a decimal with nine fraction digits: addition order cannot change it."""
-    return F.sum(x.try_cast(EXACT))
+    """Sum money as a decimal with nine fraction digits: addition order cannot change it. An amount that
+    is no such number does not count, and a total that does not fit is NULL rather than an error."""
+    return F.try_sum(x.try_cast(EXACT))
+
+
+def full_sum(x: Column) -> Column:
+    """Sum doubles of any size as a double. Values that nine fraction digits write exactly, under 1e15,
+    are added as decimals, so their order cannot change the sum; tiny, huge and non-finite ones, and
+    those with more digits, are added as doubles."""
+    d = x.try_cast(EXACT)
+    plain = F.coalesce((F.abs(x) < 1e15) & (d.cast("double") == x), F.lit(False))
+    some, rest = F.try_sum(F.when(plain, d)).cast("double"), F.sum(F.when(~plain, x.cast("double")))
+    return F.when(some.isNull(), rest).when(rest.isNull(), some).otherwise(some + rest)
+
+
+def whole_sum(x: Column) -> Column:
+    """Sum whole numbers in 128 bits, as a bigint; NULL where the total is beyond one."""
+    return F.try_sum(x.try_cast("decimal(20,0)")).try_cast("bigint")
 
 
 def money(total: Column) -> Column:

@@ -297,20 +297,22 @@ def undeclared(counts: DataFrame, registry: DataFrame) -> DataFrame:
     return rest.join(hit, ["service", "version", "kind", "name"], "left_anti")
 
 
-def capped(counts: DataFrame, keys: Sequence[str], order: Sequence[Column | str], cap: int = cv.MAX_UNKNOWN_NAMES) -> DataFrame:
-    """The first ``cap`` distinct names in a given order with their counts, and one overflow row
+def capped(counts: DataFrame, keys: Sequence[str], order: Sequence[Column | str], cap: int | None = None) -> DataFrame:
+    """All distinct names with their counts; with a cap, for a report that wants one, the first ``cap`` distinct names in a given order with their counts, and one overflow row
     (``name`` NULL) that holds the count of the rest, so nothing is lost."""
+    if cap is None:
+        return counts.select(*keys, "count", F.lit(False).alias("overflow"))
     first = counts.orderBy(*order).limit(cap).withColumn("overflow", F.lit(False))
     rest = counts.join(first.select(*keys), list(keys), "left_anti").agg(F.sum("count").alias("count"))
     over = rest.filter("count IS NOT NULL").select(*[F.lit(None).cast("string").alias(k) for k in keys], "count", F.lit(True).alias("overflow"))
     return first.select(*keys, "count", "overflow").unionByName(over)
 
 
-def check_names(raw: DataFrame, registry: DataFrame, cap: int = cv.MAX_UNKNOWN_NAMES) -> DataFrame:
-    """Counts of the names a tool's registry does not declare, by service, version and name."""
+def check_names(raw: DataFrame, registry: DataFrame, cap: int | None = None) -> DataFrame:
+    """Counts of all the names (by their full text) a tool's registry does not declare, by service, version and name."""
     counts = used_names(raw).groupBy("service", "version", "kind", "name").agg(F.count(F.lit(1)).alias("count"))
-    short = undeclared(counts, registry).groupBy("service", "version", F.substring("name", 1, cv.MAX_NAME_CHARS).alias("name")).agg(F.sum("count").alias("count"))
-    return capped(short, ["service", "version", "name"], ["service", "version", "name"], cap)
+    each = undeclared(counts, registry).groupBy("service", "version", "name").agg(F.sum("count").alias("count"))
+    return capped(each, ["service", "version", "name"], ["service", "version", "name"], cap)
 
 
 def mark_unknown(raw: DataFrame, registry: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -336,9 +338,9 @@ def mark_unknown(raw: DataFrame, registry: DataFrame, depth: int = DEPTH) -> Dat
     return joined.withColumn(column, F.transform(mine, one)).select(*raw.columns)
 
 
-def unknown_vendor_names(raw: DataFrame, pinned: DataFrame, scope_prefix: str, cap: int = cv.MAX_VENDOR_NAMES) -> DataFrame:
-    """Attribute names, keys only, that one vendor's scopes send and the pinned list lacks. Names past
-    the cap, or not fit to keep, are counted in one bucket."""
+def unknown_vendor_names(raw: DataFrame, pinned: DataFrame, scope_prefix: str, cap: int | None = None) -> DataFrame:
+    """Attribute names, keys only, that one vendor's scopes send and the pinned list lacks. Names not
+    fit to keep, and those past a cap if one is given, are counted in one bucket."""
     mine = used_names(raw).filter((F.col("kind") == "attribute") & F.startswith("scope", F.lit(scope_prefix)))
     counts = mine.groupBy("name").agg(F.count(F.lit(1)).alias("count")).join(pinned, "name", "left_anti")
     safe = counts.groupBy(usable_name(F.col("name")).alias("name")).agg(F.sum("count").alias("count"))

@@ -73,15 +73,20 @@ def span_counts(spans: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("spans"))
 
 
-def top_names(counts: DataFrame, n: int = 20) -> DataFrame:
-    return counts.orderBy(F.desc("count"), "service", "version", "name").limit(n)
+def top_names(counts: DataFrame, n: int | None = 20) -> DataFrame:
+    """The most frequent names, all of them with ``n=None``."""
+    ordered = counts.orderBy(F.desc("count"), "service", "version", "name")
+    return ordered if n is None else ordered.limit(n)
 
 
-def evidence(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = cv.EVIDENCE_ROWS) -> DataFrame:
-    """At most ``most`` rows of each check and how many more there are. Each map task sends at most
+def evidence(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int | None = cv.EVIDENCE_ROWS) -> DataFrame:
+    """At most ``most`` rows of each check (None: all) and how many more there are. Each map task sends at most
     that many rows of a check; the count is a separate aggregate."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    kept = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    kept = rows.withColumn("rank", F.row_number().over(w))
+    if most is None:
+        return kept.withColumn("more", F.lit(0).cast("bigint"))
+    kept = kept.filter(F.col("rank") <= most)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return kept.join(sizes, list(keys)).withColumn("more", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracehold import conventions as cv
 from tracehold.functions import otel
-from tracehold.functions.numeric import exact_sum, money, round_half_away
+from tracehold.functions.numeric import exact_sum, money, round_half_away, whole_sum
 from tracehold.operators.forest import trace_tree
 from tracehold.operators.median import median_of_counts
 from tracehold.session import cut, utc
@@ -30,7 +30,12 @@ def run_spans(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventi
 
 
 def tokens(key: str) -> Column:
-    return otel.attr(F.col("attributes"), key).try_cast("bigint")
+    return otel.attr(F.col("attributes"), key)
+
+
+def newest_rows(df: DataFrame, newest: int | None) -> DataFrame:
+    """The first rows of an ordered answer; all of them with None."""
+    return df if newest is None else df.limit(newest)
 
 
 def runs(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions = cv.DEFAULT) -> DataFrame:
@@ -45,7 +50,7 @@ def runs(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions =
                         F.coalesce("outcome", F.lit(cv.NO_OUTCOME)).alias("outcome"), "duration_ms", "cost_usd", "time")
                 .groupBy(*keys, "duration_ms")
                 .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("cost_usd")).alias("cost"), F.max("time").alias("last")), "runs")
-    totals = by_value.groupBy(*keys).agg(F.sum("n").alias("runs"), F.sum("cost").alias("cost"), F.max("last").alias("last"))
+    totals = by_value.groupBy(*keys).agg(F.sum("n").alias("runs"), F.try_sum("cost").alias("cost"), F.max("last").alias("last"))
     medians = median_of_counts(by_value, keys, "duration_ms", "n")
     return (totals.join(medians, keys, "left")
             .select("lane", "outcome", "runs", round_half_away(F.col("median") / 1000, 1).alias("median_s"),
@@ -63,17 +68,17 @@ def runs_from_rollups(rollups: DataFrame, lane: str = "") -> DataFrame:
             .orderBy("lane", F.desc("runs"), "outcome"))
 
 
-def recent(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions = cv.DEFAULT) -> DataFrame:
-    """The newest runs; sorted and cut per partition before anything is gathered."""
-    return (run_spans(spans, since, until, lane, labels, c)
+def recent(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions = cv.DEFAULT, newest: int | None = cv.NEWEST) -> DataFrame:
+    """The newest runs (all with ``newest=None``); sorted and cut per partition before anything is gathered."""
+    return newest_rows(run_spans(spans, since, until, lane, labels, c)
             .select("time", F.coalesce("lane", F.lit(cv.BY_HAND)).alias("lane"), F.col("item_key").alias("item"), "actor",
                     F.coalesce("outcome", F.lit(cv.NO_OUTCOME)).alias("outcome"), "model",
                     round_half_away(F.col("duration_ms") / 1000, 1).alias("duration_s"),
                     round_half_away(F.col("cost_usd"), 4).alias("cost_usd"), "trace_id")
-            .orderBy(F.desc_nulls_last("time"), "trace_id").limit(cv.NEWEST))
+            .orderBy(F.desc_nulls_last("time"), "trace_id"), newest)
 
 
-def items(spans: DataFrame, since, until, lane="", labels=()) -> DataFrame:
+def items(spans: DataFrame, since, until, lane="", labels=(), newest: int | None = cv.NEWEST) -> DataFrame:
     """The items seen lately with their last outcome."""
     rows = spans.filter(F.col("item_key").isNotNull() & in_window(since, until) & matching(lane, labels))
     # Count distinct steps and traces in two levels, so one item's rows spread over its steps and traces.
@@ -84,9 +89,9 @@ def items(spans: DataFrame, since, until, lane="", labels=()) -> DataFrame:
         F.min("lane").alias("lane"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.count_distinct("step_id").alias("steps"), F.count_distinct("trace_id").alias("traces"),
         F.max("latest").alias("latest"))
-    return (seen.select(F.col("item_key").alias("item"), "lane", "first_seen", "last_seen", "steps", "traces",
+    return newest_rows(seen.select(F.col("item_key").alias("item"), "lane", "first_seen", "last_seen", "steps", "traces",
                         F.col("latest.outcome").alias("last_outcome"))
-            .orderBy(F.desc_nulls_last("last_seen"), "item").limit(cv.NEWEST))
+            .orderBy(F.desc_nulls_last("last_seen"), "item"), newest)
 
 
 def item(spans: DataFrame, logs: DataFrame, key: str, since, until, labels=()) -> DataFrame:
@@ -114,7 +119,7 @@ def cost(spans: DataFrame, since, until, lane="", labels=(), c: cv.Conventions =
     return (run_spans(spans, since, until, lane, labels, c)
             .groupBy(F.coalesce("model", F.lit(cv.NO_MODEL)).alias("model"))
             .agg(F.count(F.lit(1)).alias("runs"), money(exact_sum(F.col("cost_usd"))).alias("cost_usd"),
-                 F.sum(tokens(c.input_tokens)).alias("input_tokens"), F.sum(tokens(c.output_tokens)).alias("output_tokens"))
+                 whole_sum(tokens(c.input_tokens)).alias("input_tokens"), whole_sum(tokens(c.output_tokens)).alias("output_tokens"))
             .orderBy(F.desc_nulls_last("cost_usd"), "model"))
 
 
@@ -122,5 +127,5 @@ def cost_from_rollups(rollups: DataFrame, lane: str = "") -> DataFrame:
     rows = rollups.filter(F.col("lane") == lane) if lane else rollups
     return (rows.groupBy(F.coalesce("model", F.lit(cv.NO_MODEL)).alias("model"))
             .agg(F.sum("runs").alias("runs"), money(exact_sum(F.col("cost_usd"))).alias("cost_usd"),
-                 F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+                 whole_sum(F.col("input_tokens")).alias("input_tokens"), whole_sum(F.col("output_tokens")).alias("output_tokens"))
             .orderBy(F.desc_nulls_last("cost_usd"), "model"))

@@ -93,6 +93,14 @@ class Engine:
             check_label(l)
         return start, end
 
+    @staticmethod
+    def _once(copies: DataFrame, wanted) -> DataFrame:
+        """The records of which a copy is wanted, each once. A narrow pass finds their ids with the filter at
+        the scan, so only these records' copies are shuffled. Which copy counts is decided among all
+        copies, so the caller filters again; records without an id count as one record."""
+        ids = copies.filter(wanted).select(F.col("record_id").alias("_id")).distinct()
+        return one_per_record(copies.join(ids, copies["record_id"].eqNullSafe(ids["_id"]), "left_semi"))
+
     def query(self, name: str, arg: str | None = None, since=None, until=None, lane: str = "", labels: Sequence[str] = ()) -> DataFrame:
         start, end = self.resolve(name, arg, since, until, labels)
         self.from_rollups = QUERIES[name].rollups and end - start > LONG_RANGE
@@ -105,10 +113,12 @@ class Engine:
             copies = self.store.copies("traces", self.store.state("traces", hours)).drop("hour")
             return catalogue.trace(one_per_record(copies.filter(F.col("trace_id") == arg.lower())), arg, start, end)
         if name == "item":
-            s, l = (one_per_record(self.store.copies(g, self.store.item_hours(arg, self.store.state(g, hours))).drop("hour"))
+            s, l = (self._once(self.store.copies(g, self.store.item_hours(arg, self.store.state(g, hours))).drop("hour"), F.col("item_key") == arg)
                     for g in ("traces", "logs"))
             return catalogue.item(s, l, arg, start, end, labels)
-        spans = self.store.table("traces", hours)
+        copies = self.store.copies("traces", self.store.state("traces", hours)).drop("hour")
+        mine = F.col("item_key").isNotNull() if name == "items" else F.col("name") == self.store.c.run_span
+        spans = self._once(copies, mine & catalogue.in_window(start, end) & (F.col("lane") == lane if lane else F.lit(True)))
         if name == "items":
             return catalogue.items(spans, start, end, lane, labels)
         return {"runs": catalogue.runs, "recent": catalogue.recent, "cost": catalogue.cost}[name](

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracehold import conventions as cv
 from tracehold.functions import otel
-from tracehold.functions.numeric import exact_sum
+from tracehold.functions.numeric import exact_sum, full_sum, whole_sum
 
 RUN_KEYS = ["lane", "model", "outcome", "harness", "repo"]
 METRIC_KEYS = ["name", "unit", "type", "temporality", "service", "attributes"]
@@ -21,11 +21,11 @@ METRIC_KEYS = ["name", "unit", "type", "temporality", "service", "attributes"]
 
 def run_rollup(spans: DataFrame, day: str = "day", c: cv.Conventions = cv.DEFAULT) -> DataFrame:
     """Run totals of each receipt day by lane, model, outcome, harness and repo."""
-    tokens = lambda key: F.sum(otel.attr(F.col("attributes"), key).try_cast("bigint"))
+    tokens = lambda key: whole_sum(otel.attr(F.col("attributes"), key))
     return (spans.filter(F.col("name") == c.run_span).groupBy(F.col(day).alias("day"), *RUN_KEYS).agg(
         F.count(F.lit(1)).alias("runs"), exact_sum(F.col("cost_usd")).cast("double").alias("cost_usd"),
         tokens(c.input_tokens).alias("input_tokens"), tokens(c.output_tokens).alias("output_tokens"),
-        exact_sum(F.col("duration_ms")).cast("double").alias("duration_ms")))
+        full_sum(F.col("duration_ms")).alias("duration_ms")))
 
 
 def series_resource(resource: Column, series_key: str, c: cv.Conventions = cv.DEFAULT) -> Column:
@@ -45,12 +45,12 @@ def metric_rollup(points: DataFrame, day: str = "day", series_key: str = "logica
     last = F.max(F.when(F.col("time").isNotNull() & F.col("value").isNotNull(), F.struct("time", "value"))).alias("last")
     series = (points.withColumn("_series", series_resource(F.col("resource"), series_key, c))
               .groupBy(F.col(day).alias("day"), *METRIC_KEYS, "_series", "start_time")
-              .agg(last, exact_sum(F.col("value")).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
-                   exact_sum(F.col("count")).alias("count"), F.count(F.lit(1)).alias("points")))
+              .agg(last, full_sum(F.col("value")).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
+                   full_sum(F.col("count")).alias("count"), F.count(F.lit(1)).alias("points")))
     adds = (F.when(F.col("type") == "gauge", None)
-            .when(F.col("temporality") == "cumulative", F.col("last.value").try_cast("decimal(38,9)")).otherwise(F.col("sum")))
+            .when(F.col("temporality") == "cumulative", F.col("last.value").cast("double")).otherwise(F.col("sum")))
     return series.groupBy("day", *METRIC_KEYS).agg(
-        F.sum(adds).cast("double").alias("total"), F.sum("count").cast("double").alias("count"),
+        full_sum(adds).alias("total"), full_sum(F.col("count")).alias("count"),
         F.min("min").alias("min"), F.max("max").alias("max"), F.sum("points").alias("points"))
 
 
@@ -61,16 +61,16 @@ def month_of(day: Column) -> Column:
 def monthly_runs(daily: DataFrame) -> DataFrame:
     return daily.groupBy(month_of(F.col("day")).alias("day"), *RUN_KEYS).agg(
         F.sum("runs").alias("runs"), exact_sum(F.col("cost_usd")).cast("double").alias("cost_usd"),
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        exact_sum(F.col("duration_ms")).cast("double").alias("duration_ms"))
+        whole_sum(F.col("input_tokens")).alias("input_tokens"), whole_sum(F.col("output_tokens")).alias("output_tokens"),
+        full_sum(F.col("duration_ms")).alias("duration_ms"))
 
 
 def monthly_metrics(daily: DataFrame) -> DataFrame:
     """A delta metric's days are added; of a cumulative metric the last day counts."""
     last = F.max(F.when(F.col("total").isNotNull(), F.struct("day", "total")))["total"]
     return (daily.withColumn("_month", month_of(F.col("day"))).groupBy("_month", *METRIC_KEYS).agg(
-        last.alias("_last"), exact_sum(F.col("total")).cast("double").alias("_sum"),
-        exact_sum(F.col("count")).cast("double").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+        last.alias("_last"), full_sum(F.col("total")).alias("_sum"),
+        full_sum(F.col("count")).alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
         F.sum("points").alias("points"))
         .select(F.col("_month").alias("day"), *METRIC_KEYS,
                 F.when(F.col("temporality") == "cumulative", F.col("_last")).otherwise(F.col("_sum")).alias("total"),

@@ -23,7 +23,8 @@ def utc(t: dt.datetime) -> dt.datetime:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the one the cluster names, else a local one (tests)."""
+    """The folder every executor can reach: the one the cluster names. Only where driver and executors are
+    one process may it be a local one; on a cluster a run without a shared folder is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tracehold-")
     sc.setCheckpointDir(local)
     return local

@@ -38,9 +38,11 @@ def read_spool(spark: SparkSession, root: str, streaming: bool = False, max_line
         reader = reader.schema("value string")
         if max_bytes_per_trigger:
             reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    base = root.rstrip("/").removeprefix("file:")
+    # Both sides without scheme and authority: a listing may spell them otherwise than the caller.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getRawPath().rstrip("/")
     raw = reader.format("text").load(root).select("value", F.col("_metadata.file_path").alias("file"))
-    rel = F.substr(F.regexp_replace("file", r"^[a-z0-9]+:(//[^/]*)?", ""), F.lit(len(base) + 2))
+    rel = F.substr(F.regexp_replace("file", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit(len(base) + 2))
     rows = raw.filter(~is_open(F.col("file"))).withColumn("rel", rel).withColumn("w", writer(F.col("rel")))
     line = clean_line(F.col("value"))
     status = F.when(F.col("w").isNull(), "ignored").otherwise(line_status(line, max_line))

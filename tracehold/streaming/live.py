@@ -45,7 +45,8 @@ def unfinished_stream(marks: DataFrame, grace: str = "1 hour") -> DataFrame:
     """``trace_id, unit, started`` of units whose span has not come ``grace`` after their start.
 
     ``marks``: trace_id, unit, what (start or span), time. State is one small row a unit, dropped when
-    its span comes or its timer fires.
+    its span comes or its timer fires. Marks may come out of order by up to ``grace``: the watermark
+    waits that long, so an end that comes late still ends its unit.
     """
     limit_ms = int(pd.Timedelta(grace).total_seconds() * 1000)
 
@@ -69,5 +70,5 @@ def unfinished_stream(marks: DataFrame, grace: str = "1 hour") -> DataFrame:
             state.update((started,))
             state.setTimeoutTimestamp(max(started // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
     marks = marks.select("trace_id", "unit", "what", "time")
-    return (marks.mapInPandas(_thin, marks.schema).withWatermark("time", "0 seconds").groupBy("trace_id", "unit").applyInPandasWithState(
+    return (marks.mapInPandas(_thin, marks.schema).withWatermark("time", grace).groupBy("trace_id", "unit").applyInPandasWithState(
         step, "trace_id string, unit string, started timestamp", "started bigint", "append", GroupStateTimeout.EventTimeTimeout))
