@@ -200,3 +200,39 @@ def test_damaged_batch_and_old_schema(spark, tmp_path):
     from tracehold.sources.parts import NewerSchema, check_version
     with pytest.raises(NewerSchema):
         check_version(bad)
+
+
+def test_damaged_batches_are_kept_aside(spark, tmp_path):
+    """A truncated batch is neither covered nor deleted; lines that hold no record are written down."""
+    root, at = str(tmp_path), NOW - H(5)
+    ship(root, "traces", at, run("a1", "1", "fix", "converged", "opus", 1.0, at), "not json")
+    ship(root, "traces", at, *[run(f"b{i}", f"{i}", "fix", "budget", "opus", 1.0, at) for i in range(200)])
+    good, bad = sorted(glob.glob(f"{root}/traces/**/*.gz", recursive=True), key=os.path.getsize)
+    data = open(bad, "rb").read()
+    open(bad, "wb").write(data[:len(data) // 2])
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW)
+    e.store.compact(NOW + H(2))
+    key = os.path.relpath(bad, root)
+    assert open(f"{root}/quarantine/files/{key}", "rb").read() == data[:len(data) // 2]
+    assert not os.path.exists(bad) and not os.path.exists(good)
+    assert rows(e.query("runs"), "outcome", "runs") == [("converged", 1)]
+    assert sorted((r.kind, r.path.rsplit("/", 1)[-1], r.lines) for r in e.store.quarantined().collect()) == [
+        ("damaged", os.path.basename(bad), None), ("malformed", os.path.basename(good), 1)]
+    assert [r.line for r in spark.read.parquet(f"{root}/quarantine/lines").collect()] == ["not json"]
+    os.makedirs(os.path.dirname(bad), exist_ok=True)  # sent again, whole
+    open(bad, "wb").write(data)
+    e.store.compact(NOW + H(3))
+    assert sorted(rows(e.query("runs"), "outcome", "runs")) == [("budget", 200), ("converged", 1)]
+
+
+def test_answers_find_candidates_first(spark, tmp_path):
+    """Filters reach the scan of the narrow pass, and a copy that differs is judged by the copy that counts."""
+    root, at = str(tmp_path), NOW - H(5)
+    ship(root, "traces", at, run("a1", "1", "fix", "converged", "opus", 1.0, at), span("cc", "d", "step", at))
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW)
+    plan = e.query("cost")._jdf.queryExecution().executedPlan().toString()
+    narrow = [x for x in plan.split("\n") if "FileScan parquet" in x and "EqualTo(name," in x]
+    assert narrow and all("attributes" not in x.split("ReadSchema")[1] for x in narrow)
+    assert rows(e.query("cost"), "model", "runs") == [("opus", 1)]

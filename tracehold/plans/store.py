@@ -5,6 +5,8 @@
     manifests/signal=<s>/hour=<h>/*.parquet                       one row per batch a part covers
     index/items/day=<yyyy-mm-dd>/*.parquet                        item index and its coverage
     rollups/<kind>/<daily|monthly>/day=<yyyy-mm-dd>/*.parquet     rollups
+    quarantine/files/<batch's key>                                batches that end before they say
+    quarantine/lines/signal=<s>/*.parquet                         lines of covered batches that hold no record
 
 The driver handles hours and days, whose number the window bounds, and never a list of files or
 records. A part without a manifest does not exist for a reader; manifests are written last.
@@ -26,7 +28,7 @@ from tracehold.operators.flatten import flatten_logs, flatten_points, flatten_sp
 from tracehold.plans import rollups
 from tracehold.schemas import ITEM_INDEX, MANIFEST, ROLLUPS, TABLE
 from tracehold.session import cut, prepare, utc
-from tracehold.sources.batches import list_files, read_batches
+from tracehold.sources.batches import list_files, read_batches, unreadable_lines, whole_files
 from tracehold.sources.keys import batch_hour
 from tracehold.sources.parts import read_parts, write_sorted
 
@@ -161,12 +163,13 @@ class Store:
         extra = {} if signal == "traces" else {"identity": self.identity}
         return _FLATTEN[signal](raw, erased=self.erased, c=self.c, keep=("hour",), **extra)
 
-    def _received(self, signal: str, dirs: Sequence[str]) -> DataFrame:
-        """Well-formed batches of some hour folders as nested rows with their receipt ``hour``."""
-        raw = read_batches(self.spark, signal, dirs)
+    def _received(self, signal: str, dirs: Sequence[str], strict: bool = False) -> DataFrame:
+        """Well-formed batches of some hour folders as nested rows with their receipt ``hour``. A strict read
+        fails at what it cannot read, a storage fault included, instead of passing over it."""
+        raw = read_batches(self.spark, signal, dirs, skip_corrupt=not strict)
         return raw.withColumn("hour", batch_hour(F.substring_index("file", "/", -7), signal)).filter("hour IS NOT NULL")
 
-    def copies(self, signal: str, states: Sequence[HourState]) -> DataFrame:
+    def copies(self, signal: str, states: Sequence[HourState], strict: bool = False) -> DataFrame:
         """Every copy of the records in some hours with their receipt ``hour``; parts and uncovered batches."""
         table = [*TABLE[signal].fieldNames(), "hour"]
         parts = [s for s in states if s.n]
@@ -180,12 +183,12 @@ class Store:
         mixed = [s for s in states if s.batches and s.n]
         if not plain and not mixed:
             return held
-        raw = self._received(signal, plain)
+        raw = self._received(signal, plain, strict)
         if mixed:
             dirs = [self._batch_dir(signal, s.hour) for s in mixed]
             covered = (self.latest(signal, [s.hour for s in mixed]).select(F.col("batch").alias("file"))
                        .join(list_files(self.spark, dirs, "*.jsonl.gz").select(F.col("path").alias("file")), "file", "left_semi"))
-            raw = raw.unionByName(self._received(signal, dirs).join(covered, "file", "left_anti"))
+            raw = raw.unionByName(self._received(signal, dirs, strict).join(covered, "file", "left_anti"))
         return held.unionByName(self._flat(signal, raw).select(*table))
 
     def table(self, signal: str, hours: Sequence[dt.datetime]) -> DataFrame:
@@ -231,7 +234,7 @@ class Store:
             holding = self.hours_holding(signal, closed)
             # The listing is written down before anything is read: a batch that lands meanwhile is read
             # again next time, and a batch the manifest names was certainly read.
-            fresh = cut(self.batch_files(st), "batches")
+            fresh = self.quarantine(signal, cut(self.batch_files(st), "batches"))
             due_hours = {r.hour for r in fresh.select("hour").distinct().collect()} | holding
             due = [s for s in st if s.hour in due_hours]
             if due:
@@ -248,13 +251,42 @@ class Store:
         self.refresh_rollups(now, rolled, lookback, grace)
         return written
 
+    def quarantine(self, signal: str, fresh: DataFrame) -> DataFrame:
+        """Of new batches (signal, hour, path) those that can be read whole. The others are moved to the
+        quarantine, never covered by a part and never deleted; lines that hold no record are written down
+        there before their batch is covered."""
+        dirs = [self._batch_dir(signal, r.hour) for r in fresh.filter(F.col("signal") == signal).select("hour").distinct().collect()]
+        if not dirs:
+            return fresh
+        checked = cut(fresh.join(whole_files(self.spark, dirs), "path", "left"), "checked")
+        for r in checked.filter("NOT coalesce(whole, false)").select("path").toLocalIterator():
+            key = "/".join(r.path.split("/")[-7:])
+            to = self._path(f"{self.root}/quarantine/files/{key}")
+            self._fs.mkdirs(to.getParent())
+            self._fs.rename(self._path(r.path), to)
+        whole = checked.filter("whole").drop("whole")
+        lines = unreadable_lines(self.spark, signal, dirs).join(whole.select(F.col("path").alias("file")), "file", "left_semi")
+        lines.withColumn("signal", F.lit(signal)).write.mode("append").partitionBy("signal").parquet(f"{self.root}/quarantine/lines")
+        return whole
+
+    def quarantined(self) -> DataFrame:
+        """``kind, path, lines`` of what was kept aside: damaged batches, and batches with lines that hold no
+        record, with their number."""
+        files, none = f"{self.root}/quarantine/files", self.spark.createDataFrame([], "kind string, path string, lines bigint")
+        if self._exists("quarantine/files"):
+            none = none.unionByName(list_files(self.spark, [files], "*.jsonl.gz").select(F.lit("damaged").alias("kind"), "path", F.lit(None).cast("bigint").alias("lines")))
+        if any(n.startswith("signal=") for n in self._names("quarantine/lines")):
+            bad = self.spark.read.parquet(f"{self.root}/quarantine/lines")
+            none = none.unionByName(bad.groupBy(F.col("status").alias("kind"), F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("lines")))
+        return none
+
     def _compact_signal(self, signal: str, due: Sequence[HourState], fresh: DataFrame, now: dt.datetime) -> DataFrame:
         base = f"{self.root}/compacted/signal={signal}"
         # A number no folder has, so a part left by a crashed pass is never appended to.
         numbers = {s.hour: max([s.n, *(int(n) for n in self._values(f"compacted/signal={signal}/hour={s.hour}", "n=") if n.isdigit())]) + 1
                    for s in due}
         number = self.spark.createDataFrame([(h, n) for h, n in numbers.items()], "hour string, n int")
-        rows = self.copies(signal, due)
+        rows = self.copies(signal, due, strict=True)
         rows = keep_one(rows, ["hour", "record_id"], [F.col("file").asc_nulls_last(), content_order(rows.drop("hour"))])
         rows = rows.join(number, "hour").withColumn("file", self.part_name(F.lit(signal), F.col("hour"), F.col("n")))
         write_sorted(rows, base, ["time", "record_id"], ["hour", "n"])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold import conventions as cv
 from tracehold.schemas import RAW, full
 
+_PIECE = 1 << 20
+
 
 def line_signal(line: Column) -> Column:
     """The one signal a line carries, or NULL when it carries none, several, or is not JSON."""
@@ -55,22 +59,60 @@ def read_lines(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = T
 
 def read_batches(spark: SparkSession, signal: str, paths: Sequence[str], skip_corrupt: bool = True,
                  max_bytes: int = cv.MAX_OBJECT_BYTES) -> DataFrame:
-    """A signal's batches as nested rows with their ``file``. Malformed and oversized lines are dropped."""
+    """A signal's batches as nested rows with their ``file``, without malformed and oversized lines (which
+    ``unreadable_lines`` gives)."""
     if not paths:
         return empty_raw(spark, signal)
     lines = read_lines(spark, paths, skip_corrupt).filter(F.octet_length("line") <= max_bytes)
     return parse_lines(lines, signal)
 
 
+def unreadable_lines(spark: SparkSession, signal: str, paths: Sequence[str], max_bytes: int = cv.MAX_OBJECT_BYTES) -> DataFrame:
+    """``file, status, line`` of the lines of whole batches that carry no record: malformed (or of another
+    signal) or oversized."""
+    lines = read_lines(spark, paths, skip_corrupt=False)
+    other = line_signal(F.col("line")) != signal
+    status = F.when((line_status(F.col("line"), max_bytes) == "ok") & other, "malformed").otherwise(line_status(F.col("line"), max_bytes))
+    return lines.select("file", status.alias("status"), "line").filter("status IN ('malformed', 'oversized')")
+
+
+def _gzip_whole(content: bytes) -> bool:
+    """Whether every gzip member of a file ends where it says, read piece by piece."""
+    left = memoryview(content)
+    try:
+        while len(left):
+            member = zlib.decompressobj(wbits=31)
+            while len(left) and not member.eof:
+                piece, left = left[:_PIECE], left[_PIECE:]
+                member.decompress(piece, _PIECE)
+                while member.unconsumed_tail:
+                    member.decompress(member.unconsumed_tail, _PIECE)
+            if not member.eof:
+                return False
+            if member.unused_data:
+                left = memoryview(member.unused_data + bytes(left))
+    except zlib.error:
+        return False
+    return len(content) > 0
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(b.num_rows):
+            yield pa.record_batch([b.column("path").slice(at, 1), pa.array([_gzip_whole(b.column("content")[at].as_py())])], ["path", "whole"])
+
+
+def whole_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*.jsonl.gz") -> DataFrame:
+    """``path, whole`` of gzip files: whether each can be read to its end. A file is a task's value, so
+    this is for batches, whose size the shipper bounds."""
+    content = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(paths))
+               .select(F.col("_metadata.file_path").alias("path"), "content"))
+    return content.mapInArrow(_whole, "path string, whole boolean")
+
+
 def list_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*") -> DataFrame:
     """``path, size, modified`` of the files under some paths, listed by Spark without reading them."""
     if not paths:
         return spark.createDataFrame([], "path string, size bigint, modified timestamp")
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
             .load(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
-
-
-def unread_files(listing: DataFrame, rows: DataFrame) -> DataFrame:
-    """Listed files that gave no row: damaged, or empty."""
-    seen = rows.select(F.col("file").alias("path")).distinct()
-    return listing.join(seen, "path", "left_anti")
