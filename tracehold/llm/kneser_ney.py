@@ -37,7 +37,7 @@ from tracehold.llm.common import as_bytes, bits_for, columns, crc_mod, cut, slic
 from tracehold.llm.golomb_dedup import decode, encode
 
 HELD_OUT, HELD_AT = 5, 1
-BATCH_TOKENS, WORDS, PAIRS, HOT = 4_000_000, 1 << 20, 1 << 21, 1 << 16
+BATCH_TOKENS, WORDS, PAIRS, HOT = 2_000_000, 1 << 20, 1 << 21, 1 << 16
 _hash = xxhash.xxh64_intdigest
 #: A word has no white space, so these are no word's.
 END, BEGIN = _hash(b" end"), _hash(b" begin")
