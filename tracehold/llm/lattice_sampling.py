@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Edges of word lattices that a task remembers, and bytes of text walked at once.
 REMEMBERED, WALKED = 4_000_000, 1 << 20
+#: Words a task knows to have met once.
+MET = 500_000
 _BLOCK = 512
 #: Low bits that the buckets of the prefix table leave out.
 _TOP = 46
@@ -75,12 +77,17 @@ class Lattices:
             for k in range(1, len(p)):
                 prefixes.setdefault(p[:k], (-1, 0.0))
             prefixes[p] = (i, w)
-        h = np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)) for p in prefixes], np.uint64)
+        size = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+        codes, h = np.frombuffer("".join(prefixes).encode("utf-32-le"), np.uint32).astype(np.uint64), np.zeros(len(prefixes), np.uint64)
+        at, start = np.arange(len(prefixes)), np.cumsum(size) - size
+        for k in range(self.longest):
+            at = at[size[at] > k]
+            h[at] = self._mix(h[at], codes[start[at] + k])
         order = np.argsort(h)
         self._prefix = h[order]
         self._piece, self._weight = [np.array(x)[order] for x in zip(*prefixes.values())]
         starts = np.searchsorted(self._prefix >> np.uint64(_TOP), np.arange(1 << 64 - _TOP, dtype=np.uint64))
-        self._bucket, self._deepest = np.minimum(starts, len(order) - 1), int(np.diff(starts, append=len(order)).max())
+        self._bucket = np.minimum(starts, len(order) - 1)
         for n, t in (self._BY_STATE | self._BY_EDGE).items():
             setattr(self, n, np.zeros(1 << 12, t))
         self.forget()
@@ -88,20 +95,13 @@ class Lattices:
     def _prefixes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the hashes among those of all prefixes of pieces, and which are there."""
         k = self._bucket[(h >> np.uint64(_TOP)).astype(np.int64)]
-        for _ in range(self._deepest - 1):
-            less = np.flatnonzero(self._prefix[k] < h)
-            if not len(less):
-                break
-            k[less] = np.minimum(k[less] + 1, len(self._prefix) - 1)
+        less = np.flatnonzero(self._prefix[k] < h)
+        while len(less):
+            less = less[k[less] + 1 < len(self._prefix)]
+            k[less] += 1
+            less = less[self._prefix[k[less]] < h[less]]
         return k, self._prefix[k] == h
 
-    @staticmethod
-    def _hash(codes) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in codes:
-            h = Lattices._mix(h, np.array([c], np.uint64))
-        return h[0]
-
     @staticmethod
     def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -111,6 +111,8 @@ class Lattices:
     def forget(self) -> None:
         self.first: dict[str, int] = {}
         self.states = self.edges = 0
+        self._passing: list[str] = []
+        self._met: set[int] = set()
 
     def _append(self, names, count: int, n: int, spare: int, **new) -> int:
         for name in names:
@@ -122,8 +124,25 @@ class Lattices:
         return n + count
 
     def learn(self, units: list[str]) -> None:
-        """Work out the lattices of words that are not known yet, all at once."""
+        """Work out the lattices of words that are not known yet. A word met for the first time is known
+        until the next call only: most such words never come again."""
+        if self._passing:
+            for u in self._passing:
+                del self.first[u]
+            self.states, self.edges = self._kept
+            self.start[self.states] = self.edges
         fresh = [u for u in dict.fromkeys(units) if u not in self.first]
+        met = list(map(hash, fresh))
+        again = [u for u, h in zip(fresh, met) if h in self._met]
+        self._passing = [u for u, h in zip(fresh, met) if h not in self._met]
+        if len(self._met) > MET:
+            self._met.clear()
+        self._met.update(met)
+        self._add(again)
+        self._kept = self.states, self.edges
+        self._add(self._passing)
+
+    def _add(self, fresh: list[str]) -> None:
         if not fresh:
             return
         # the mark for spaces is a character too: where a text holds it, it goes as bytes
@@ -270,7 +289,7 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
             if len(best) > k and -37.0 - log_before[a] > best[k][0]:
                 break
             good = a + np.flatnonzero(log_rest[a:a + _BLOCK] > -np.inf)
-            wait = np.log(-np.log(uniform(np.full(len(good), key, np.uint64), (1 << 20) + stream, place[good]))) - log_before[good] - log_rest[good]
+            wait = np.log(-np.log(uniform(key, (1 << 20) + stream, place[good]))) - log_before[good] - log_rest[good]
             times = np.logaddexp(logt, wait)
             if len(times) > k + 1:
                 least = np.sort(np.argpartition(times, k)[:k + 1])
@@ -370,8 +389,14 @@ _FIELDS = [("sample", pa.int32()), ("n_pieces", pa.int32()), ("log_prob", pa.flo
 _COLUMNS = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
+@lru_cache(maxsize=1)
+def _sampler(model: str, samples: int) -> tuple[Sampler, list[bytes]]:
+    """Kept by a Python worker from task to task, with the lattices it knows; no draw depends on them."""
+    return Sampler(model, samples), byte_table(model)
+
+
 def _encode(model: str, samples: int, check: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sampler, of = Sampler(model, samples), byte_table(model) if check else []
+    sampler, of = _sampler(model, samples)
     for b in slices(batches, 64):
         texts = b.column("text").to_pylist()
         got = list(sampler.sample(b.column("doc_id").to_pylist(), texts))
