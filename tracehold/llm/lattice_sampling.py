@@ -17,6 +17,7 @@ row key, the sample's number and the place in the text: it depends on no batch,
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -249,6 +250,28 @@ def uniform(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
 
 
+def uniform_one(seed: int, stream: int, place: int) -> float:
+    """The same number for a single place."""
+    mask = (1 << 64) - 1
+    x = (place * 0x9E3779B97F4A7C15 + seed + stream * 0xD1342543DE82EF95) & mask
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return ((x ^ x >> 31) >> 12) / (1 << 52) + 0.5 / (1 << 52)
+
+
+def walk_one(net: Lattices, state: int, at: int, seed: int, stream: int) -> tuple[list[int], list[int]]:
+    """A sampled path from one state to its word's end: edges and places."""
+    edges, places = [], []
+    while state >= 0:
+        place = at + int(net.offset[state])
+        u = uniform_one(seed, stream, place)
+        e = int(net.start[state]) if u < net.lead[state] else int(np.searchsorted(net.upto[:net.edges], state + min(u, 1 - 2.0 ** -29), side="right"))
+        edges.append(e)
+        places.append(place)
+        state = int(net.next[e])
+    return edges, places
+
+
 def walk(net: Lattices, first: np.ndarray, at: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A sampled path of each word from its state ``first``: edges in order, their words, their places."""
     word, state, parts = np.arange(len(first)), first, []
@@ -273,9 +296,8 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
     """Up to len(paths) distinct segmentations of one text, best perturbed value first: log-probability,
     perturbed value, log of the inclusion probability, piece ids. ``paths`` are sampled paths of all its
     words, used to complete a prefix."""
-    k, one = len(paths), np.array([seed], np.uint64)
-    key = np.uint64(seed)
-    t0 = float(np.log(-np.log(uniform(one, 1 << 20, np.zeros(1, np.int64))[0])))
+    k, key = len(paths), np.uint64(seed)
+    t0 = math.log(-math.log(uniform_one(seed, 1 << 20, 0)))
     if not len(first):
         return [(0.0, -t0, 0.0, np.zeros(0, np.int32))]
     queue, found, serial = [(t0, 0, None)], [], 0
@@ -312,18 +334,20 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
             rest = [x for x in range(net.start[state], net.start[state + 1]) if x not in barred]
             p = np.exp(net.logp[rest])
             # the place of a branch is the old path's, so that its draw does not depend on the queue
-            u = uniform(one, (1 << 21) + len(found), op[i:i + 1])[0]
+            u = uniform_one(seed, (1 << 21) + len(found), int(op[i]))
             pick = rest[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(rest) - 1)]
             here, nxt = int(ow[i]), int(net.next[pick])
-            tail = walk(net, np.array([nxt]), at[here:here + 1], one, stream) if nxt >= 0 else (np.zeros(0, np.int64),) * 3
+            tail, tail_at = walk_one(net, nxt, int(at[here]), seed, stream)
             later = np.searchsorted(word, here, side="right")
-            edges = np.concatenate([oe[:i], [pick], tail[0], e[later:]])
-            words = np.concatenate([ow[:i], [here], np.full(len(tail[0]), here), word[later:]])
-            places = np.concatenate([op[:i + 1], tail[2], place[later:]])
+            edges = np.concatenate([oe[:i], [pick, *tail], e[later:]])
+            words = np.concatenate([ow[:i], [here] * (1 + len(tail)), word[later:]])
+            places = np.concatenate([op[:i + 1], np.array(tail_at, np.int64), place[later:]])
             done = i + 1
             others = [x for x in rest if x != pick]
             if others:
-                push(logt, net.logp[oe[:i]].sum(keepdims=True), np.log(np.exp(net.logp[others]).sum(keepdims=True)), op[i:i + 1], stream + 1, lambda _, old=old, i=i, barred=barred, pick=pick: (old, i, barred | {pick}))
+                mass = float(net.logp[oe[:i]].sum() + np.log(np.exp(net.logp[others]).sum()))
+                serial += 1
+                heapq.heappush(queue, (float(np.logaddexp(logt, math.log(-math.log(uniform_one(seed, (1 << 20) + stream + 1, int(op[i])))) - mass)), serial, (old, i, barred | {pick})))
         upto = np.cumsum(net.logp[edges])
         path = (edges, words, places)
         push(logt, np.concatenate([[0.0], upto])[done:-1], net.rest[edges[done:]], places[done:], stream, lambda j, path=path, done=done: (path, done + j, frozenset([int(path[0][done + j])])))
