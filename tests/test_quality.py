@@ -123,3 +123,17 @@ def test_retention(spark):
     plan = reports.retention_plan(spark.createDataFrame(rows, "key string, size bigint"), now, dt.timedelta(days=6), max_bytes=200)
     got = sorted((r.reason, r.key.split("/")[3] if r.key.startswith("traces") else r.key) for r in plan.collect())
     assert got == [("age", "27"), ("age", "28"), ("age", "rollups/runs/daily/2024-01-01.parquet"), ("size", "01"), ("size", "29"), ("size", "30")]
+
+
+def test_a_tool_that_wrote_nothing(spark):
+    """Its spool run fails rule 3; rules without anything to judge are skipped, not passed."""
+    runs = spark.createDataFrame([("quiet", "spool", "m", "t1", "s1")], "scenario string, run_kind string, marker string, expected_trace_id string, expected_span_id string")
+    attrs = "array<struct<k:string,v:string>>"
+    c = spark.createDataFrame([], f"kind string, name string, service string, resource {attrs}, attributes {attrs}, trace_id string, span_id string, parent_span_id string, status string, scenario string, run_kind string, destination string, writer string")
+    reg = spark.createDataFrame([], "tool string, version string, kind string, name string, is_template boolean")
+    limits = spark.createDataFrame([], "metric string, attr string, limit bigint")
+    got = lambda df: [(r.rule, r.status) for r in df.orderBy("rule").collect()]
+    assert got(q.resource(c, runs, SPEC)) == [(2, q.SKIPPED)]
+    assert got(q.joins_trace(c, runs, SPEC)) == [(3, q.FAIL), (4, q.SKIPPED)]
+    assert got(q.declared_names(c, reg, SPEC, runs)) == [(7, q.SKIPPED)]
+    assert got(q.cardinality_check(c, limits, SPEC, runs)) == [(8, q.SKIPPED)]

@@ -236,3 +236,23 @@ def test_answers_find_candidates_first(spark, tmp_path):
     narrow = [x for x in plan.split("\n") if "FileScan parquet" in x and "EqualTo(name," in x]
     assert narrow and all("attributes" not in x.split("ReadSchema")[1] for x in narrow)
     assert rows(e.query("cost"), "model", "runs") == [("opus", 1)]
+
+
+def test_retention_over_the_store_s_own_layout(spark, tmp_path):
+    from tracehold.sources.keys import key_span, parse_key
+    root, at = str(tmp_path), NOW - H(5)
+    ship(root, "traces", at, run("a1", "1", "fix", "converged", "opus", 1.0, at, attributes={cv.ITEM_KEY: "I-1"}))
+    ship(root, "traces", at - D(9), run("old", "9", "fix", "converged", "opus", 1.0, at - D(9), attributes={cv.ITEM_KEY: "I-1"}))
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW, lookback=D(12), keep=H(0))
+    files = [os.path.relpath(f, root) for f in glob.glob(f"{root}/**/*.parquet", recursive=True)]
+    kinds = {r.k: r.kind for r in spark.createDataFrame([(f,) for f in files], "k string").select("k", parse_key(F.col("k"))["kind"].alias("kind"), key_span(F.col("k"))["start"].alias("s")).collect()}
+    assert {(k.split("/")[0], v) for k, v in kinds.items() if v != "ignored"} >= {("compacted", "compacted"), ("index", "index"), ("rollups", "daily")}
+    assert all(k.startswith("manifests/") for k, v in kinds.items() if v == "ignored")
+    gone = rows(e.store.retain(NOW), "folder", "reason")
+    hour = (at - D(9)).strftime("%Y-%m-%d-%H")
+    assert {f for f, _ in gone} >= {f"compacted/signal=traces/hour={hour}", f"manifests/signal=traces/hour={hour}", f"index/items/day={hour[:10]}"} and {r for _, r in gone} == {"age"}
+    assert not any("rollups" in f for f, _ in gone)
+    assert rows(e.query("recent", since=NOW - D(20)), "trace_id") == [("a1".rjust(32, "0"),)]
+    assert {r for _, r in rows(e.store.retain(NOW, max_bytes=1), "folder", "reason")} == {"size"}
+    assert e.query("recent", since=NOW - D(20)).count() == 0

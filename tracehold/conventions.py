@@ -84,6 +84,11 @@ PART_KEY = (r"^compacted/(traces|logs|metrics)/(\d{4})/(\d{2})/(\d{2})/(\d{2})/"
 INDEX_KEY = r"^index/items/(\d{4})/(\d{2})/(\d{2})\.parquet\z"
 DAILY_KEY = r"^rollups/(runs|metrics)/daily/(\d{4})-(\d{2})-(\d{2})\.parquet\z"
 MONTHLY_KEY = r"^rollups/(runs|metrics)/monthly/(\d{4})-(\d{2})\.parquet\z"
+# The same as the store writes it: folders that name their hour or day.
+STORE_PART_KEY = r"^compacted/signal=(traces|logs|metrics)/hour=(\d{4})-(\d{2})-(\d{2})-(\d{2})/n=([1-9]\d*)/[^/]+\.parquet\z"
+STORE_INDEX_KEY = r"^index/items/day=(\d{4})-(\d{2})-(\d{2})/[^/]+\.parquet\z"
+STORE_DAILY_KEY = r"^rollups/(runs|metrics)/daily/day=(\d{4})-(\d{2})-(\d{2})/[^/]+\.parquet\z"
+STORE_MONTHLY_KEY = r"^rollups/(runs|metrics)/monthly/day=(\d{4})-(\d{2})-01/[^/]+\.parquet\z"
 REGISTRY_KEY = (r"^registries/([a-z0-9][a-z0-9._-]{0,62})/([a-z0-9][a-z0-9_-]{0,31})/"
                 r"([A-Za-z0-9][A-Za-z0-9._~-]{0,63})/([0-9a-f]{64})\.json\z")
 

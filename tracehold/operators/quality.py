@@ -86,16 +86,29 @@ def routing(c: DataFrame, runs: DataFrame, spec: Spec) -> DataFrame:
                     F.concat("spool", F.lit(" in the spool, "), "endpoint", F.lit(" at the endpoint, "), "stray", F.lit(" stray")))
 
 
+def per_run(runs: DataFrame, records: DataFrame):
+    """Records grouped by the runs that could have sent them; a run that sent none is a group too, with one
+    row whose ``kind`` is NULL."""
+    sent = runs.filter(F.col("run_kind").isin("spool", "endpoint"))
+    of = sent.join(records.drop("destination"), ["scenario", "run_kind"], "left")
+    return of.groupBy("scenario", F.col("run_kind").alias("destination"))
+
+
+def every_scenario(x: DataFrame, runs: DataFrame | None, counts: Sequence[str]) -> DataFrame:
+    """A rule's counts with a row of zeros for each scenario that gave none."""
+    return x if runs is None else runs.select("scenario").distinct().join(x, "scenario", "left").fillna(0, list(counts))
+
+
 def resource(c: DataFrame, runs: DataFrame, spec: Spec) -> DataFrame:
     """Rule 2: every own record names its service, version and instance and carries the run's marker.
     ``runs``: scenario, run_kind, marker."""
-    tool = c.filter(own(spec) & (F.col("run_kind") == F.col("destination"))).join(runs.select("scenario", "run_kind", "marker"), ["scenario", "run_kind"])
+    tool = c.filter(own(spec) & (F.col("run_kind") == F.col("destination")))
     lacks = [F.coalesce(otel.attr(F.col("resource"), k), F.lit("")) == "" for k in REQUIRED]
     missing = sum((x.cast("int") for x in lacks), F.lit(0))
-    x = tool.groupBy("scenario", "destination").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(missing).alias("missing"), F.count_if(F.col("service") == spec.service).alias("named"),
-        F.count_if(~otel.attr(F.col("resource"), spec.marker_key).eqNullSafe(F.col("marker"))).alias("unmarked"))
-    status = F.when((F.col("missing") > 0) | (F.col("named") == 0) | (F.col("unmarked") > 0), FAIL).otherwise(PASS)
+    x = per_run(runs, tool).agg(
+        F.count("kind").alias("n"), F.sum(missing).alias("missing"), F.count_if(F.col("service") == spec.service).alias("named"),
+        F.count_if(F.col("kind").isNotNull() & ~otel.attr(F.col("resource"), spec.marker_key).eqNullSafe(F.col("marker"))).alias("unmarked"))
+    status = F.when(F.col("n") == 0, SKIPPED).when((F.col("missing") > 0) | (F.col("named") == 0) | (F.col("unmarked") > 0), FAIL).otherwise(PASS)
     detail = F.concat("n", F.lit(" records, "), "missing", F.lit(" attributes missing, "), "unmarked", F.lit(" without the marker"))
     return _verdict(x, 2, F.concat(F.lit("resource: "), F.col("destination")), status, detail)
 
@@ -110,12 +123,11 @@ def missing_resource(c: DataFrame, spec: Spec) -> DataFrame:
 def joins_trace(c: DataFrame, runs: DataFrame, spec: Spec) -> DataFrame:
     """Rules 3 and 4: the tool's spans are in the trace it was given, one under the given span; and
     so are the spans of what it started. ``runs``: scenario, run_kind, expected_trace_id, expected_span_id."""
-    s = c.filter((F.col("kind") == "span") & (F.col("run_kind") == F.col("destination"))).join(
-        runs.select("scenario", "run_kind", "expected_trace_id", "expected_span_id"), ["scenario", "run_kind"])
+    s, mine = c.filter((F.col("kind") == "span") & (F.col("run_kind") == F.col("destination"))), own(spec) & F.col("kind").isNotNull()
     inside = F.col("trace_id").eqNullSafe(F.col("expected_trace_id"))
-    x = s.groupBy("scenario", "destination").agg(
-        F.count_if(own(spec)).alias("n"), F.count_if(own(spec) & ~inside).alias("foreign"),
-        F.coalesce(F.bool_or(own(spec) & inside & F.col("parent_span_id").eqNullSafe(F.col("expected_span_id"))), F.lit(False)).alias("joined"),
+    x = per_run(runs, s).agg(
+        F.count_if(mine).alias("n"), F.count_if(mine & ~inside).alias("foreign"),
+        F.coalesce(F.bool_or(mine & inside & F.col("parent_span_id").eqNullSafe(F.col("expected_span_id"))), F.lit(False)).alias("joined"),
         F.count_if(~own(spec)).alias("others"), F.count_if(~own(spec) & ~inside).alias("outside"))
     three = _verdict(x, 3, F.concat(F.lit("joins the given trace: "), F.col("destination")),
                      F.when(F.col("n") == 0, F.when(F.col("destination") == "spool", FAIL).otherwise(SKIPPED))
@@ -187,8 +199,9 @@ def torn_files(files: DataFrame) -> DataFrame:
     return files.filter((F.octet_length("content") > 0) & (F.hex(F.substring("content", -1, 1)) != "0A")).select("path")
 
 
-def declared_names(c: DataFrame, registry: DataFrame, spec: Spec) -> DataFrame:
-    """Rule 7: every name under the tool's prefix is in its registry."""
+def declared_names(c: DataFrame, registry: DataFrame, spec: Spec, runs: DataFrame | None = None) -> DataFrame:
+    """Rule 7: every name under the tool's prefix is in its registry. With ``runs``, a scenario that used no
+    name is skipped."""
     mine = c.filter((F.col("service") == spec.service) & (F.col("run_kind") == F.col("destination")))
     names = F.concat(F.array(otel.row(kind=F.col("kind"), name=F.col("name"))),
                      F.transform(F.col("attributes"), lambda a: otel.row(kind=F.lit("attribute"), name=a["k"])),
@@ -201,7 +214,8 @@ def declared_names(c: DataFrame, registry: DataFrame, spec: Spec) -> DataFrame:
     bad = undeclared(flat, reg).select("kind", "name").distinct()
     b = used.join(bad, ["kind", "name"], "left_semi").groupBy("scenario").agg(F.count(F.lit(1)).alias("bad"))
     x = used.groupBy("scenario").agg(F.sum("count").alias("n")).join(b, "scenario", "left").fillna(0, ["bad"])
-    return _verdict(x, 7, F.lit("names: records"), F.when(F.col("bad") > 0, FAIL).otherwise(PASS), F.concat("bad", F.lit(" undeclared names in "), "n"))
+    x = every_scenario(x, runs, ["n", "bad"])
+    return _verdict(x, 7, F.lit("names: records"), F.when(F.col("n") == 0, SKIPPED).when(F.col("bad") > 0, FAIL).otherwise(PASS), F.concat("bad", F.lit(" undeclared names in "), "n"))
 
 
 def registry_diff(printed: DataFrame, declared: DataFrame) -> DataFrame:
@@ -217,16 +231,17 @@ def metric_values(c: DataFrame, spec: Spec) -> DataFrame:
             .select("scenario", "metric", F.col("a.k").alias("attr"), F.col("a.v").alias("value")))
 
 
-def cardinality_check(c: DataFrame, limits: DataFrame, spec: Spec) -> DataFrame:
-    """Rule 8: metric attributes carry no ids and stay inside the declared limits.
-    ``limits``: metric, attr, limit."""
+def cardinality_check(c: DataFrame, limits: DataFrame, spec: Spec, runs: DataFrame | None = None) -> DataFrame:
+    """Rule 8: metric attributes carry no ids and stay inside the declared limits. With ``runs``, a scenario
+    without points is skipped. ``limits``: metric, attr, limit."""
     values = metric_values(c, spec).distinct()
     per = values.groupBy("scenario", "metric", "attr").agg(F.count("value").alias("n"), F.bool_or(id_like(F.col("value")).isNotNull()).alias("id"))
     x = per.join(limits, ["metric", "attr"], "left").groupBy("scenario").agg(
         F.count_if(F.col("id")).alias("ids"), F.count_if((F.col("limit") > 0) & (F.col("n") > F.col("limit"))).alias("over"))
     points = c.filter((F.col("kind") == "metric") & own(spec)).groupBy("scenario").agg(F.count(F.lit(1)).alias("points"))
     x = points.join(x, "scenario", "left").fillna(0, ["ids", "over"])
-    return _verdict(x, 8, F.lit("cardinality"), F.when((F.col("ids") > 0) | (F.col("over") > 0), FAIL).otherwise(PASS),
+    x = every_scenario(x, runs, ["points", "ids", "over"])
+    return _verdict(x, 8, F.lit("cardinality"), F.when(F.col("points") == 0, SKIPPED).when((F.col("ids") > 0) | (F.col("over") > 0), FAIL).otherwise(PASS),
                     F.concat("ids", F.lit(" attributes hold ids, "), "over", F.lit(" are over their limit")))
 
 
@@ -339,7 +354,7 @@ def store_unchanged(before: DataFrame, after: DataFrame, hits: DataFrame, scenar
 def run_checks(c: DataFrame, runs: DataFrame, registry: DataFrame, limits: DataFrame, spec: Spec) -> DataFrame:
     """The rules that need only a capture, its runs and the tool's registry."""
     checks = [routing(c, runs, spec), resource(c, runs, spec), joins_trace(c, runs, spec), started_events(c, runs, spec),
-              declared_names(c, registry, spec), cardinality_check(c, limits, spec), outcomes(c, runs, spec)]
+              declared_names(c, registry, spec, runs), cardinality_check(c, limits, spec, runs), outcomes(c, runs, spec)]
     out = checks[0]
     for x in checks[1:]:
         out = out.unionByName(x)

@@ -331,6 +331,55 @@ class Store:
             n += 1
         return n
 
+    # --- retention ----------------------------------------------------------------------------
+    def _bytes(self, folder: str) -> int:
+        p = self._path(f"{self.root}/{folder}")
+        return self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
+
+    def _hours_held(self) -> set[str]:
+        """Hours with batches or parts, from folder names."""
+        out: set[str] = set()
+        for s in cv.SIGNALS:
+            out |= self._values(f"compacted/signal={s}", "hour=")
+            for y in filter(str.isdigit, self._names(s)):
+                for m in filter(str.isdigit, self._names(f"{s}/{y}")):
+                    for d in filter(str.isdigit, self._names(f"{s}/{y}/{m}")):
+                        out |= {f"{y}-{m}-{d}-{h}" for h in self._names(f"{s}/{y}/{m}/{d}") if h.isdigit()}
+        return out
+
+    def retain(self, now: dt.datetime, records: dt.timedelta | None = dt.timedelta(days=7), rolled: dt.timedelta | None = dt.timedelta(days=396),
+               max_bytes: int = 1 << 30) -> DataFrame:
+        """Delete what is past its time: whole hours of batches, parts and manifests, days of the index, days
+        and months of rollups; then, while the records left are over ``max_bytes`` (0: no limit), their
+        oldest hours. Folders go in one call each, so the work is of hours and days, not of files. Returns
+        ``folder, bytes, reason``."""
+        gone: list[tuple[str, int, str]] = []
+
+        def drop(folder: str, reason: str) -> None:
+            if self._exists(folder):
+                gone.append((folder, self._bytes(folder), reason))
+                self._delete(f"{self.root}/{folder}")
+
+        def of(hour: str) -> list[str]:
+            return [f for s in cv.SIGNALS for f in (f"{s}/{hour.replace('-', '/')}", f"compacted/signal={s}/hour={hour}", f"manifests/signal={s}/hour={hour}")]
+        total = 0
+        for hour in sorted(self._hours_held(), reverse=True):
+            old = records is not None and dt.datetime.strptime(hour, HOUR) + dt.timedelta(hours=1) < now - records
+            total += 0 if old else sum(map(self._bytes, of(hour)))
+            for folder in of(hour) if old or 0 < max_bytes < total else ():
+                drop(folder, "age" if old else "size")
+        for day in self._values("index/items", "day="):
+            if records is not None and dt.datetime.fromisoformat(day) + dt.timedelta(days=1) < now - records:
+                drop(f"index/items/day={day}", "age")
+        for kind in ROLLUPS:
+            for period in ("daily", "monthly"):
+                for day in self._values(f"rollups/{kind}/{period}", "day="):
+                    start = dt.date.fromisoformat(day)
+                    end = start + dt.timedelta(days=1) if period == "daily" else rollups.next_month(start)
+                    if rolled is not None and dt.datetime.combine(end, dt.time()) < now - rolled:
+                        drop(f"rollups/{kind}/{period}/day={day}", "age")
+        return self.spark.createDataFrame(gone, "folder string, bytes bigint, reason string")
+
     # --- item index ---------------------------------------------------------------------------
     def part_days(self, signals: Sequence[str]) -> set[dt.date]:
         return {dt.datetime.strptime(h, HOUR).date() for s in signals for h in self._values(f"compacted/signal={s}", "hour=")}

@@ -35,12 +35,14 @@ def batch_hour(key: Column, signal: str) -> Column:
 def parse_key(key: Column) -> Column:
     """``struct<kind, signal, start, end, rollup, collector, source, tool, version, sha256, n, manifest>``.
 
-    ``kind`` is batch, compacted, index, daily, monthly, registry or ignored: anything that is not of
-    exactly the shape a writer makes is ignored, so a stray file never becomes data.
+    ``kind`` is batch, compacted, index, daily, monthly, registry or ignored. Single part files and the
+    store's own folders are both known; anything that is not of exactly a shape a writer makes is ignored, so a stray file never becomes data.
     """
-    batch, part = _batch_time(key, *cv.SIGNALS), _time(key, cv.PART_KEY, "$2-$3-$4 $5", "compacted/")
-    index, daily = _time(key, cv.INDEX_KEY, "$1-$2-$3 00", "index/"), _time(key, cv.DAILY_KEY, "$2-$3-$4 00", "rollups/")
-    monthly = _time(key, cv.MONTHLY_KEY, "$2-$3-01 00", "rollups/")
+    own_part = _time(key, cv.STORE_PART_KEY, "$2-$3-$4 $5", "compacted/signal=")
+    batch, part = _batch_time(key, *cv.SIGNALS), F.coalesce(own_part, _time(key, cv.PART_KEY, "$2-$3-$4 $5", "compacted/"))
+    index = F.coalesce(_time(key, cv.STORE_INDEX_KEY, "$1-$2-$3 00", "index/items/day="), _time(key, cv.INDEX_KEY, "$1-$2-$3 00", "index/"))
+    daily = F.coalesce(_time(key, cv.STORE_DAILY_KEY, "$2-$3-$4 00", *[f"rollups/{k}/daily/day=" for k in ("runs", "metrics")]), _time(key, cv.DAILY_KEY, "$2-$3-$4 00", "rollups/"))
+    monthly = F.coalesce(_time(key, cv.STORE_MONTHLY_KEY, "$2-$3-01 00", *[f"rollups/{k}/monthly/day=" for k in ("runs", "metrics")]), _time(key, cv.MONTHLY_KEY, "$2-$3-01 00", "rollups/"))
     registry = key.rlike(cv.REGISTRY_KEY)
     kind = (F.when(batch.isNotNull(), "batch").when(part.isNotNull(), "compacted").when(index.isNotNull(), "index")
             .when(daily.isNotNull(), "daily").when(monthly.isNotNull(), "monthly")
@@ -49,10 +51,11 @@ def parse_key(key: Column) -> Column:
     end = (F.when(batch.isNotNull() | part.isNotNull(), start + F.expr("INTERVAL 1 HOUR"))
            .when(index.isNotNull() | daily.isNotNull(), start + F.expr("INTERVAL 1 DAY"))
            .when(monthly.isNotNull(), F.add_months(start, 1).cast("timestamp")))
-    numbered = F.when(part.isNotNull(), F.regexp_extract(key, r"-(\d+)\.(parquet|json)$", 1).try_cast("int"))
+    numbered = (F.when(own_part.isNotNull(), F.regexp_extract(key, cv.STORE_PART_KEY, 6).try_cast("int"))
+                .when(part.isNotNull(), F.regexp_extract(key, r"-(\d+)\.(parquet|json)$", 1).try_cast("int")))
     return F.struct(
         kind.alias("kind"),
-        F.when(batch.isNotNull(), _part(key, cv.BATCH_KEY, 1)).when(part.isNotNull(), _part(key, cv.PART_KEY, 1)).alias("signal"),
+        F.when(batch.isNotNull(), _part(key, cv.BATCH_KEY, 1)).when(own_part.isNotNull(), _part(key, cv.STORE_PART_KEY, 1)).when(part.isNotNull(), _part(key, cv.PART_KEY, 1)).alias("signal"),
         start.alias("start"), end.alias("end"), (daily.isNotNull() | monthly.isNotNull()).alias("rollup"),
         F.when(batch.isNotNull(), _part(key, cv.BATCH_KEY, 6)).when(registry, _part(key, cv.REGISTRY_KEY, 1)).alias("collector"),
         F.when(batch.isNotNull(), _part(key, cv.BATCH_KEY, 8)).alias("source"),
