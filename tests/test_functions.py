@@ -103,3 +103,35 @@ def test_sql_functions(spark):
         mask_attrs(array(named_struct('k','user.name','v','bob')))[0].v masked,
         labels_of(array(named_struct('k','%steam','v','r'))) l""" % cv.LABEL_PREFIX).first()
     assert (row.k, row.m, row.a, row.e, row.masked, row.l) == ("client", True, "1", True, cv.ERASED, {"team": "r"})
+
+
+def test_sums_of_any_size(spark):
+    """Tiny, huge and non-finite values count; plain ones are exact in any order; whole numbers do not overflow on the way."""
+    from tracehold.functions.numeric import full_sum, whole_sum
+    total = lambda values: spark.createDataFrame([(v,) for v in values], "x double").select(full_sum(F.col("x"))).first()[0]
+    assert total([3e-10] * 10 + [None]) == pytest.approx(3e-9, rel=1e-12) and total([1e30, 1e30]) == 2e30
+    assert total([0.1] * 10) == 1.0 and total([]) is None and total([None]) is None
+    assert total([1e30, 0.1, -1e30]) == pytest.approx(0.1) and total([float("inf"), 1.0]) == float("inf")
+    whole = lambda values: spark.createDataFrame([(v,) for v in values], "x string").select(whole_sum(F.col("x"))).first()[0]
+    top = str((1 << 63) - 1)
+    assert whole([top, "1", "-1"]) == (1 << 63) - 1 and whole([top, "1"]) is None and whole(["x", "2"]) == 2
+
+
+def test_shared_folder_is_asked_for_off_local_mode():
+    from tracehold.session import shared_dir
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: Nothing()})())
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)

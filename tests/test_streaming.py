@@ -111,3 +111,13 @@ def test_counts_and_crashes(spark, tmp_path):
     add(("t4", "u", "start", NOW + H(3)))
     run_once()
     assert [(r.trace_id, r.unit) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("t1", "u")]
+
+
+def test_spool_under_a_uri(spark, tmp_path):
+    """However its root is spelled, a spool's lines are told apart the same way."""
+    spool = spool_of(tmp_path)
+    one = lambda root: sorted((r.rel, r.status) for r in read_spool(spark, root).select("rel", "status").collect())
+    want = one(spool)
+    assert any(s == "ok" for _, s in want)
+    for root in (f"file://{spool}", f"file:{spool}/", f"{spool}/"):
+        assert one(root) == want
