@@ -243,11 +243,18 @@ def uniform(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x9E3779B97F4A7C15)
         x += seed
         x += np.uint64(stream) * np.uint64(0xD1342543DE82EF95)
+        high = np.empty_like(x)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x ^= x >> np.uint64(shift)
+            np.right_shift(x, np.uint64(shift), out=high)
+            x ^= high
             x *= np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
+        np.right_shift(x, np.uint64(31), out=high)
+        x ^= high
+        x >>= np.uint64(12)
+    u = x.astype(float)
+    u += 0.5
+    u *= 1 / (1 << 52)
+    return u
 
 
 def uniform_one(seed: int, stream: int, place: int) -> float:
