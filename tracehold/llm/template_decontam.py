@@ -4,9 +4,11 @@ Both sides are read as tokens, the typed ones replaced by placeholders, and cut
 tokens. As a copy in other letter case hides its names, every text is also read without name slots, and
 either reading may match. Windows meet in a hash join, so a benchmark of any size works; a bitmap of fixed size, made of
 all benchmark windows, spares the shuffle the windows of documents that no item can have. A pair of a
-document and an item counts when a stretch of the document holds at least 0.8 of the item's windows and
-the slots agree: one value of the item stands for one value of the document throughout (a question with
-other numbers or names), or for itself (a plain copy).
+document and an item counts when the document holds at least 0.8 of the item's windows in one alignment
+and the slots agree: one value of the item stands for one value of the document throughout (a question
+with other numbers or names), or for itself (a plain copy). An alignment is a place of the item in the
+document; windows that an insertion moved away from it by the item's length at most count too. As slots
+alone say little, what is not a plain copy must match three of the item's plain words, or all it has.
 """
 
 from __future__ import annotations
@@ -102,8 +104,8 @@ def _clean(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
 
-_FIELDS = [("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("total", pa.int32()), ("tokens", pa.int32()), ("names", pa.bool_())]
-_SCHEMA = "key long, at int, hash long, slots array<string>, total int, tokens int, names boolean"
+_FIELDS = [("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("total", pa.int32()), ("tokens", pa.int32()), ("plain", pa.int32()), ("names", pa.bool_())]
+_SCHEMA = "key long, at int, hash long, slots array<string>, total int, tokens int, plain int, names boolean"
 
 
 def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for b in slices(batches):
         rows = []
         for key, (names, words, slot, at, s, h) in ((k, w) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) for w in reader.windows(t)):
-            total = len(at)
+            total, plain = len(at), int((slot == 0).sum())
             if bits is not None and total:
                 top = h >> np.uint64(64 - MAP_BITS)
                 hit = (bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
@@ -120,7 +122,7 @@ def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 chosen = range(total)
             for i in chosen:
                 p = int(at[i])
-                rows.append((key, p, int(h[i].view(np.int64)), [f"{q - p}:{slot[q]}:{_clean(words[q])}" for q in range(p, p + s) if slot[q]], total, len(words), names))
+                rows.append((key, p, int(h[i].view(np.int64)), [f"{q - p}:{slot[q]}:{_clean(words[q])}" for q in range(p, p + s) if slot[q]], total, len(words), plain, names))
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip([c for c, _ in _FIELDS], map(list, zip(*rows)))), pa.schema(_FIELDS))
 
@@ -139,28 +141,51 @@ def window_bitmap(items: DataFrame):
     return items.sparkSession.sparkContext.broadcast(out.astype("<u4").view(np.uint8))
 
 
-def _judge(hits: list[tuple[int, int, list[str], list[str]]], total: int, tokens: int, covered: float) -> tuple[float, bool, int] | None:
-    """The best stretch of a document for one item: share of its windows, whether every slot is equal,
-    and where. A hit is (place in the document, place in the item, the document's slots, the item's)."""
+def _agree(hits: list[tuple[int, int, list[str], list[str]]], total: int, tokens: int, plain: int) -> tuple[float, bool, int]:
+    """Of hits with one for each place in the item: the share of its windows whose slots agree, whether
+    all of these are equal, and where they start. No share where too few plain words agree."""
+    votes: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for _, _, theirs, ours in hits:
+        for x, y in zip(theirs, ours):
+            votes[y.partition(":")[2]][x.partition(":")[2]] += 1
+    means = {y: max(sorted(xs), key=xs.get) for y, xs in votes.items()}
+    taken: dict[str, str] = {}
+    for y in sorted(means):  # two values of the item cannot stand for one of the document
+        taken.setdefault(means[y], y)
+    good = [h for h in hits if all(means[y.partition(":")[2]] == x.partition(":")[2] and taken[x.partition(":")[2]] == y.partition(":")[2] for x, y in zip(h[2], h[3]))]
+    if not good:
+        return 0.0, False, 0
+    same, size = all(h[2] == h[3] for h in good), min(WINDOW, tokens)
+    matched = {h[1] + i for h in good for i in range(size)} - {h[1] + int(y.partition(":")[0]) for h in good for y in h[3]}
+    enough = same or len(matched) >= max(1, min(LITERALS, plain))
+    return len(good) / total if enough else 0.0, same, min(h[0] for h in good)
+
+
+def _judge(hits: list[tuple[int, int, list[str], list[str]]], total: int, tokens: int, covered: float, plain: int = LITERALS) -> tuple[float, bool, int] | None:
+    """The best alignment of a document with one item: share of its windows, whether every slot is equal,
+    and where. A hit is (place in the document, place in the item, the document's slots, the item's).
+
+    Every alignment that a hit names is judged by its own hits, and again with those that lie up to half
+    the item's length and its whole length beside it, of which each place in the item takes the nearest."""
     best = None
-    hits = sorted(hits, key=lambda x: (x[0], x[1]))
-    start = 0
-    for end in range(len(hits)):
-        if end + 1 < len(hits) and hits[end + 1][0] - hits[start][0] <= 2 * tokens and hits[end + 1][0] - hits[end][0] <= tokens:
-            continue
-        stretch, start = hits[start:end + 1], end + 1
-        votes: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for _, _, theirs, ours in stretch:
-            for x, y in zip(theirs, ours):
-                votes[y.partition(":")[2]][x.partition(":")[2]] += 1
-        means = {y: max(sorted(xs), key=xs.get) for y, xs in votes.items()}
-        taken: dict[str, str] = {}
-        for y in sorted(means):  # two values of the item cannot stand for one of the document
-            taken.setdefault(means[y], y)
-        good = [h for h in stretch if all(means[y.partition(":")[2]] == x.partition(":")[2] and taken[x.partition(":")[2]] == y.partition(":")[2] for x, y in zip(h[2], h[3]))]
-        share = len({h[1] for h in good}) / total
-        if share >= covered and (best is None or share > best[0]):
-            best = (share, all(h[2] == h[3] for h in good), min(h[0] for h in good))
+    hits = sorted(hits, key=lambda x: (x[0] - x[1], x[1]))
+    beside = np.array([h[0] - h[1] for h in hits])
+    for d in np.unique(beside).tolist():
+        seen = None
+        for slack in (0, tokens // 2, tokens):
+            a, b = np.searchsorted(beside, [d - slack, d + slack + 1]).tolist()
+            if b - a < covered * total or (a, b) == seen:
+                continue
+            seen, near = (a, b), {}
+            for h in sorted(hits[a:b], key=lambda h: abs(h[0] - h[1] - d)):
+                near.setdefault(h[1], h)
+            if len(near) < covered * total:
+                continue
+            share, same, at = _agree(list(near.values()), total, tokens, plain)
+            if share >= covered and (best is None or (share, same) > best[:2]):
+                best = (share, same, at)
+        if best is not None and best[:2] == (1.0, True):
+            break
     return best
 
 
@@ -168,7 +193,7 @@ def _pairs(covered: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     for b in slices(batches, 64):
         rows = []
         for r in b.to_pylist():
-            if found := _judge([(h["at"], h["item_at"], h["slots"], h["item_slots"]) for h in r["hits"]], r["total"], r["tokens"], covered):
+            if found := _judge([(h["at"], h["item_at"], h["slots"], h["item_slots"]) for h in r["hits"]], r["total"], r["tokens"], covered, r["plain"]):
                 rows.append((r["key"], r["item"], found[0], "copy" if found[1] else "reparameterised", found[2]))
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(["doc_id", "item_id", "covered", "kind", "at"], map(list, zip(*rows)))),
@@ -184,14 +209,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Rows that repeat a doc_id are read as parts of one document. Empty tables give no rows."""
     one = columns(benchmark, item=item_id, text=item_text).groupBy("text").agg(F.min("item").alias("item"))
     items = one.withColumn("n", F.xxhash64("text"))
-    grams = cut(windows(items, "n", "text").select(F.col("key").alias("n"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "total", "tokens", "names"), "decontam-items")
-    found = windows(docs, doc_id, text, window_bitmap(grams)).select("key", "at", "hash", "slots")
-    met = found.join(grams, "hash").filter(F.size("slots") == F.size("item_slots"))
-    # a pair with too few of an item's windows is settled before its hits are gathered
-    need = met.groupBy("key", "n", "names").agg(F.countDistinct("item_at").alias("seen"), F.first("total").alias("total"), F.first("tokens").alias("tokens"),
-                                       F.collect_list(F.struct("at", "item_at", "slots", "item_slots")).alias("hits")).filter(F.col("seen") >= covered * F.col("total"))
-    names = items.select("n", "item")
-    judged = need.join(names, "n").select("key", "item", "total", "tokens", "hits").mapInArrow(partial(_pairs, covered), "doc_id long, item_id long, covered double, kind string, at int")
+    grams = cut(windows(items, "n", "text").select(F.col("key").alias("n"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "total", "tokens", "plain", "names"), "decontam-items")
+    found = cut(windows(docs, doc_id, text, window_bitmap(grams)).select("key", "at", "hash", "slots"), "decontam-found")
+    # a pair with too few of an item's windows is settled by distinct hashes, before its hits are gathered
+    of = grams.groupBy("hash", "n", "names").agg(F.count("*").alias("times"), F.first("total").alias("total"), F.first("tokens").alias("tokens"), F.first("plain").alias("plain"))
+    need = (found.select("key", "hash").distinct().join(of, "hash").groupBy("key", "n", "names")
+            .agg(F.sum("times").alias("seen"), F.first("total").alias("total"), F.first("tokens").alias("tokens"), F.first("plain").alias("plain")).filter(F.col("seen") >= covered * F.col("total")))
+    need = cut(need.join(items.select("n", "item"), "n"), "decontam-pairs")
+    want = need.select(F.col("key").alias("of_key"), "n", "names", "item", "total", "tokens", "plain").join(grams.select("n", "names", "hash", "item_at", "item_slots"), ["n", "names"])
+    met = found.join(want, (found["hash"] == want["hash"]) & found["key"].eqNullSafe(want["of_key"])).filter(F.size("slots") == F.size("item_slots"))
+    hits = met.groupBy("key", "item", "n", "names", "total", "tokens", "plain").agg(F.collect_list(F.struct("at", "item_at", "slots", "item_slots")).alias("hits"))
+    judged = hits.select("key", "item", "total", "tokens", "plain", "hits").mapInArrow(partial(_pairs, covered), "doc_id long, item_id long, covered double, kind string, at int")
     best = F.max_by(F.struct("kind", "at"), F.struct("covered", F.col("kind") == "copy", "at"))
     return judged.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), best.alias("best")).select("doc_id", "item_id", "covered", "best.kind", "best.at")
 
