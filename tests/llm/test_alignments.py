@@ -26,3 +26,16 @@ def found(spark, item, text):
 ])
 def test_every_alignment_is_judged(spark, item, text, kind):
     assert found(spark, item, text) == kind
+
+
+@pytest.mark.parametrize("item,text,kind", [
+    (SLOTS, "Some words come before all of it. " + SLOTS + " And some after it, too.", "copy"),
+    (TRAIN, TRAIN.replace("60", "70").replace("90", "80"), "reparameterised"),
+    (TRAIN, "A train travels 60 km in 2 days and 45 90 km in 3 hours how far does it go", None),
+    (SERIES, "We ask what comes next: 5 7 and then, of course, other things.", None),
+    (SERIES, "Well, what comes next: 5 7 9 11 13", "reparameterised"),
+    ("3 5 7 11 13 17", "totals 90 81 72 63 54 45 by year", None),
+    ("3 5 7 11 13 17", "primes 3 5 7 11 13 17 by size", "copy"),
+])
+def test_every_window_counts(spark, item, text, kind):
+    assert found(spark, item, text) == kind

@@ -78,8 +78,7 @@ class Templates:
 
     def windows(self, text: str | None, size: int = WINDOW) -> Iterator[tuple[bool, list[str], np.ndarray, np.ndarray, int, np.ndarray]]:
         """For the readings with name slots and without: which, tokens, slots, and the windows' places,
-        length and hashes. A text of fewer tokens is one window. Windows with fewer than ``LITERALS`` plain
-        words say nothing and are left out, unless the text has no others."""
+        length and hashes. A text of fewer tokens is one window."""
         words, hashes, slot = self.read(text)
         size = min(size, len(words))
         n = len(words) - size + 1
@@ -88,16 +87,12 @@ class Templates:
                 slot = np.where(slot == 3, 0, slot)
             held = np.where(slot > 0, _HOLDERS[slot], hashes)
             h = np.full(n, np.uint64(2 * size + names))
-            plain = np.zeros(n, np.int8)
             with np.errstate(over="ignore"):
                 for i in range(size):
                     h ^= held[i:i + n]
                     h *= _P
                     h ^= h >> np.uint64(29)
-                    plain += slot[i:i + n] == 0
-            keep = np.flatnonzero(plain >= min(LITERALS, size))
-            keep = keep if len(keep) else np.arange(n)
-            yield names, words, slot, keep, size, h[keep]
+            yield names, words, slot, np.arange(n), size, h
 
 
 def _clean(word: str) -> str:
