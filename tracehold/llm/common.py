@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from tracehold.session import cut, prepare  # noqa: F401  (cut is imported from
 
 #: Rows of an Arrow batch that are Python objects at one time.
 SLICE = 128
+#: The column of row keys.
+ROW = "_row_key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own in column ``ROW``, not negative: the place in their Parquet file and
+    the file's hash. Rows that do not come straight from such files are written first."""
+    place = F.shiftrightunsigned(F.xxhash64("_metadata.file_path"), 2).bitwiseXOR(F.col("_metadata.row_index"))
+    try:
+        return df.withColumn(ROW, place)
+    except AnalysisException:
+        return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "row-keys")
+
+
 def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

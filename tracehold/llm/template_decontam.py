@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.llm.common import columns, cut, slices
+from tracehold.llm.common import ROW, columns, cut, keyed, slices
 
 WINDOW, COVERED, LITERALS = 5, 0.8, 3
 #: Bits of the bitmap as a power of two, and tokens a task remembers.
@@ -220,6 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
-    """The rows, all columns, that hold no item of the benchmark."""
-    bad = contaminated(docs, benchmark, covered=covered).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows, all columns, that hold no item of the benchmark; each row is judged by its own text."""
+    rows = keyed(docs)
+    bad = contaminated(rows, benchmark, doc_id=ROW, covered=covered).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(bad, ROW, "left_anti").drop(ROW)
