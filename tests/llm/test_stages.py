@@ -1,9 +1,11 @@
-"""Stages of the pipeline: each row by its own key."""
+"""Stages of the pipeline: each row by its own key, and near copies at a similarity of 0.8."""
+
+import random
 
 import pytest
 
 import corpus_pipeline
-from tracehold.llm import template_decontam
+from tracehold.llm import shingle_links, template_decontam
 
 SCHEMA = "doc_id long, text string"
 PLAIN = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
@@ -23,3 +25,19 @@ def test_each_row_has_its_own_fate(spark, tmp_path, written):
     items = spark.createDataFrame([(1, PLAIN[0]), (2, " ".join(PLAIN[1].split()[20:] + PLAIN[2].split()[:20]))], "item_id long, text string")
     left = template_decontam.without_contaminated(docs, items).collect()
     assert sorted((tuple(r) for r in left), key=str) == sorted(rows[2:], key=str)
+
+
+def test_near_copies_at_a_similarity_of_four_fifths(spark):
+    rnd = random.Random(6)
+    rows, want = [], 0
+    for i in range(60):
+        words = [f"w{rnd.randrange(9999)}" for _ in range(rnd.randrange(150, 600))]
+        rows.append((2 * i, " ".join(words)))
+        for at in rnd.sample(range(len(words)), len(words) // 50):
+            words[at] = f"new{rnd.randrange(9999)}"
+        rows.append((2 * i + 1, " ".join(words)))
+        alike = shingle_links.jaccard(*[shingle_links.shingles(t) for _, t in rows[-2:]])
+        want += alike >= 0.8
+    assert want > 20
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert {2 * i for i in range(60)} <= left and len(left) == 120 - want
