@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import boosted_quality, golomb_dedup, kneser_ney, lattice_sampling, ordinal_toxicity, secret_owners, simhash_bktree, suffix_dedup, template_decontam, warc_chunks
+from tracehold.llm import boosted_quality, golomb_dedup, kneser_ney, lattice_sampling, ordinal_toxicity, pair_maxscore, secret_owners, simhash_bktree, source_audit, suffix_dedup, template_decontam, token_files, warc_chunks
 from tracehold.llm.common import table
 
 
@@ -52,7 +52,19 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree, op10_kneser_ney)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_maxscore.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ordinal_toxicity, op3_template_decontam, op4_boosted_quality, op5_lattice_sampling, op6_golomb_dedup, op7_secret_owners, op8_warc_chunks, op9_simhash_bktree, op10_kneser_ney, op11_source_audit, op12_token_files, op13_pair_maxscore)}
 
 ORACLES = {
     "op6_golomb_dedup": r"""
@@ -88,4 +100,28 @@ ORACLES = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to FROM f""",
+    "op11_source_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS x, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER s + count(*) OVER s) AS p FROM dense WINDOW s AS (PARTITION BY lang, source)),
+        l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER s + count(*) OVER s) AS q FROM dense GROUP BY lang, term WINDOW s AS (PARTITION BY lang)),
+        t AS (SELECT p.lang, p.source, 'term' AS part, term AS item, (p.p - l.q) * (p.p - l.q) // l.q AS value FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > l.q),
+        v AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM o))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op13_pair_maxscore": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        a AS (SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+        i AS (SELECT DISTINCT k, item_id, term FROM (SELECT k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM (SELECT row_number() OVER () AS k, * FROM benchmark))),
+        t AS (SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS size, unnest(ws) AS term FROM d) SEMI JOIN i USING (term) GROUP BY r, doc_id, size, term),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, a GROUP BY term),
+        s AS (SELECT k, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * n) // l))))::BIGINT AS score FROM t JOIN w USING (term) JOIN i USING (term), a GROUP BY k, item_id, r, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
