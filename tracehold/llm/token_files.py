@@ -1,25 +1,26 @@
-"""Token ids in flat binary files: unsigned 32-bit ids, 64-bit document offsets, memory-mapped reading.
+"""Token ids in flat binary files: unsigned ids, 64-bit document offsets, memory-mapped reading.
 
 Documents are dealt to shards by ranges of their id and sorted there, so the shards, in the order of
 their numbers, hold all documents in ascending order. A task tokenises its shard and writes one file
 (little-endian throughout):
 
-    ids      n_ids x u32      the ids of all documents, each document's end id included
-    padding  u32 zero         only where n_ids is odd
+    ids      n_ids x u16      the ids of all documents, each document's end id included; u32 where the
+                              vocabulary has more than 65,536 ids
+    padding  zero bytes       up to a multiple of eight
     table    n_docs x 2 x 64  doc_id (signed) and the place of its first id in this file; bit 55 of the
                               place is set where the row has no doc_id
-    footer   2 x u64          n_docs, n_ids
+    footer   2 x u64          n_docs, n_ids times 8 plus the bytes of an id
 
 A shard's base is the sum of n_ids of all shards before it; bases are prefix sums over the footers and lie
 in the table ``manifest`` beside the files, so no shard waits for another one. Every run of a file ends
-with a zero byte (ids are under 2^24, places and counts under 2^56), so Spark's text writer, with a zero
-byte as its line separator, writes the bytes as they are on any store Spark can reach, and its commit
+with a zero byte (the end id is under 256, places and counts under 2^55), so Spark's text writer, with a
+zero byte as its line separator, writes the bytes as they are on any store Spark can reach, and its commit
 keeps the files of lost or repeated tasks out. Readers map a task's own copy of one file into memory.
 
-Words are looked up in a table of words met before, kept by a worker from task to task; words that are
-not in it go to the tokenizers library. That is exact for a tokenizer that never joins what white space
-parts (``word_bpe_49k.json`` splits there, and no normal form joins across it); texts that hold a special
-token's string are encoded whole.
+The parts a text is split into are looked up in a table of parts met before, kept by a worker from task
+to task; a part that is not in it goes to the tokenizers library, straight to its model where all its
+characters are known ones, else whole. That is exact for ``word_bpe_49k.json``, which normalises and splits
+inside what white space parts; texts that hold a special token's string are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import os
 import re
 import tempfile
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -37,17 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehold.llm.common import as_bytes, columns, cut, slices
+from tracehold.llm.common import columns, cut, slices
 from tracehold.operators.prefix import running_total
 from tracehold.session import scratch
 
 MODEL = "word_bpe_49k.json"
 END = 1
-#: Bytes of text of a shard, on average, and words that a worker remembers.
-SHARD_TEXT, REMEMBERED = 16 << 20, 600_000
+#: Bytes of text of a shard, on average, and words that a worker remembers, twice over.
+SHARD_TEXT, REMEMBERED = 16 << 20, 500_000
 _NO_ID, _TABLE = 1 << 55, 1 << 16
-_PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_TAIL = re.compile(rb"(.*[^.,;:!?)])([.,;:!?)]+)", re.S)
+#: Characters of which all versions of Unicode say the same and that no normal form changes: ASCII, Latin
+#: letters up to U+017F whose small forms are among them, and some marks.
+_KNOWN = re.compile("[\t\n\r -~¡«»¿À-ÖØ-öø-įı-ſ–—‘’“”…€]*")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
+_WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -56,6 +61,28 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
+    others in order from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+class Known(dict):
+    """Parts and the bytes of their ids, worked out when first asked for. A full table makes way for a new
+    one, which takes over from it what is met again."""
+
+    def __init__(self, ids: Callable[[str], bytes], most: int, before: dict | None = None):
+        super().__init__()
+        self.ids, self.most, self.before = ids, most, dict(before or ())
+
+    def __missing__(self, part: str) -> bytes:
+        known = self.before.get(part)
+        self[part] = known = self.ids(part) if known is None else known
+        return known
+
+
 class Encoder:
     """Texts to the little-endian bytes of their ids."""
 
@@ -63,38 +90,36 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(model)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remembered, self.words, self.parts = remembered, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _split(word: bytes) -> list[bytes]:
-        """The parts the tokenizer's own pattern finds, where the word is ASCII; of others only the
-        punctuation after a letter is parted."""
-        if word.isascii():
-            return _PART.findall(word.lower())
-        cut = _TAIL.fullmatch(word)
-        return list(cut.groups()) if cut and cut[1].decode()[-1].isalpha() else [word]
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        if len(self.words) > self.remembered:
-            self.words.clear()
-            self.parts.clear()
-        split = [(w, self._split(w)) for w in fresh]
-        new = list({p for _, parts in split for p in parts}.difference(self.parts))
-        self.parts.update(zip(new, self._ids([p.decode() for p in new])))
-        self.words.update((w, b"".join([self.parts[p] for p in parts])) for w, parts in split)
+        self.wide, self.kind = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.known = Known(self._ids, remembered)
+
+    def parts(self, text: str | None) -> list[str]:
+        """What the tokenizer's own pattern finds in the text in small letters; a word with a character that
+        is not a known one stays a whole, and a text with a special token's string too."""
+        if not text:
+            return []
+        if _KNOWN.fullmatch(text):
+            return [text] if any(s in text for s in self.special) else _PART.findall(text.lower())
+        if any(s in text for s in self.special):
+            return [text]
+        return [p for w in _WORD.findall(text) for p in (_PART.findall(w.lower()) if _KNOWN.fullmatch(w) else [w])]
+
+    def _ids(self, part: str) -> bytes:
+        if _KNOWN.fullmatch(part) and _PART.fullmatch(part):
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return array(self.kind, ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        held = [None if any(s in (t or "") for s in self.special) else as_bytes(t).split() for t in texts]
-        met = set().union(*[w for w in held if w])
-        if fresh := met.difference(self.words):
-            self._learn(fresh)
-            if not met <= self.words.keys():  # the table was emptied meanwhile
-                self._learn(met.difference(self.words))
-        return [self._ids([t])[0] if w is None else b"".join(map(self.words.__getitem__, w)) for t, w in zip(texts, held)]
+        out = []
+        for t in texts:
+            if len(self.known) > self.known.most:
+                self.known = Known(self._ids, self.known.most, self.known)
+            out.append(b"".join(map(self.known.__getitem__, self.parts(t))))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -104,11 +129,12 @@ def _encoder(model: str) -> Encoder:
 
 def _layout(model: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One shard's file as runs of bytes, each without the zero byte that ends it."""
-    encoder, tail = _encoder(model), np.array([end], "<u4").tobytes()[:-1]
+    encoder = _encoder(model)
+    wide, tail = encoder.wide, array(encoder.kind, [end]).tobytes()[:-1]
     ids, places, total = [], [], 0
     for b in slices(batches):
         runs = encoder.encode(b.column("text").to_pylist())
-        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4 + 1
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // wide + 1
         ids.append(np.array(b.column("doc_id").fill_null(0)))
         places.append((total + np.cumsum(size) - size) | np.where(np.array(b.column("doc_id").is_null()), _NO_ID, 0))
         total += int(size.sum())
@@ -116,9 +142,10 @@ def _layout(model: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     if not ids:
         return
     table = np.stack([np.concatenate(ids), np.concatenate(places)], axis=1).astype("<i8")
-    runs = [b"\0\0\0"] if total % 2 else []
+    padding = -total * wide % 8
+    runs = [bytes(padding - 1)] if padding else []
     runs += [table[at:at + _TABLE].tobytes()[:-1] for at in range(0, len(table), _TABLE)]
-    runs.append(np.array([len(table), total], "<u8").tobytes()[:-1])
+    runs.append(np.array([len(table), total * 8 + wide], "<u8").tobytes()[:-1])
     yield pa.record_batch([pa.array(runs, pa.binary())], ["value"])
 
 
@@ -126,8 +153,9 @@ class Shard:
     """One file in memory-mapped arrays."""
 
     def __init__(self, buffer):
-        self.n_docs, self.n_ids = map(int, np.frombuffer(buffer, "<u8", 2, len(buffer) - 16))
-        self.ids = np.frombuffer(buffer, "<u4", self.n_ids)
+        self.n_docs, last = map(int, np.frombuffer(buffer, "<u8", 2, len(buffer) - 16))
+        self.n_ids = last // 8
+        self.ids = np.frombuffer(buffer, f"<u{last % 8}", self.n_ids)
         table = np.frombuffer(buffer, "<i8", 2 * self.n_docs, len(buffer) - 16 - 16 * self.n_docs).reshape(-1, 2)
         self.doc_id, self.no_id = table[:, 0], table[:, 1] & _NO_ID > 0
         self.start = np.append(table[:, 1] & (_NO_ID - 1), self.n_ids)
@@ -144,7 +172,7 @@ def _mapped(content: bytes) -> mmap.mmap:
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 64):
         counts = np.array([np.frombuffer(x, "<u8", 2) for x in b.column("footer").to_pylist()], np.int64).reshape(-1, 2)
-        yield pa.record_batch([b.column("shard"), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["shard", "n_docs", "n_ids"])
+        yield pa.record_batch([b.column("shard"), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1] // 8)], ["shard", "n_docs", "n_ids"])
 
 
 def _documents(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +181,7 @@ def _documents(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         for at in range(0, shard.n_docs, 4096):
             to = min(at + 4096, shard.n_docs)
             start = shard.start[at:to + 1]
-            crc = [zlib.crc32(shard.ids[x:y]) for x, y in zip(start[:-1], start[1:])]
+            crc = [zlib.crc32(shard.ids[x:y].astype("<u4")) for x, y in zip(start[:-1], start[1:])]
             out = [pa.array(np.full(to - at, b.column("shard")[0].as_py(), np.int64)), pa.array(np.arange(at, to)), pa.array(shard.doc_id[at:to].copy(), mask=shard.no_id[at:to]),
                    pa.array(start[:-1].copy()), pa.array(np.diff(start)), pa.array(crc, pa.int64())]
             names = ["shard", "place", "doc_id", "local", "n_tokens", "ids_crc32"]
@@ -173,7 +201,10 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
     Documents lie in ascending order of doc_id, those without one last; rows that repeat an id follow
     each other as they were read. Null and empty texts hold their end id alone. An empty table gives no
-    shard. ``shard_text`` is the average size of a shard's texts; a file must stay under 2 GB."""
+    shard. ``shard_text`` is the average size of a shard's texts; a file must stay under 2 GB. The end id
+    is under 256."""
+    if not 0 <= end < 256:
+        raise ValueError("the end id must be under 256")
     spark = docs.sparkSession
     base = columns(docs, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
