@@ -20,9 +20,10 @@ and of sources: work grows with the kept terms that occur, and the answer has a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,9 @@ from tracehold.llm.common import as_bytes, columns, cut, partitions, slices
 
 DOCS, TOP, UNIT = 3, 200, 1_000_000_000
 #: Terms of a shard, different terms that a task holds before it sends them on, ordinals and sources of a block.
-SHARD, HELD, BLOCK, SOURCES = 1 << 15, 200_000, 1 << 12, 32
-#: Entries of runs that a task walks, on average.
-TASK = 1 << 22
+SHARD, HELD, BLOCK, SOURCES = 1 << 13, 500_000, 1 << 12, 32
+#: Entries of runs that a task walks, on average, and the pieces of shards that are dealt to a task.
+TASK, GROUPS = 1 << 22, 4
 #: Letters A to Z as small ones, everything that is not part of a term as a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -95,25 +96,41 @@ class Transducer:
                 before += sizes[t]
         return cls(np.array(key, np.int64), np.array(to, np.int64), np.array(skip, np.int64), np.array([end for end, _ in states], bool), root)
 
-    def ordinals(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word among the terms, -1 for one that is none of them; all words are walked at
-        once, a byte a step."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        text, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
-        at, out, state = np.arange(len(words)), np.zeros(len(words), np.int64), np.full(len(words), self.root)
-        for step in range(int(size.max(initial=0)) + 1):
-            done = size[at] == step
-            out[at[done & ~self.final[state]]] = -1
-            at, state = at[~done], state[~done]
-            want = state << 8 | text[start[at] + step]
-            edge = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1) if len(self.key) else np.zeros(len(at), np.int64)
-            known = self.key[edge] == want if len(self.key) else np.zeros(len(at), bool)
-            out[at[~known]] = -1
-            at, edge = at[known], edge[known]
-            out[at] += self.skip[edge]
-            state = self.to[edge]
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The edges by state and byte, -1 for none; bytes that no term holds share one column."""
+        used, column = np.unique(self.key & 255, return_inverse=True)
+        of = np.full(256, len(used))
+        of[used] = np.arange(len(used))
+        table = np.full((len(self.final), len(used) + 1), -1, np.int32)
+        table[self.key >> 8, column] = np.arange(len(self.key))
+        return of, table
+
+    def ordinals(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each word among the terms, -1 for one that is none of them. Word i is the bytes of
+        ``text`` from ends[i] to ends[i + 1]; all words are walked at once, a byte a step."""
+        of, table = self._table
+        column = of.astype(np.int16)[text]
+        out, skip, to = np.full(len(ends) - 1, -1, np.int64), self.skip, self.to
+        word, at, end = np.arange(len(ends) - 1), ends[:-1].astype(np.int64), ends[1:].astype(np.int64)
+        state, before = np.full(len(word), self.root), np.zeros(len(word), np.int64)
+        while len(word):
+            over = at == end
+            if over.any():
+                whole = over & self.final[state]
+                out[word[whole]] = before[whole]
+                word, at, end, state, before = (x[~over] for x in (word, at, end, state, before))
+            edge = table[state, column[at]]
+            known = edge >= 0
+            if not known.all():
+                word, at, end, before, edge = (x[known] for x in (word, at, end, before, edge))
+            before = before + skip[edge]
+            state, at = to[edge], at + 1
         return out
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return self.ordinals(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+
     def to_bytes(self) -> bytes:
         return np.array([len(self.key), len(self.final), self.root], "<i4").tobytes() + b"".join(x.astype("<i4").tobytes() for x in (self.key, self.to, self.skip, self.final))
 
@@ -130,7 +147,7 @@ def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), pa.array([t.decode() for t in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "term", "docs"])
+            yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "term", "docs"])
 
     for b in slices(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -167,16 +184,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs cut at the first terms of their language's shards."""
     for b in slices(batches, 1):
-        row = b.to_pylist()[0]
-        firsts, found = np.array(row["firsts"], object), np.array([*row["terms"], None], object)[:-1]
-        ends = np.append(np.searchsorted(found, firsts[1:]), len(found)) if len(firsts) > 1 else np.array([len(found)])
-        begin, out = 0, []
-        for shard, end in zip(row["shards"], ends.tolist()):
-            if end > begin:
-                out.append((shard, row["terms"][begin:end], row["counts"][begin:end]))
-            begin = end
-        yield pa.record_batch([pa.array([row["lang"]] * len(out), pa.string()), pa.array([s for s, _, _ in out], pa.int64()), pa.array([row["run"]] * len(out), pa.int64()), pa.array([row["source"]] * len(out), pa.string()),
-                               pa.array([t for _, t, _ in out], pa.list_(pa.binary())), pa.array([c for _, _, c in out], pa.list_(pa.int64()))], ["lang", "shard", "run", "source", "terms", "counts"])
+        found, counts, shards = b.column("terms").flatten(), b.column("counts").flatten(), b.column("shards")[0].as_py()
+        ends = np.array([0, *[bisect_left(range(len(found)), s["first"], key=lambda i: found[i].as_py()) for s in shards[1:]], len(found)], np.int32)
+        some = pa.array(np.diff(ends) > 0)
+        same = [pa.array([b.column(c)[0].as_py()] * len(shards), b.schema.field(c).type) for c in ("lang", "run", "source")]
+        of = [pa.array([s[c] for s in shards], pa.int64()) for c in ("shard", "n", "base")]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (found, counts)]
+        yield pa.record_batch([*same, *of, *lists], ["lang", "run", "source", "shard", "n", "base", "terms", "counts"]).filter(some)
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
@@ -193,17 +207,23 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([source[0]] * len(some), pa.string()), pa.array([source[1]] * len(some), pa.string()), pa.array(base + some), pa.array(counts[some])], ["lang", "source", "ordinal", "n"])
 
-    for b in slices(batches, 16):
-        for row in b.to_pylist():
-            if row["fst"] is not None:
+    for b in slices(batches, 64):
+        lists, numbers = b.column("terms"), b.column("counts")
+        words, each = lists.values, numbers.values.to_numpy()
+        _, ends, text = words.buffers()
+        ends, text = np.frombuffer(ends, np.int32)[words.offset:] if len(words) else None, np.frombuffer(text or b"", np.uint8)
+        spans, froms = lists.offsets.to_numpy(), numbers.offsets.to_numpy()
+        keys = b.select(["lang", "source", "n", "base"]).to_pylist()
+        for i, key in enumerate(keys):
+            if b.column("fst")[i].is_valid:
                 yield from sent()
-                fst, base, source = Transducer.from_bytes(row["fst"]), row["base"], None
+                fst, base, source = Transducer.from_bytes(b.column("fst")[i].as_py()), key["base"], None
                 continue
-            if source != (row["lang"], row["source"]):
+            if source != (key["lang"], key["source"]):
                 yield from sent()
-                source, counts = (row["lang"], row["source"]), np.zeros(row["n"], np.int64)
-            at = fst.ordinals(row["terms"])
-            counts[at[at >= 0]] += np.array(row["counts"], np.int64)[at >= 0]  # a run holds a term once
+                source, counts = (key["lang"], key["source"]), np.zeros(key["n"], np.int64)
+            at = fst.ordinals(text, ends[spans[i]:spans[i + 1] + 1])
+            counts[at[at >= 0]] += each[froms[i]:froms[i + 1]][at >= 0]  # a run holds a term once
     yield from sent()
 
 
@@ -232,13 +252,12 @@ def recount(docs: DataFrame, shards: DataFrame, text: str = "text", lang: str =
     streamed through the transducers."""
     spark = docs.sparkSession
     runs = cut(_groups(docs, text, lang, source).mapInArrow(_runs, "lang string, source string, run long, terms array<binary>, counts array<long>"), "audit-runs")
-    of = shards.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("shard", "first"))).alias("s")).select("lang", F.col("s.shard").alias("shards"), F.col("s.first").alias("firsts"))
+    of = cut(shards.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("shard", "first", "n", "base"))).alias("shards")), "audit-firsts")
     n, held = shards.count(), runs.agg(F.sum(F.size("terms"))).first()[0] or 0
     tasks = max(partitions(spark), -(-held // TASK))
-    salts = max(1, -(-tasks // max(1, n)))
-    cut_runs = runs.join(of, "lang").mapInArrow(_cut_runs, "lang string, shard long, run long, source string, terms array<binary>, counts array<long>")
-    sizes = shards.select("lang", "shard", "n", "base")
-    sent = cut_runs.join(sizes, ["lang", "shard"]).select("lang", "shard", F.pmod("run", F.lit(salts)).alias("salt"), "source", "terms", "counts", "n", "base", F.lit(None).cast("binary").alias("fst"))
+    salts = max(1, -(-GROUPS * tasks // max(1, n)))
+    sent = runs.join(of, "lang").mapInArrow(_cut_runs, "lang string, run long, source string, shard long, n long, base long, terms array<binary>, counts array<long>")
+    sent = sent.withColumn("salt", F.pmod("run", F.lit(salts))).withColumn("fst", F.lit(None).cast("binary")).drop("run")
     machines = shards.select("lang", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("array<binary>").alias("terms"), F.lit(None).cast("array<bigint>").alias("counts"), "n", "base", "fst")
     laid = sent.unionByName(machines).repartition(tasks, "lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", F.col("source").asc_nulls_first())
     counted = laid.mapInArrow(_recount, "lang string, source string, ordinal long, n long")
