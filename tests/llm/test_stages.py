@@ -41,3 +41,64 @@ def test_near_copies_at_a_similarity_of_four_fifths(spark):
     assert want > 20
     left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert {2 * i for i in range(60)} <= left and len(left) == 120 - want
+
+
+def plain_groups(texts, similar=0.8):
+    """The least place that links of at least ``similar`` reach, for each text."""
+    sets, up = [set(shingle_links.shingles(t).tolist()) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or a and sets[j] and len(a & sets[j]) / len(a | sets[j]) >= similar:
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+def changed(rnd, words, n):
+    """The words with n of them replaced, most often by new ones, now and then by the same ones as in other texts."""
+    words = list(words)
+    for at in rnd.sample(range(len(words)), n):
+        words[at] = f"new{rnd.randrange(10 ** 6)}" if rnd.random() < 0.9 else f"same{at}"
+    return words
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, block):
+    """A crowd of copies of one text with few and many changes, chains of copies of copies, texts that share
+    one long passage and are not alike, null, empty and repeated texts."""
+    monkeypatch.setattr(shingle_links, "BLOCK", block)
+    rnd = random.Random(3)
+    base, passage = [f"b{i}" for i in range(150)], " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(changed(rnd, base, rnd.choice([0, 1, 2, 3, 4, 5, 8]))) for _ in range(300)]
+    link = [f"c{i}" for i in range(120)]
+    for _ in range(40):
+        texts.append(" ".join(link))
+        link = changed(rnd, link, 2)
+    texts += [passage + " " + " ".join(f"o{rnd.randrange(10 ** 6)}" for _ in range(rnd.choice([8, 12, 16, 30]))) for _ in range(80)]
+    texts += [None, "", " \n", "one two", "one two", "one  two ", "three", texts[5], texts[5]]
+    want = plain_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(5)
+    label = {r["row"]: r["label"] for r in shingle_links.near_duplicates(docs, "doc_id").collect()}
+    assert len(label) == len(texts) and len(set(want[:300])) > 1
+    got, found = {}, []
+    for i in range(len(texts)):
+        found.append(got.setdefault(label[i], i))
+    split = [i for i in range(len(texts)) if found[i] != want[i]]
+    assert all(want[i] == want[found[i]] for i in range(len(texts)))  # nothing is linked that is not alike
+    assert len(split) <= 0.01 * len(texts)  # bands miss a pair just above the threshold in five hundred
+
+
+def test_shingles_of_odd_rows(spark, odd, empty):
+    from tracehold.llm.common import ROW, keyed
+    rows = keyed(odd)
+    label = {r[ROW]: r["label"] for r in shingle_links.near_duplicates(rows, ROW).withColumnRenamed("row", ROW).collect()}
+    of = [(r["doc_id"], label[r[ROW]]) for r in rows.collect()]
+    ids = lambda *want: {x for i, x in of if i in want}
+    assert len(of) == 14 and len(ids(1, 2, 3, None)) == len(ids(4, 5, 6)) == len(ids(7, 8)) == len(ids(12)) == 1 and len({x for _, x in of}) == 7
+    assert shingle_links.near_duplicates(keyed(empty), ROW).count() == 0
