@@ -16,6 +16,7 @@ from tracehold.operators import governance
 from tracehold.plans import catalogue, rollups
 from tracehold.plans.engine import Engine
 from tracehold.session import scratch
+from tracehold.streaming import hot
 from tracehold.streaming.ship import write_batch
 
 TINY, HUGE = 2.0 ** -60, 2.0 ** 90
@@ -87,3 +88,18 @@ def engine_item(spark, d):
 @query("engine_recent", f"""WITH {EDGES} SELECT time, coalesce(lane,'{cv.BY_HAND}') AS lane, item_key AS item, trace_id FROM runs WHERE {WINDOW} ORDER BY time DESC, trace_id LIMIT 200""")
 def engine_recent(spark, d):
     return _engine(spark, d).query("recent", since=SINCE, until=UNTIL).select("time", "lane", "item", "trace_id")
+
+
+@query("hot_rebuild", f"""WITH {EDGES} SELECT time, coalesce(lane,'{cv.BY_HAND}') AS lane, item_key AS item, trace_id FROM runs WHERE {WINDOW}""")
+def hot_rebuild(spark, d):
+    """The hot tables of a store whose first batches were compacted and pruned, with copies of all records in
+    batches beside the part: filled from both, streamed on, and asked for every run of the window."""
+    e, path, window = _engine(spark, d), scratch(spark, "hot"), dt.timedelta(days=10)
+    if not e.store.prune("traces", [dt.datetime(1995, 3, 10, 8)], e.now + dt.timedelta(hours=2), dt.timedelta(0)):
+        raise RuntimeError("nothing was pruned")
+    hot.hot_stream(spark, e.store.root, path, "traces", window, scratch(spark, "hot-ck"), now=e.now, every=None, store=e.store).awaitTermination()
+    h = hot.Hot(e, path, window)
+    h.query("recent", since=SINCE, until=UNTIL)
+    if h.from_store:
+        raise RuntimeError("answered from the store")
+    return catalogue.recent(h._table("traces"), SINCE, UNTIL, newest=None).select("time", "lane", "item", "trace_id")

@@ -73,7 +73,10 @@ def test_hot(spark, tmp_path):
     a = run("1", "1", "fix", "converged", "m", 1.0, at)
     ship(root, "traces", at, a, run("0", "0", "fix", "converged", "m", 1.0, old))
     ship(root, "traces", at, raw=b"junk")
-    sync = lambda exact=True, name="ck": hot.hot_stream(spark, root, path if exact else path + "w", "traces", H(6), str(tmp_path / name), exact, now=NOW, every=None).awaitTermination(120)
+    sync = lambda exact=True, name="ck": hot.hot_stream(spark, root, path if exact else path + "w", "traces", H(6), str(tmp_path / name), exact, now=NOW, every=None, store=Store(spark, root) if exact else None).awaitTermination(120)
+    unfilled = hot.Hot(Engine(spark, root, now=NOW), path, H(6))
+    assert sum(r.runs for r in unfilled.query("runs", since="5h").collect()) == 1 and unfilled.from_store
+    os.remove(glob.glob(f"{root}/traces/**/*.jsonl.gz", recursive=True)[-1])  # the damaged batch: a fill reads strictly
     sync()
     ship(root, "traces", at, a, run("2", "2", "fix", "budget", "m", 1.0, at))   # a copy and a new one
     sync()
@@ -88,6 +91,35 @@ def test_hot(spark, tmp_path):
     assert hot.hot_table(spark, path + "w", "traces").count() == 3   # one copy of each; old rows are not late in a first batch
 
 
+def test_hot_from_parts(spark, tmp_path):
+    """Batches that were compacted and pruned, a batch beside the part, and runs of the stream apart: the hot
+    tables answer as the store does, and nothing is held twice."""
+    root, path, at = str(tmp_path / "store"), str(tmp_path / "hot"), NOW - H(3)
+    for i in range(4):
+        ship(root, "traces", at, run(str(i), str(i), "fix", "converged", "m", 1.0, at), run("9", "9", "fix", "budget", "m", 1.0, at))
+    ship(root, "traces", at, run("old", "a", "fix", "converged", "m", 1.0, NOW - H(20)))
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW, keep=H(0), lookback=H(8))
+    e.store.compact(NOW + H(1), keep=H(0), lookback=H(8))
+    assert not glob.glob(f"{root}/traces/**/*.jsonl.gz", recursive=True)
+    ship(root, "traces", at, run("5", "5", "fix", "converged", "m", 1.0, at), run("0", "0", "fix", "converged", "m", 1.0, at))
+    sync = lambda: hot.hot_stream(spark, root, path, "traces", H(6), str(tmp_path / "ck"), now=NOW, every=None, store=e.store).awaitTermination(120)
+    both = lambda name: [sorted(map(tuple, q.query(name, since="5h").collect()), key=str) for q in (hot.Hot(e, path, H(6)), e)]
+    sync()
+    h = hot.Hot(e, path, H(6))
+    assert sum(r.runs for r in h.query("runs", since="5h").collect()) == 6 and not h.from_store
+    for name in ("runs", "recent", "cost"):
+        got, want = both(name)
+        assert got == want
+    ship(root, "traces", NOW - H(1), run("6", "6", "fix", "converged", "m", 1.0, NOW - H(1)))
+    e.store.compact(NOW, keep=H(0), lookback=H(8))  # while no stream runs
+    sync()
+    sync()
+    assert hot.hot_table(spark, path, "traces").count() == 7
+    h.query("item", "x", since="5h")
+    assert h.from_store  # the logs have not been filled
+
+
 def test_counts_and_crashes(spark, tmp_path):
     src = str(tmp_path / "in")
     spans = spark.createDataFrame([(cv.RUN_SPAN, "fix", "converged", NOW), (cv.RUN_SPAN, None, None, NOW), ("x", "fix", "a", NOW)],
