@@ -16,6 +16,7 @@ from tracehold.operators import governance
 from tracehold.plans import catalogue, rollups
 from tracehold.plans.engine import Engine
 from tracehold.session import scratch
+from tracehold.sources.batches import nesting, parse_lines
 from tracehold.streaming import hot
 from tracehold.streaming.ship import write_batch
 
@@ -103,3 +104,44 @@ def hot_rebuild(spark, d):
     if h.from_store:
         raise RuntimeError("answered from the store")
     return catalogue.recent(h._table("traces"), SINCE, UNTIL, newest=None).select("time", "lane", "item", "trace_id")
+
+
+# --- values nested five levels deep -------------------------------------------------------------------
+LEVELS = 5
+_INNER = "$" + ".kvlistValue.values[0].value" * LEVELS
+
+
+def _deep_lines(spark, d):
+    """Each document's language in a map inside maps, each beside a private entry; lists on the way down."""
+    text = lambda c: F.to_json(F.struct(c.alias("stringValue")))
+    value = text(F.col("lang"))
+    for _ in range(LEVELS):
+        private = F.concat(F.lit('{"key":"cwd","value":'), text(F.col("source")), F.lit("}"))
+        value = F.concat(F.lit('{"kvlistValue":{"values":[{"key":"k","value":'), value, F.lit("},"), private, F.lit("]}}"))
+    head = '{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"tool"}}]},"scopeLogs":[{"scope":{"name":"t"},"logRecords":[{"eventName":"doc","attributes":[{"key":"id","value":{"stringValue":"'
+    line = F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit('"}},{"key":"deep","value":'), value, F.lit("}]}]}]}]}"))
+    return fx.table(spark, d, "documents").select("doc_id", line.alias("line"))
+
+
+@query("scrub_deep", f"SELECT doc_id, lang AS inner_text, {LEVELS}::BIGINT AS stripped FROM documents")
+def scrub_deep(spark, d):
+    lines = _deep_lines(spark, d)
+    raw = parse_lines(lines, "logs", whole=True, depth=nesting(lines))
+    out = governance.scrub(raw)
+    before, after = (df.select("doc_id", governance.attribute_entries(df).cast("bigint").alias(n), F.to_json(F.col("resourceLogs")[0]["scopeLogs"][0]["logRecords"][0]["attributes"][1]["value"]).alias(f"{n}_v"))
+                     for df, n in ((raw, "before"), (out, "after")))
+    return before.join(after, "doc_id").select("doc_id", F.get_json_object("after_v", f"{_INNER}.stringValue").alias("inner_text"), (F.col("before") - F.col("after")).alias("stripped"))
+
+
+@query("ship_roundtrip_deep", "SELECT doc_id, lang AS inner_text, source AS beside FROM documents")
+def ship_roundtrip_deep(spark, d):
+    """Shipped and read back as lines: stamped, and every nested value as it was."""
+    root = scratch(spark, "deep")
+    lines = _deep_lines(spark, d).drop("doc_id").withColumns({"class": F.lit("service"), "name": F.lit("svc"), "status": F.lit("ok"), "signal": F.lit("logs")})
+    none = spark.createDataFrame([], "run string, valid boolean, lane string, harness string, focus string, item string, step string, budget bigint")
+    write_batch(lines, none, root, "c1", "deep", received=dt.datetime(1995, 3, 10, 8))
+    base = "$.resourceLogs[0].scopeLogs[0].logRecords[0].attributes"
+    got = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz").text(root)
+    inner = base + "[1].value" + _INNER[1:]
+    return got.select(F.get_json_object("value", f"{base}[0].value.stringValue").cast("bigint").alias("doc_id"), F.get_json_object("value", f"{inner}.stringValue").alias("inner_text"),
+                      F.get_json_object("value", inner.removesuffix("[0].value") + "[1].value.stringValue").alias("beside"))

@@ -126,3 +126,13 @@ def test_budget(spark):
     out = g.within_budget(df, spark.createDataFrame([("r1", 65)], "run string, budget bigint")).collect()
     assert sorted((r.file, r.offset) for r in out if r.run == "r1" and r.kept) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1)]
     assert all(r.over_budget == (r.run == "r1") for r in out)
+
+
+def test_nesting(spark):
+    from tracehold.sources.batches import nesting
+    deep = lambda n: {"k": "v"} if n <= 1 else ({"k": deep(n - 1)} if n % 2 else [deep(n - 1)])
+    df = lambda *values: spark.createDataFrame([(span("aa", "b", "s", NOW, attributes={"a": v}),) for v in values], "line string")
+    for n in (1, 2, 3, 6):
+        assert nesting(df(deep(n))) == max(2, n)
+    assert nesting(df(deep(20), "x")) == cv.MAX_NESTING and nesting(df("x").limit(0)) == 2
+    assert nesting(df({str(i): {"a": "b"} for i in range(9)}, 'text of {"arrayValue":{"kvlistValue":{"arrayValue":{{{')) == 2  # beside each other, and in a text

@@ -118,6 +118,7 @@ MAX_VENDOR_NAMES = 256
 MAX_NAME_CHARS = 128
 DEFAULT_RUN_BUDGET = 64 << 20
 MAX_TREE_DEPTH = 64
+MAX_NESTING = 6
 NEWEST = 200
 EVIDENCE_ROWS = 6
 

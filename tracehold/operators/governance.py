@@ -19,7 +19,6 @@ from tracehold.functions.text import account_hash, bare, clean_home, is_email, u
 from tracehold.operators.prefix import running_total
 from tracehold.schemas import full
 
-DEPTH = 2
 _FACTORY = (cv.LANE, cv.LANE_HARNESS, cv.LANE_FOCUS, cv.ITEM_KEY, cv.STEP_ID, cv.RUN_ID)
 
 
@@ -72,6 +71,15 @@ def _signal_of(raw: DataFrame) -> tuple[str, str]:
     raise ValueError("no resource column")
 
 
+def _depth(raw: DataFrame) -> int:
+    """How many levels of lists and maps a raw frame was parsed to."""
+    _, column = _signal_of(raw)
+    value, depth = raw.schema[column].dataType.elementType["resource"].dataType["attributes"].dataType.elementType["value"].dataType, 0
+    while isinstance(value["arrayValue"].dataType, T.StructType):
+        value, depth = value["arrayValue"].dataType["values"].dataType.elementType, depth + 1
+    return depth
+
+
 def _kv(depth: int) -> T.ArrayType:
     return full("logs", depth)["resourceLogs"].dataType.elementType["resource"].dataType["attributes"].dataType
 
@@ -104,14 +112,14 @@ def with_manifest(lines: DataFrame, manifests: DataFrame) -> DataFrame:
         "_run", F.when(F.col("valid"), F.col("_run")))
 
 
-def stamp(raw: DataFrame, manifests: DataFrame, collector_id: str, instance: str | None = None, received: Column | None = None,
-          depth: int = DEPTH) -> DataFrame:
+def stamp(raw: DataFrame, manifests: DataFrame, collector_id: str, instance: str | None = None, received: Column | None = None) -> DataFrame:
     """Each resource with the sender's own stamps removed and the reader's put in their place.
 
     ``raw`` has ``class`` and ``name`` of its writer. A run's factory attributes come only from its
     manifest; without one the record is kept and warned about.
     """
     signal, column = _signal_of(raw)
+    depth = _depth(raw)
     kv = _kv(depth)
     received = received if received is not None else F.current_timestamp()
     text = F.date_format(received, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -141,7 +149,7 @@ class Scrub:
     Values nested deeper than the schema parses are dropped: nothing unread is let through.
     """
 
-    def __init__(self, home: str | None = None, key: bytes | None = None, depth: int = DEPTH):
+    def __init__(self, home: str | None = None, key: bytes | None = None, depth: int = 2):
         self.home, self.key, self.depth = clean_home(home), key, depth
 
     def _bad_text(self, s: Column) -> Column:
@@ -186,10 +194,10 @@ class Scrub:
         return F.transform(kept, one)
 
 
-def scrub(raw: DataFrame, home: str | None = None, hash_key: bytes | None = None, override: dict[str, str] | None = None,
-          depth: int = DEPTH) -> DataFrame:
+def scrub(raw: DataFrame, home: str | None = None, hash_key: bytes | None = None, override: dict[str, str] | None = None) -> DataFrame:
     """Every attribute list of a raw frame scrubbed, then ``override`` set on every resource."""
     signal, column = _signal_of(raw)
+    depth = _depth(raw)
     kv, s = _kv(depth), Scrub(home, hash_key, depth)
     for k, v in (override or {}).items():
         bad_home = s.home is not None and (v == s.home or v.startswith(s.home + "/"))
@@ -225,9 +233,10 @@ def _entries(l: Column, depth: int) -> Column:
     return _total(F.transform(l, lambda a: F.lit(1) + _inside(a["value"], depth)))
 
 
-def attribute_entries(raw: DataFrame, depth: int = DEPTH) -> Column:
+def attribute_entries(raw: DataFrame) -> Column:
     """Attributes in all lists of each line."""
     signal, column = _signal_of(raw)
+    depth = _depth(raw)
     kv = _kv(depth)
     counts = _gather(full(signal, depth)[column].dataType, F.col(column), kv, lambda l: F.array(F.coalesce(_entries(l, depth), F.lit(0))),
                      F.array().cast("array<int>"))
@@ -241,7 +250,7 @@ def scrub_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # --- names ----------------------------------------------------------------------------------------
-def used_names(raw: DataFrame, depth: int = DEPTH) -> DataFrame:
+def used_names(raw: DataFrame) -> DataFrame:
     """``service, version, scope, kind, name`` of every span, event, metric and record attribute name.
 
     Resource and scope attributes are not names of the tool's own records, so they are not listed.
@@ -315,10 +324,11 @@ def check_names(raw: DataFrame, registry: DataFrame, cap: int | None = None) ->
     return capped(each, ["service", "version", "name"], ["service", "version", "name"], cap)
 
 
-def mark_unknown(raw: DataFrame, registry: DataFrame, depth: int = DEPTH) -> DataFrame:
+def mark_unknown(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Resources whose service and version have no registry, marked. A line that holds resources of
     several tools comes out as one line a tool."""
     signal, column = _signal_of(raw)
+    depth = _depth(raw)
     kv = _kv(depth)
     res_t = full(signal, depth)[column].dataType.elementType
 

@@ -13,6 +13,7 @@ from tracehold import conventions as cv
 from tracehold.schemas import RAW, full
 
 _PIECE = 1 << 20
+_NEST = '"(?:arrayValue|kvlistValue)"'
 
 
 def line_signal(line: Column) -> Column:
@@ -36,9 +37,27 @@ def clean_line(line: Column) -> Column:
     return F.regexp_replace(line, "\r$", "")
 
 
-def parse_lines(lines: DataFrame, signal: str, column: str = "line", whole: bool = False) -> DataFrame:
-    """Lines that carry a signal, parsed by its fixed schema next to the frame's other columns."""
-    schema = full(signal) if whole else RAW[signal]
+def nesting(lines: DataFrame, column: str = "line", most: int = cv.MAX_NESTING) -> int:
+    """How many levels of lists and maps the deepest attribute value on some lines has: 2 at least, ``most``
+    at most. Only lines with more than two lists or maps are read closely, token by token on the JVM."""
+    line = F.col(column)
+    many = lines.filter(F.size(F.regexp_extract_all(line, F.lit(_NEST), F.lit(0))) > 2)
+    # Open objects as a text, a list or map as one m and any other as one o; a name marks the object after it.
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("named"), F.lit(0).alias("deepest"))
+
+    def step(at: Column, token: Column) -> Column:
+        closed = F.substring(at["open"], F.lit(1), F.greatest(F.length(at["open"]) - 1, F.lit(0)))
+        held = F.when(token == "{", F.concat(at["open"], F.when(at["named"], "m").otherwise("o"))).when(token == "}", closed).otherwise(at["open"])
+        return F.struct(held.alias("open"), token.rlike(f"^(?:{_NEST})$").alias("named"), F.greatest(at["deepest"], F.length(F.replace(held, F.lit("o")))).alias("deepest"))
+    tokens = F.regexp_extract_all(line, F.lit(r'[{}]|"(?:\\.|[^"\\])*"'), F.lit(0))
+    found = many.agg(F.max(F.aggregate(tokens, start, step)["deepest"]).alias("deepest")).first().deepest
+    return min(most, max(2, found or 0))
+
+
+def parse_lines(lines: DataFrame, signal: str, column: str = "line", whole: bool = False, depth: int = 2) -> DataFrame:
+    """Lines that carry a signal, parsed by its fixed schema next to the frame's other columns. A ``whole``
+    parse reads ``depth`` levels of lists and maps, see ``nesting``."""
+    schema = full(signal, depth) if whole else RAW[signal]
     name = cv.RESOURCE_COLUMN[signal]
     # A generator rather than a filter: a filter on the parsed column would be pushed below the
     # projection and every line parsed twice.

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracehold import conventions as cv
 from tracehold.operators.governance import stamp
-from tracehold.sources.batches import parse_lines
+from tracehold.sources.batches import nesting, parse_lines
 from tracehold.sources.spool import read_spool
 
 _DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -42,10 +42,11 @@ def write_batch(lines: DataFrame, manifests: DataFrame, root: str, collector_id:
     keys: list[str] = []
     good = lines.filter("status = 'ok'").persist()
     try:
+        depth = nesting(good)
         signals = [r.signal for r in good.select("signal").distinct().collect()]
         for signal in sorted(signals):
             column = cv.RESOURCE_COLUMN[signal]
-            raw = parse_lines(good.filter(F.col("signal") == signal).select("line", "class", "name"), signal, whole=True)
+            raw = parse_lines(good.filter(F.col("signal") == signal).select("line", "class", "name"), signal, whole=True, depth=depth)
             out = stamp(raw, manifests, collector_id, instance, F.lit(now.replace(tzinfo=dt.timezone.utc)))
             staging = f"{root}/.staging/{seed}-{signal}"
             out.select(F.to_json(F.struct(column)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(staging)
