@@ -12,7 +12,7 @@ from tracehold.plans.store import Store
 from tracehold.sources import dims
 from tracehold.sources.spool import counters, read_spool
 from tracehold.streaming import hot, live
-from tracehold.streaming.ship import ship_stream
+from tracehold.streaming.ship import ship_stream, shipped, write_batch
 
 H = lambda n: dt.timedelta(hours=n)
 
@@ -55,6 +55,36 @@ def test_spool_and_ship(spark, tmp_path):
     assert glob.glob(root + "/.staging/*") == []
 
 
+def test_budget_and_marks_over_several_triggers(spark, tmp_path):
+    """A run's bytes count over all batches, in order of file and place; a repeated batch counts once."""
+    spool, root, ck = str(tmp_path / "spool"), str(tmp_path / "store"), str(tmp_path / "ck")
+    line = lambda i: run(str(i), str(i), "", "converged", "m", 1.0, NOW)
+    size = len(line(1)) + 1
+    put(spool, "manifests/r1.json", json.dumps({"run": "r1", "lane": "fix", "item": "I-1"}))
+    manifests = dims.read_run_manifests(spark, spool + "/manifests").withColumn("budget", F.lit(3 * size).cast("bigint"))
+    registry = spark.createDataFrame([("other", "1")], "tool string, version string")
+    go = lambda: ship_stream(spark, spool, root, manifests, "pool1", ck, every=None, registry=registry).awaitTermination(120)
+    put(spool, "runs/r1/a.jsonl", line(1), line(2), "not json")
+    put(spool, "services/svc/a.jsonl", *[event("started", NOW, {cv.SERVICE_NAME: "svc"}) for _ in range(9)])
+    go()
+    put(spool, "runs/r1/b.jsonl", line(3), line(4), line(5))
+    go()
+    put(spool, "runs/r1/c.jsonl", line(6))
+    go()
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    s = Store(spark, root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz").text(root)
+    warned = {r.t[-1]: cv.OVER_BUDGET in r.value for r in raw.filter("value LIKE '%resourceSpans%'").select("value", F.regexp_extract("value", r'"traceId":"(\w+)"', 1).alias("t")).collect()}
+    assert warned == {"1": False, "2": False, "3": True}
+    assert raw.filter(F.col("value").contains(cv.REGISTRY_MARK)).count() == raw.count() > 3
+    assert {r.trace_id[-1] for r in s.table("traces", [now - H(1), now]).collect()} == {"1", "2", "3"}
+    want = {"lines": 15, "malformed": 1, "oversized": 0, "blank": 0, "ignored": 0, "over_budget": 3}
+    assert shipped(spark, ck + "-ledger").first().asDict() == want
+    again = read_spool(spark, spool).filter(F.col("rel").endswith("c.jsonl"))
+    write_batch(again, manifests, root, "pool1", "b2", registry=registry, ledger=ck + "-ledger")
+    assert shipped(spark, ck + "-ledger").first().asDict() == want
+
+
 def test_tail(spark, tmp_path):
     spool = spool_of(tmp_path)
     manifests = dims.read_run_manifests(spark, spool + "/manifests")

@@ -359,13 +359,17 @@ def unknown_vendor_names(raw: DataFrame, pinned: DataFrame, scope_prefix: str, c
 
 
 def within_budget(lines: DataFrame, budgets: DataFrame, run: str = "run", file: str = "file", offset: str = "offset",
-                  size: str = "bytes", default: int = cv.DEFAULT_RUN_BUDGET) -> DataFrame:
+                  size: str = "bytes", default: int = cv.DEFAULT_RUN_BUDGET, spent: DataFrame | None = None) -> DataFrame:
     """Lines with ``kept`` and ``over_budget``: a run is read in file order until its bytes no longer fit.
+    ``spent`` has the bytes (column of that name) that a run's lines took before these.
 
     The running total is spread over the cluster by run, file and offset, so a run with a third of all
     lines is many tasks' work.
     """
     upto = running_total(lines, [run], [file, offset], size, "_upto", "_total")
     limit = F.coalesce("budget", F.lit(default))
-    return (upto.join(budgets.select(run, "budget"), run, "left").withColumn("kept", F.col("_upto") <= limit)
-            .withColumn("over_budget", F.col("_total") > limit).drop("_upto", "_total", "budget"))
+    upto = upto.join(budgets.select(run, "budget"), run, "left")
+    upto = upto.join(spent.select(run, "spent"), run, "left") if spent is not None else upto.withColumn("spent", F.lit(0))
+    before = F.coalesce("spent", F.lit(0))
+    return (upto.withColumn("kept", before + F.col("_upto") <= limit).withColumn("over_budget", before + F.col("_total") > limit)
+            .drop("_upto", "_total", "budget", "spent"))

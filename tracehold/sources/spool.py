@@ -30,7 +30,7 @@ def is_open(path: Column) -> Column:
 
 def read_spool(spark: SparkSession, root: str, streaming: bool = False, max_line: int = cv.MAX_LINE_BYTES,
                max_bytes_per_trigger: int | None = None) -> DataFrame:
-    """``line, file, rel, class, name, writer, source, bytes, status, signal`` of the closed files' lines."""
+    """``line, file, block, rel, class, name, writer, source, bytes, status, signal`` of the closed files' lines."""
     reader = spark.readStream if streaming else spark.read
     reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option(
         "ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
@@ -41,12 +41,12 @@ def read_spool(spark: SparkSession, root: str, streaming: bool = False, max_line
     # Both sides without scheme and authority: a listing may spell them otherwise than the caller.
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getRawPath().rstrip("/")
-    raw = reader.format("text").load(root).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = reader.format("text").load(root).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     rel = F.substr(F.regexp_replace("file", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit(len(base) + 2))
     rows = raw.filter(~is_open(F.col("file"))).withColumn("rel", rel).withColumn("w", writer(F.col("rel")))
     line = clean_line(F.col("value"))
     status = F.when(F.col("w").isNull(), "ignored").otherwise(line_status(line, max_line))
-    return rows.select(line.alias("line"), "file", "rel", F.col("w.class").alias("class"), F.col("w.name").alias("name"),
+    return rows.select(line.alias("line"), "file", "block", "rel", F.col("w.class").alias("class"), F.col("w.name").alias("name"),
                        F.col("w.rel").alias("writer"), source_name(F.col("rel")).alias("source"),
                        (F.octet_length("value") + 1).alias("bytes"), status.alias("status"),
                        F.when(status == "ok", line_signal(line)).alias("signal"))

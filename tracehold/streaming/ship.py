@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracehold import conventions as cv
-from tracehold.operators.governance import stamp
+from tracehold.operators.governance import mark_unknown, stamp, within_budget
+from tracehold.session import cut
 from tracehold.sources.batches import nesting, parse_lines
-from tracehold.sources.spool import read_spool
+from tracehold.sources.spool import counters, read_spool
 
+_SPENT, _COUNTS = "run string, bytes bigint", "lines bigint, malformed bigint, oversized bigint, blank bigint, ignored bigint, over_budget bigint"
 _DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
@@ -27,10 +29,40 @@ def ship_id(received: dt.datetime, seed: str) -> str:
     return out
 
 
+def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(f"{schema}, batch string").parquet(path) if there else spark.createDataFrame([], f"{schema}, batch string")
+
+
+def _kept(lines: DataFrame, good: DataFrame, manifests: DataFrame, ledger: str, seed: str) -> DataFrame:
+    """The lines that fit their run's budget after all earlier batches, marked where the run is over it."""
+    spark, columns = lines.sparkSession, ["line", "class", "name", "signal", "over_budget"]
+    spent = _ledger(spark, f"{ledger}/spent", _SPENT).filter(F.col("batch") != seed).groupBy("run").agg(F.sum("bytes").alias("spent"))
+    # lines of a file come in order inside a block, and blocks by where they begin
+    runs = good.filter("class = 'run'").select("line", "class", "name", "signal", "file", "bytes", F.col("name").alias("run"), F.struct("block", F.monotonically_increasing_id()).alias("offset"))
+    judged = cut(within_budget(runs, manifests.select("run", "budget"), spent=spent), "budgets")
+    judged.groupBy("run").agg(F.sum("bytes").alias("bytes")).write.mode("overwrite").parquet(f"{ledger}/spent/batch={seed}")
+    over = judged.agg(F.count_if(~F.col("kept")).alias("over_budget"))
+    counters(lines).unionByName(over, allowMissingColumns=True).write.mode("overwrite").parquet(f"{ledger}/counts/batch={seed}")
+    rest = good.filter("class IS DISTINCT FROM 'run'").withColumn("over_budget", F.lit(False))
+    return judged.filter("kept").select(*columns).unionByName(rest.select(*columns))
+
+
+def shipped(spark: SparkSession, ledger: str) -> DataFrame:
+    """One row: how many lines all batches of a ledger held, and how many of them were passed over, and why."""
+    names = [f.split()[0] for f in _COUNTS.split(", ")]
+    return _ledger(spark, f"{ledger}/counts", _COUNTS).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
 def write_batch(lines: DataFrame, manifests: DataFrame, root: str, collector_id: str, seed: str, instance: str | None = None,
-                received: dt.datetime | None = None) -> list[str]:
+                received: dt.datetime | None = None, registry: DataFrame | None = None, ledger: str | None = None) -> list[str]:
     """Stamp some spool lines and store them as gzip JSONL, a set of files a signal; empty signals have none.
 
+    ``registry``: resources of tools it does not have are marked. ``ledger``: a folder that keeps, for each
+    batch by its ``seed``, what every run's lines took and what was passed over, so budgets hold over all
+    batches; a batch that is repeated replaces its own entries and counts once.
+
     Files are written beside the store's folders and then moved to their keys, so a reader never sees
     half a batch. The driver moves one file per task of the micro-batch.
     """
@@ -40,14 +72,18 @@ def write_batch(lines: DataFrame, manifests: DataFrame, root: str, collector_id:
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     keys: list[str] = []
-    good = lines.filter("status = 'ok'").persist()
+    good = lines.filter("status = 'ok'")
+    if ledger is not None:
+        good = _kept(lines, good, manifests, ledger, seed)
+    good = good.persist()
     try:
         depth = nesting(good)
         signals = [r.signal for r in good.select("signal").distinct().collect()]
         for signal in sorted(signals):
             column = cv.RESOURCE_COLUMN[signal]
-            raw = parse_lines(good.filter(F.col("signal") == signal).select("line", "class", "name"), signal, whole=True, depth=depth)
+            raw = parse_lines(good.filter(F.col("signal") == signal).select("line", "class", "name", *(["over_budget"] if ledger is not None else [])), signal, whole=True, depth=depth)
             out = stamp(raw, manifests, collector_id, instance, F.lit(now.replace(tzinfo=dt.timezone.utc)))
+            out = out if registry is None else mark_unknown(out, registry)
             staging = f"{root}/.staging/{seed}-{signal}"
             out.select(F.to_json(F.struct(column)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(staging)
             folder = f"{signal}/{now:%Y/%m/%d/%H}/{collector_id}"
@@ -64,12 +100,16 @@ def write_batch(lines: DataFrame, manifests: DataFrame, root: str, collector_id:
 
 
 def ship_stream(spark: SparkSession, spool: str, root: str, manifests: DataFrame, collector_id: str, checkpoint: str,
-                instance: str | None = None, max_bytes: int = cv.MAX_OBJECT_BYTES, every: str | None = "15 seconds") -> StreamingQuery:
-    """Ship a spool's closed files by age or size. The checkpoint commits a file only once its batch is
+                instance: str | None = None, max_bytes: int = cv.MAX_OBJECT_BYTES, every: str | None = "15 seconds",
+                registry: DataFrame | None = None, ledger: str | None = None) -> StreamingQuery:
+    """Ship a spool's closed files by age or size. Budgets and losses are kept in ``ledger``, beside the
+    checkpoint unless it is given. The checkpoint commits a file only once its batch is
     stored, so a crash ships it again and the readers' deduplication counts it once."""
     lines = read_spool(spark, spool, streaming=True, max_bytes_per_trigger=max_bytes)
 
+    ledger = ledger or f"{checkpoint}-ledger"
+
     def one(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, manifests, root, collector_id, f"b{batch_id}", instance)
+        write_batch(batch, manifests, root, collector_id, f"b{batch_id}", instance, registry=registry, ledger=ledger)
     writer = lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
