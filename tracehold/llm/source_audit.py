@@ -110,7 +110,7 @@ class Transducer:
         """The place of each word among the terms, -1 for one that is none of them. Word i is the bytes of
         ``text`` from ends[i] to ends[i + 1]; all words are walked at once, a byte a step."""
         of, table = self._table
-        column = of.astype(np.int16)[text]
+        column, ends = of.astype(np.int16)[text[ends[0]:ends[-1]]], ends - ends[0]  # the text may hold much else
         out, skip, to = np.full(len(ends) - 1, -1, np.int64), self.skip, self.to
         word, at, end = np.arange(len(ends) - 1), ends[:-1].astype(np.int64), ends[1:].astype(np.int64)
         state, before = np.full(len(word), self.root), np.zeros(len(word), np.int64)
