@@ -175,6 +175,24 @@ def test_counts_and_crashes(spark, tmp_path):
     assert [(r.trace_id, r.unit) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("t1", "u")]
 
 
+def test_unfinished_units(spark, tmp_path):
+    """Copies, null units, ends that come first or late, and a stream in which nothing ever ends."""
+    schema = "trace_id string, unit string, what string, time timestamp"
+
+    def unfinished(name, *deliveries):
+        src, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        for rows in deliveries:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            (live.unfinished_stream(spark.readStream.schema(schema).parquet(src), "1 hour").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", f"{out}-ck").trigger(availableNow=True).start().awaitTermination(120))
+        return sorted((r.trace_id, r.unit, r.started) for r in spark.read.schema("trace_id string, unit string, started timestamp").parquet(out).collect())
+    after = [("z", "u", "start", NOW + H(30))]
+    assert unfinished("alone", [("a", "u", "start", NOW), ("a", "u", "start", NOW), ("b", None, "start", NOW)], after) == [("a", "u", NOW), ("b", None, NOW)]
+    early = [("a", "u", "span", NOW + H(0.1)), ("b", None, "start", NOW), ("c", "u", "start", NOW), ("d", "u", "start", NOW), ("e", "v", "span", NOW)]
+    late = [("a", "u", "start", NOW), ("b", None, "span", NOW + H(0.99)), ("c", "u", "span", NOW + H(1.01)), ("d", "w", "span", NOW), ("d", "u", "span", NOW)]
+    assert unfinished("mixed", early, late + late, after) == [("c", "u", NOW)]
+
+
 def test_spool_under_a_uri(spark, tmp_path):
     """However its root is spelled, a spool's lines are told apart the same way."""
     spool = spool_of(tmp_path)

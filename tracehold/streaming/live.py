@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracehold import conventions as cv
 from tracehold.operators.flatten import keep_records, records
@@ -35,40 +31,22 @@ def run_counts(spans: DataFrame, watermark: str = "1 hour", c: cv.Conventions =
             .select(F.col("w.start").alias("hour"), "lane", "outcome", "runs"))
 
 
-def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The earliest mark of each kind in a batch: copies are dropped before they are shuffled."""
-    for b in batches:
-        yield b.groupby(["trace_id", "unit", "what"], as_index=False, dropna=False)["time"].min()
-
-
 def unfinished_stream(marks: DataFrame, grace: str = "1 hour") -> DataFrame:
-    """``trace_id, unit, started`` of units whose span has not come ``grace`` after their start.
+    """``trace_id, unit, started`` of units without a span from ``grace`` before to ``grace`` after their start.
 
-    ``marks``: trace_id, unit, what (start or span), time. State is one small row a unit, dropped when
-    its span comes or its timer fires. Marks may come out of order by up to ``grace``: the watermark
-    waits that long, so an end that comes late still ends its unit.
+    ``marks``: trace_id, unit, what (start or span), time. A left outer join of the stream with itself: a start
+    waits in the state until the watermark has passed the last time its span may have, so marks may come out of
+    order by up to ``grace``. Copies of a mark are dropped first; of several starts of a unit within
+    the watermark the first to come counts. Null ids and units are values of their own.
     """
-    limit_ms = int(pd.Timedelta(grace).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({"trace_id": [key[0]], "unit": [key[1]], "started": [pd.Timestamp(started, unit="us")]})
-            return
-        started, ended = (state.get[0] if state.exists else None), False
-        for b in batches:
-            ended = ended or bool((b["what"] == "span").any())
-            first = b.loc[b["what"] == "start", "time"].min()
-            if pd.notna(first):
-                us = int(first.value // 1000)
-                started = us if started is None else min(started, us)
-        if ended:
-            if state.exists:
-                state.remove()
-        elif started is not None:
-            state.update((started,))
-            state.setTimeoutTimestamp(max(started // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
-    marks = marks.select("trace_id", "unit", "what", "time")
-    return (marks.mapInPandas(_thin, marks.schema).withWatermark("time", grace).groupBy("trace_id", "unit").applyInPandasWithState(
-        step, "trace_id string, unit string, started timestamp", "started bigint", "append", GroupStateTimeout.EventTimeTimeout))
+    def of(what: str, at: str, key: tuple[str, ...]) -> DataFrame:
+        # Each side's watermark follows all marks, also where the other kind is all that comes: a condition
+        # that needs the time is not moved before the watermark, one on ``what`` alone would be.
+        rows = marks.select("trace_id", "unit", "what", F.col("time").alias(at)).withWatermark(at, grace)
+        return rows.filter(F.when(F.col("what") == what, F.col(at)).isNotNull()).drop("what").dropDuplicatesWithinWatermark([*key])
+    starts = of("start", "started", ("trace_id", "unit")).alias("s")
+    spans = of("span", "ended", ("trace_id", "unit", "ended")).withColumn("came", F.lit(True)).alias("e")
+    wait = F.expr(f"INTERVAL {grace}")
+    same = (F.col("s.trace_id").eqNullSafe(F.col("e.trace_id")) & F.col("s.unit").eqNullSafe(F.col("e.unit"))
+            & (F.col("ended") >= F.col("started") - wait) & (F.col("ended") <= F.col("started") + wait))
+    return starts.join(spans, same, "left_outer").filter("came IS NULL").select("s.trace_id", "s.unit", "started")
