@@ -17,7 +17,7 @@ from tracehold.plans import catalogue, rollups
 from tracehold.plans.engine import Engine
 from tracehold.session import scratch
 from tracehold.sources.batches import nesting, parse_lines
-from tracehold.streaming import hot
+from tracehold.streaming import hot, live
 from tracehold.streaming.ship import write_batch
 
 TINY, HUGE = 2.0 ** -60, 2.0 ** 90
@@ -51,6 +51,8 @@ def unknown_names_all(spark, d):
 # --- the engine: a window that leaves runs out on both sides, with one at its very end -----------------
 SINCE, UNTIL = dt.datetime(1995, 3, 1), dt.datetime(1995, 4, 1)
 WINDOW = f"time >= TIMESTAMP '{SINCE}' AND time < TIMESTAMP '{UNTIL}'"
+WEEK_SINCE, WEEK_UNTIL = dt.datetime(1995, 3, 5), dt.datetime(1995, 3, 12)
+WEEK = f"time >= TIMESTAMP '{WEEK_SINCE}' AND time < TIMESTAMP '{WEEK_UNTIL}'"
 EDGES = f"""{fx.RUNS_SQL.replace("FROM orders)", f'''FROM (SELECT * REPLACE (CASE o_orderkey%5 WHEN 0 THEN TIMESTAMP '{UNTIL}' WHEN 1 THEN TIMESTAMP '{SINCE}' ELSE o_orderdate END AS o_orderdate) FROM orders))''')}"""
 
 
@@ -145,3 +147,56 @@ def ship_roundtrip_deep(spark, d):
     inner = base + "[1].value" + _INNER[1:]
     return got.select(F.get_json_object("value", f"{base}[0].value.stringValue").cast("bigint").alias("doc_id"), F.get_json_object("value", f"{inner}.stringValue").alias("inner_text"),
                       F.get_json_object("value", inner.removesuffix("[0].value") + "[1].value.stringValue").alias("beside"))
+
+
+@query("store_retention", "SELECT lpad(lower(to_hex(o_orderkey)),32,'0') AS trace_id FROM orders WHERE o_orderkey%3<>0")
+def store_retention(spark, d):
+    """Orders received on three days, a third each: the store's own folders past five days go, batches and parts."""
+    root, day = scratch(spark, "retention"), dt.datetime(1995, 3, 10, 8)
+    lines = run_lines(spark, d)
+    key = F.conv(F.get_json_object("line", "$.resourceSpans[0].scopeSpans[0].spans[0].spanId"), 16, 10).cast("bigint")
+    lines = lines.withColumns({"class": F.lit("service"), "name": F.lit("svc"), "status": F.lit("ok"), "signal": F.lit("traces"), "third": key % 3})
+    none = spark.createDataFrame([], "run string, valid boolean, lane string, harness string, focus string, item string, step string, budget bigint")
+    for third in range(3):
+        write_batch(lines.filter(F.col("third") == third).drop("third"), none, root, "c1", f"day{third}", received=day + dt.timedelta(days=4 * third))
+    now = day + dt.timedelta(days=8, hours=5)
+    store = Engine(spark, root, now=now).store
+    store.compact(now, lookback=dt.timedelta(days=9))
+    store.retain(now, records=dt.timedelta(days=5))
+    return store.table("traces", [day + dt.timedelta(days=4 * third) for third in range(3)]).select("trace_id")
+
+
+# --- units that never ended, from a stream out of order ------------------------------------------------
+GRACE, LAST = 60, "2100-01-01"
+
+
+@query("stream_unfinished", f"""SELECT lpad(lower(to_hex(o_orderkey)),32,'0') AS trace_id, o_orderdate::TIMESTAMP AS started FROM orders o
+  WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=o_orderkey AND l_linenumber=2 AND l_shipdate BETWEEN o_orderdate-INTERVAL {GRACE} DAY AND o_orderdate+INTERVAL {GRACE} DAY)""")
+def stream_unfinished(spark, d):
+    """Orders as starts, their second lines as spans; marks come twice, in two deliveries, and up to ``GRACE`` days late."""
+    src, out, ck = scratch(spark, "marks"), scratch(spark, "unfinished"), scratch(spark, "unfinished-ck")
+    trace = lambda c: F.lpad(F.lower(F.hex(c)), 32, "0").alias("trace_id")
+    mark = lambda key, what, time: [trace(key), F.lit("order").alias("unit"), F.lit(what).alias("what"), F.col(time).cast("timestamp").alias("time")]
+    marks = (fx.table(spark, d, "orders").select(*mark("o_orderkey", "start", "o_orderdate"), F.col("o_orderkey").alias("n"))
+             .unionByName(fx.table(spark, d, "lineitem").filter("l_linenumber = 2").select(*mark("l_orderkey", "span", "l_shipdate"), F.col("l_orderkey").alias("n"))))
+    arrival = F.col("time") + F.make_dt_interval((F.col("n") % GRACE).cast("int"))
+    first = arrival < F.lit("1995-01-01").cast("timestamp")
+    end = spark.sql(f"SELECT 'z' AS trace_id, 'order' AS unit, 'start' AS what, TIMESTAMP '{LAST}' AS time")
+    deliveries = (marks.filter(first).drop("n"), marks.filter(~first).drop("n"), end)
+    for rows in deliveries:
+        rows.unionByName(rows).write.mode("append").parquet(src)
+        (live.unfinished_stream(spark.readStream.schema(end.schema).parquet(src), f"{GRACE} days").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out).select("trace_id", "started")
+
+
+@query("engine_runs", f"""WITH {EDGES} SELECT coalesce(lane,'{cv.BY_HAND}') AS lane, coalesce(outcome,'{cv.NO_OUTCOME}') AS outcome, count(*) AS runs,
+  round(median(duration_ms)/1000,1) AS median_s, round(sum(cost_usd::DECIMAL(38,9)),4)::DOUBLE AS cost_usd, max(time) AS last FROM runs WHERE {WEEK} GROUP BY 1,2""")
+def engine_runs(spark, d):
+    return _engine(spark, d).query("runs", since=WEEK_SINCE, until=WEEK_UNTIL)
+
+
+@query("engine_cost", f"""WITH {EDGES} SELECT coalesce(model,'{cv.NO_MODEL}') AS model, count(*) AS runs, sum(input_tokens)::BIGINT AS input_tokens,
+  round(sum(cost_usd::DECIMAL(38,9)),4)::DOUBLE AS cost_usd FROM runs WHERE {WEEK} GROUP BY 1""")
+def engine_cost(spark, d):
+    return _engine(spark, d).query("cost", since=WEEK_SINCE, until=WEEK_UNTIL).select("model", "runs", "input_tokens", "cost_usd")

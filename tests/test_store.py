@@ -256,3 +256,55 @@ def test_retention_over_the_store_s_own_layout(spark, tmp_path):
     assert rows(e.query("recent", since=NOW - D(20)), "trace_id") == [("a1".rjust(32, "0"),)]
     assert {r for _, r in rows(e.store.retain(NOW, max_bytes=1), "folder", "reason")} == {"size"}
     assert e.query("recent", since=NOW - D(20)).count() == 0
+
+
+def test_a_moved_root(spark, tmp_path):
+    """Manifests name batches under the root: a store copied elsewhere covers the same ones, and so does one
+    whose manifests still hold whole paths."""
+    import shutil
+    root, moved, at = str(tmp_path / "a"), str(tmp_path / "b"), NOW - H(5)
+    ship(root, "traces", at, run("1", "1", "fix", "converged", "m", 1.0, at), "not json")
+    Store(spark, root).compact(NOW, keep=D(9))
+    shutil.copytree(root, moved)
+    for where in (moved, f"file://{moved}", f"file:{moved}/"):
+        s = Store(spark, where)
+        assert s.batch_files(s.state("traces", [at])).count() == 0 and s.table("traces", [at]).count() == 1
+        assert s.compact(NOW).collect() == []
+    m = spark.read.parquet(f"{root}/manifests")
+    assert [r.batch.split("/")[0] for r in m.collect()] == ["traces"]
+    old = m.withColumn("batch", F.concat(F.lit(f"file://{root}/"), "batch")).withColumns({"n": F.col("n") + 1, "part": F.regexp_replace("part", "n=1", "n=2")})
+    spark.read.parquet(f"{root}/compacted/signal=traces/hour={at:%Y-%m-%d-%H}/n=1").write.parquet(f"{root}/compacted/signal=traces/hour={at:%Y-%m-%d-%H}/n=2")
+    old.write.mode("append").partitionBy("signal", "hour").parquet(f"{root}/manifests")
+    s = Store(spark, root)
+    assert s.batch_files(s.state("traces", [at])).count() == 0
+    assert s.prune("traces", [at], NOW + D(20), D(1)) == 3  # the batch, the first part's folder, its manifest
+    assert glob.glob(f"{root}/traces/**/*.gz", recursive=True) == [] and os.listdir(f"{root}/compacted/signal=traces/hour={at:%Y-%m-%d-%H}") == ["n=2"]
+    assert s.table("traces", [at]).count() == 1
+
+
+def test_quarantine_again(spark, tmp_path, monkeypatch):
+    """A compaction that fails after the bad lines were written writes none of them twice."""
+    root, at = str(tmp_path), NOW - H(5)
+    ship(root, "traces", at, run("1", "1", "fix", "converged", "m", 1.0, at), "not json", "not json")
+    s = Store(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_compact_signal", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            s.compact(NOW)
+    s.compact(NOW)
+    assert [(r.kind, r.lines) for r in s.quarantined().collect()] == [("malformed", 2)]
+
+
+def test_what_an_answer_rests_on(spark, tmp_path):
+    import json
+    root, at = str(tmp_path), NOW - H(5)
+    ship(root, "traces", at, run("1", "1", "fix", "converged", "m", 1.0, at))
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW)
+    ship(root, "traces", NOW - H(1), run("2", "2", "fix", "converged", "m", 1.0, NOW - H(1)))
+    meta = json.loads(e.describe(e.query("runs", since="8h", lane="fix"), "runs", lane="fix").first().value)
+    assert meta["since"] == str(NOW - H(8)) and meta["until"] == str(NOW) and meta["lane"] == "fix" and meta["damaged"] == 0
+    assert (meta["batches"], meta["parts"], meta["from_rollups"]) == (1, 1, False) and "runs" in meta["columns"]
+    meta = json.loads(e.describe(e.query("cost", since="30d"), "cost").first().value)
+    assert meta["from_rollups"] is True and "parts" not in meta
+    assert e.store.retain(NOW + H(1)).collect() == []  # nothing is past its time, and no size is set

@@ -93,7 +93,7 @@ def evidence(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: i
 
 # --- retention ------------------------------------------------------------------------------------
 def retention_plan(listing: DataFrame, now: dt.datetime, records: dt.timedelta | None = dt.timedelta(days=7),
-                   rollups: dt.timedelta | None = dt.timedelta(days=396), max_bytes: int = 1 << 30) -> DataFrame:
+                   rollups: dt.timedelta | None = dt.timedelta(days=396), max_bytes: int | None = None) -> DataFrame:
     """``key, size, reason`` of what to delete from ``key, size``.
 
     First what is older than its kind is kept (``age``), then, while the records left are over
@@ -105,14 +105,14 @@ def retention_plan(listing: DataFrame, now: dt.datetime, records: dt.timedelta |
     return plan_by_span(cut(s, "spans"), now, records, rollups, max_bytes)
 
 
-def plan_by_span(s: DataFrame, now: dt.datetime, records: dt.timedelta | None, rollups: dt.timedelta | None, max_bytes: int) -> DataFrame:
+def plan_by_span(s: DataFrame, now: dt.datetime, records: dt.timedelta | None, rollups: dt.timedelta | None, max_bytes: int | None) -> DataFrame:
     """The same from keys with their span: ``key, size, _from, _to, _rollup``."""
     def older(keep: dt.timedelta | None) -> Column:
         return F.col("_to") < F.lit(utc(now - keep)) if keep else F.lit(False)
     aged = F.when(F.col("_rollup"), older(rollups)).otherwise(older(records))
     by_age = s.filter(aged).select("key", "size", F.lit("age").alias("reason"))
     left = s.filter(~aged & ~F.col("_rollup"))
-    if max_bytes <= 0:
+    if not max_bytes or max_bytes <= 0:
         return by_age
     units = left.groupBy("_from").agg(F.sum("size").alias("_unit"))
     newest = units.withColumn("_age", -F.unix_micros("_from")).withColumn("_all", F.lit(1))

@@ -62,7 +62,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, erased: Sequence[str] = (), now: dt.datetime | None = None, **options):
         self.spark, self.store = spark, Store(spark, root, erased, **options)
         self._now = now
-        self.from_rollups = False
+        self.from_rollups, self.window, self._read = False, None, []
 
     @property
     def now(self) -> dt.datetime:
@@ -101,22 +101,29 @@ class Engine:
         ids = copies.filter(wanted).select(F.col("record_id").alias("_id")).distinct()
         return one_per_record(copies.join(ids, copies["record_id"].eqNullSafe(ids["_id"]), "left_semi"))
 
+    def _copies(self, signal: str, hours: Sequence[dt.datetime], item: str | None = None) -> DataFrame:
+        """The copies of a signal's records in some hours, of which those that hold an item; what is read is kept for ``describe``."""
+        states = self.store.state(signal, hours)
+        states = states if item is None else self.store.item_hours(item, states)
+        self._read += states
+        return self.store.copies(signal, states).drop("hour")
+
     def query(self, name: str, arg: str | None = None, since=None, until=None, lane: str = "", labels: Sequence[str] = ()) -> DataFrame:
-        start, end = self.resolve(name, arg, since, until, labels)
-        self.from_rollups = QUERIES[name].rollups and end - start > LONG_RANGE
+        start, end = self.window = self.resolve(name, arg, since, until, labels)
+        self.from_rollups, self._read = QUERIES[name].rollups and end - start > LONG_RANGE, []
         if self.from_rollups:
             rows = self.store.rollup_source("runs", start, end)
             return (catalogue.runs_from_rollups if name == "runs" else catalogue.cost_from_rollups)(rows, lane)
         hours = window_hours(start, end)
         if name == "trace":
             # Copies share their trace, so one trace is picked before copies are removed.
-            copies = self.store.copies("traces", self.store.state("traces", hours)).drop("hour")
+            copies = self._copies("traces", hours)
             return catalogue.trace(one_per_record(copies.filter(F.col("trace_id") == arg.lower())), arg, start, end)
         if name == "item":
-            s, l = (self._once(self.store.copies(g, self.store.item_hours(arg, self.store.state(g, hours))).drop("hour"), F.col("item_key") == arg)
+            s, l = (self._once(self._copies(g, hours, arg), F.col("item_key") == arg)
                     for g in ("traces", "logs"))
             return catalogue.item(s, l, arg, start, end, labels)
-        copies = self.store.copies("traces", self.store.state("traces", hours)).drop("hour")
+        copies = self._copies("traces", hours)
         mine = F.col("item_key").isNotNull() if name == "items" else F.col("name") == self.store.c.run_span
         spans = self._once(copies, mine & catalogue.in_window(start, end) & (F.col("lane") == lane if lane else F.lit(True)))
         if name == "items":
@@ -125,7 +132,12 @@ class Engine:
             spans, start, end, lane, labels, self.store.c)
 
     def describe(self, df: DataFrame, name: str, **params) -> DataFrame:
-        return result_meta(df, name, params)
+        """What the last answer was asked and what it rests on: its window, whether it comes from rollups, the
+        parts and uncovered batches it reads otherwise, and how many damaged batches of the store it cannot hold."""
+        read = {"parts": sum(s.n > 0 for s in self._read), "batches": self.store.batch_files(self._read).count()}
+        damaged = self.store.quarantined().filter("kind = 'damaged'").count()
+        start, end = self.window or (None, None)
+        return result_meta(df, name, params | {"since": start, "until": end, "from_rollups": self.from_rollups, "damaged": damaged} | ({} if self.from_rollups else read))
 
     def sql(self, text: str, since: dt.datetime, until: dt.datetime, **params) -> DataFrame:
         """SQL over ``spans``, ``logs`` and ``metric_points`` received in a window, with named parameters."""

@@ -15,7 +15,9 @@ records. A part without a manifest does not exist for a reader; manifests are wr
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +35,16 @@ from tracehold.sources.keys import batch_hour
 from tracehold.sources.parts import read_parts, write_sorted
 
 HOUR = "%Y-%m-%d-%H"
+#: Files that are deleted at one time.
+DELETES = 32
 _FLATTEN = {"traces": flatten_spans, "logs": flatten_logs, "metrics": flatten_points}
 
 
+def batch_key(path: Column) -> Column:
+    """A batch's key under the root, so that a manifest holds however the root is spelled and wherever it moves."""
+    return F.substring_index(path, "/", -7)
+
+
 def hour_text(h: dt.datetime) -> str:
     return h.strftime(HOUR)
 
@@ -103,13 +112,14 @@ class Store:
 
     # --- manifests ----------------------------------------------------------------------------
     def manifests(self, signal: str, hours: Sequence[str]) -> DataFrame:
-        """Manifest rows of some hours, every number."""
+        """Manifest rows of some hours, every number; ``batch`` is a key under the root, also where an older
+        manifest holds a whole path."""
         have = self._values(f"manifests/signal={signal}", "hour=") & set(hours)
         if not have:
             return self.spark.createDataFrame([], MANIFEST)
         base = f"{self.root}/manifests"
         return (self.spark.read.schema(MANIFEST).option("basePath", base)
-                .parquet(*[f"{base}/signal={signal}/hour={h}" for h in sorted(have)]))
+                .parquet(*[f"{base}/signal={signal}/hour={h}" for h in sorted(have)]).withColumn("batch", batch_key(F.col("batch"))))
 
     def latest(self, signal: str, hours: Sequence[str]) -> DataFrame:
         """Each hour's newest manifest rows, those that name their own hour's part."""
@@ -138,13 +148,14 @@ class Store:
         """``signal, hour, path`` of the well-formed batches in some hours that no trusted part covers."""
         dirs = [self._batch_dir(s.signal, s.hour) for s in states if s.batches]
         files = list_files(self.spark, dirs, "*.jsonl.gz")
-        key = F.substring_index("path", "/", -7)
+        files = files.withColumn("batch", batch_key(F.col("path")))
+        key = F.col("batch")
         files = files.withColumn("signal", F.split_part(key, F.lit("/"), F.lit(1)))
         hour = F.coalesce(*[batch_hour(key, s) for s in cv.SIGNALS])
-        files = files.withColumn("hour", hour).filter("hour IS NOT NULL").select("signal", "hour", "path", "size")
+        files = files.withColumn("hour", hour).filter("hour IS NOT NULL").select("signal", "hour", "batch", "path", "size")
         for signal in {s.signal for s in states if s.n}:
             held = self.latest(signal, [s.hour for s in states if s.signal == signal and s.n])
-            files = files.join(held.select("signal", F.col("batch").alias("path")), ["signal", "path"], "left_anti")
+            files = files.join(held.select("signal", "batch"), ["signal", "batch"], "left_anti")
         return files.select("signal", "hour", "path", "size")
 
     def read_plan(self, signals: Sequence[str], since: dt.datetime, until: dt.datetime) -> DataFrame:
@@ -167,7 +178,7 @@ class Store:
         """Well-formed batches of some hour folders as nested rows with their receipt ``hour``. A strict read
         fails at what it cannot read, a storage fault included, instead of passing over it."""
         raw = read_batches(self.spark, signal, dirs, skip_corrupt=not strict)
-        return raw.withColumn("hour", batch_hour(F.substring_index("file", "/", -7), signal)).filter("hour IS NOT NULL")
+        return raw.withColumn("hour", batch_hour(batch_key(F.col("file")), signal)).filter("hour IS NOT NULL")
 
     def copies(self, signal: str, states: Sequence[HourState], strict: bool = False) -> DataFrame:
         """Every copy of the records in some hours with their receipt ``hour``; parts and uncovered batches."""
@@ -186,9 +197,9 @@ class Store:
         raw = self._received(signal, plain, strict)
         if mixed:
             dirs = [self._batch_dir(signal, s.hour) for s in mixed]
-            covered = (self.latest(signal, [s.hour for s in mixed]).select(F.col("batch").alias("file"))
-                       .join(list_files(self.spark, dirs, "*.jsonl.gz").select(F.col("path").alias("file")), "file", "left_semi"))
-            raw = raw.unionByName(self._received(signal, dirs, strict).join(covered, "file", "left_anti"))
+            covered = (self.latest(signal, [s.hour for s in mixed]).select("batch")
+                       .join(list_files(self.spark, dirs, "*.jsonl.gz").select(batch_key(F.col("path")).alias("batch")), "batch", "left_semi"))
+            raw = raw.unionByName(self._received(signal, dirs, strict).join(covered, batch_key(F.col("file")) == F.col("batch"), "left_anti"))
         return held.unionByName(self._flat(signal, raw).select(*table))
 
     def table(self, signal: str, hours: Sequence[dt.datetime]) -> DataFrame:
@@ -266,6 +277,9 @@ class Store:
             self._fs.rename(self._path(r.path), to)
         whole = checked.filter("whole").drop("whole")
         lines = unreadable_lines(self.spark, signal, dirs).join(whole.select(F.col("path").alias("file")), "file", "left_semi")
+        if f"signal={signal}" in self._names("quarantine/lines"):  # a pass that failed later has written them already
+            done = self.spark.read.parquet(f"{self.root}/quarantine/lines/signal={signal}").select(batch_key(F.col("file")).alias("batch")).distinct()
+            lines = cut(lines.join(done, batch_key(F.col("file")) == F.col("batch"), "left_anti"), "bad-lines")
         lines.withColumn("signal", F.lit(signal)).write.mode("append").partitionBy("signal").parquet(f"{self.root}/quarantine/lines")
         return whole
 
@@ -294,7 +308,7 @@ class Store:
             f"compacted/signal={signal}/hour={h}/n={n}")], (), ["hour", "n"], base, check=False)
             .groupBy("hour").agg(F.count(F.lit(1)).alias("records")))
         old = self.latest(signal, [s.hour for s in due if s.n]).select("hour", "batch")
-        covers = old.unionByName(fresh.select("hour", F.col("path").alias("batch"))).distinct()
+        covers = old.unionByName(fresh.select("hour", batch_key(F.col("path")).alias("batch"))).distinct()
         manifest = (number.join(counts, "hour", "left").join(covers, "hour", "left")
                     .select(F.lit(signal).alias("signal"), "hour", "n", self.part_name(F.lit(signal), F.col("hour"), F.col("n")).alias("part"),
                             "batch", F.coalesce("records", F.lit(0)).cast("bigint").alias("records"), F.lit(utc(now)).alias("compacted")))
@@ -303,15 +317,15 @@ class Store:
         return number.join(counts, "hour", "left").select(F.lit(signal).alias("signal"), "hour", "n", F.coalesce("records", F.lit(0)).alias("records"))
 
     def prune_plan(self, signal: str, hours: Sequence[dt.datetime], now: dt.datetime, keep: dt.timedelta, purge: set[str] = frozenset()) -> DataFrame:
-        """``path`` of what a trusted manifest older than ``keep`` makes redundant: covered batches,
-        superseded parts and manifests."""
+        """``path`` of what a trusted manifest older than ``keep`` makes redundant: covered batches and superseded
+        manifests by file (a batch may land in their folder at any time), superseded parts by folder."""
         names = [hour_text(h) for h in hours]
         m = self.manifests(signal, names)
         ready = (m.groupBy("hour").agg(F.max("n").alias("latest"), F.max_by("compacted", "n").alias("compacted"))
                  .filter((F.col("compacted") <= F.lit(utc(now - keep))) | F.col("hour").isin(*purge or {""})))
-        covered = m.join(ready, "hour").filter("n = latest").select(F.col("batch").alias("path"))
+        covered = m.join(ready, "hour").filter("n = latest").select(F.concat(F.lit(f"{self.root}/"), "batch").alias("path"))
         held = [f"{self.root}/compacted/signal={signal}/hour={h}" for h in names if self._exists(f"compacted/signal={signal}/hour={h}")]
-        parts = list_files(self.spark, held, "*.parquet").select("path", F.regexp_extract("path", r"/hour=([^/]+)/", 1).alias("hour"),
+        parts = list_files(self.spark, held, "*.parquet").select(F.regexp_extract("path", r"^(.*/n=\d+)/", 1).alias("path"), F.regexp_extract("path", r"/hour=([^/]+)/", 1).alias("hour"),
                                                                  F.regexp_extract("path", r"/n=(\d+)/", 1).cast("int").alias("n"))
         old_parts = parts.join(ready, "hour").filter("n <> latest").select("path")
         if self._exists(f"manifests/signal={signal}"):
@@ -324,11 +338,12 @@ class Store:
         return out.filter("path IS NOT NULL").distinct()
 
     def prune(self, signal: str, hours: Sequence[dt.datetime], now: dt.datetime, keep: dt.timedelta, purge: set[str] = frozenset()) -> int:
-        """Delete what the plan names, streamed through the driver a partition at a time."""
-        n = 0
-        for r in cut(self.prune_plan(signal, hours, now, keep, purge), "prune").toLocalIterator():
-            self._delete(r.path)
-            n += 1
+        """Delete what the plan names, streamed through the driver a partition at a time, ``DELETES`` at once."""
+        n, paths = 0, (r.path for r in cut(self.prune_plan(signal, hours, now, keep, purge), "prune").toLocalIterator())
+        with ThreadPoolExecutor(DELETES) as pool:
+            while some := list(itertools.islice(paths, 64 * DELETES)):
+                list(pool.map(self._delete, some))
+                n += len(some)
         return n
 
     # --- retention ----------------------------------------------------------------------------
@@ -348,9 +363,9 @@ class Store:
         return out
 
     def retain(self, now: dt.datetime, records: dt.timedelta | None = dt.timedelta(days=7), rolled: dt.timedelta | None = dt.timedelta(days=396),
-               max_bytes: int = 1 << 30) -> DataFrame:
+               max_bytes: int | None = None) -> DataFrame:
         """Delete what is past its time: whole hours of batches, parts and manifests, days of the index, days
-        and months of rollups; then, while the records left are over ``max_bytes`` (0: no limit), their
+        and months of rollups; then, while the records left are over ``max_bytes`` (None or 0: no limit), their
         oldest hours. Folders go in one call each, so the work is of hours and days, not of files. Returns
         ``folder, bytes, reason``."""
         gone: list[tuple[str, int, str]] = []
@@ -366,7 +381,7 @@ class Store:
         for hour in sorted(self._hours_held(), reverse=True):
             old = records is not None and dt.datetime.strptime(hour, HOUR) + dt.timedelta(hours=1) < now - records
             total += 0 if old else sum(map(self._bytes, of(hour)))
-            for folder in of(hour) if old or 0 < max_bytes < total else ():
+            for folder in of(hour) if old or 0 < (max_bytes or 0) < total else ():
                 drop(folder, "age" if old else "size")
         for day in self._values("index/items", "day="):
             if records is not None and dt.datetime.fromisoformat(day) + dt.timedelta(days=1) < now - records:
