@@ -233,10 +233,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text included, judged on the texts as they are.
 
     Null and empty texts have nothing to remove; texts shorter than ``length`` stay whole. Repeated rows
-    are copies of each other, so both lose every byte that a string covers. A row is known by a hash of its
-    id and text, so ids may be null or repeat. An empty table gives no rows."""
+    are copies of each other, so both lose every byte that a string covers. Each row has a key of its own, fixed
+    when the texts are written, so ids may be null or repeat. An empty table gives no rows."""
     spark = docs.sparkSession
-    base = columns(docs, doc_id=doc_id, text=text).select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
+    base = columns(docs, doc_id=doc_id, text=text).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
     packed = cut(base.mapInArrow(partial(_prepare, length, gram), "key long, doc_id long, packed binary, n_bytes long, at array<long>, h array<long>, g array<long>"), "repeats-texts")
     anchors = packed.select("key", F.explode(F.arrays_zip("at", "h", "g")).alias("a")).select("key", F.col("a.at").cast("int").alias("at"), "a.h", "a.g")
     # grams that occur once hold no repeat; counts are combined before the shuffle
@@ -250,7 +250,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = cut(pieces.join(many, "h").select("h", "g", "n", "key", parts.alias("parts"), F.pmod(F.xxhash64("g"), parts).cast("int").alias("part")), "repeats-wanted")
     places = some.join(wanted, ["h", "g", "key"]).groupBy("h", "g", "key", "n", "parts", "part").agg(F.min("at").alias("at"))
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("at", "h", "n", "parts", "part")).alias("wanted"))
-    # a row that repeats shows its pieces again, which changes nothing: their n is over one
     shown = packed.select("key", "packed", "n_bytes").join(by_text, "key").mapInArrow(partial(_cut_pieces, length, gram), "key long, at long, h long, n long, parts int, part int, low int, high int, piece binary")
     tasks = max(1, -(-wanted.count() // task))
     found = cut(shown.repartition(tasks, "h", "part").mapInArrow(partial(_compare, length, gram), _FOUND_SQL), "repeats-found")
