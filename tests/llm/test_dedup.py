@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -59,6 +60,13 @@ def test_repeats_of_odd_rows(odd, empty):
     assert not repeats(empty)
 
 
+def test_repeats_of_one_row_many_times(spark):
+    rnd = random.Random(5)
+    text, other = ("".join(rnd.choice("abcdefgh ") for _ in range(1000)) for _ in range(2))
+    rows = [(None if i % 3 else 7, text) for i in range(2000)] + [(8, other + text[300:700]), (9, other[:150] + text[:120])]
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_repeats(rows, 200)
+
+
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     raw = bytes(random.Random(1).choices(b"abcd ", k=9000))
     whole = suffix_dedup.Anchors(200, 32)(raw)
@@ -105,6 +113,15 @@ def test_exact_duplicates_with_small_lists(spark, monkeypatch):
     assert golomb_dedup.suspects(fps, 350 * golomb_dedup.PER_OWNER).count() == 37
 
 
+def test_a_hot_fingerprint_is_listed_twice(spark):
+    rows = [(i, "hot text" if i % 3 else f"text {i}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fps = df.select(F.xxhash64("text").alias("fp"))
+    sent = [golomb_dedup._decoded(r) for r in fps.mapInArrow(partial(golomb_dedup._send, 4), golomb_dedup._LISTS).collect()]
+    assert max(Counter(np.concatenate(sent).tolist()).values()) == 2 * 4 and sum(map(len, sent)) == 10_000 + 8
+    assert [r.group_size for r in golomb_dedup.exact_duplicates(df).filter("kept AND group_size > 1").collect()] == [20_000]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1000])
 def test_golomb_round_trip(n):
     rnd = np.random.default_rng(n)
