@@ -74,25 +74,26 @@ ORACLES = {
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
     "op7_secret_owners": rf"""
-        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner FROM documents),
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),
         p(kind, o, p) AS (VALUES ('assign', 0, '{secret_owners.ASSIGN.replace("'", "''")}'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+'), ('blob', 3, '{secret_owners.BLOB}')),
-        g AS (SELECT r, owner, kind, o, p, regexp_extract_all(x, p) AS hits, regexp_split_to_array(x, p) AS gaps FROM t, p),
+        g AS (SELECT r, owner, lang, kind, o, p, regexp_extract_all(x, p) AS hits, regexp_split_to_array(x, p) AS gaps FROM t, p),
         n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM g WHERE len(hits) > 0),
-        m AS (SELECT r, owner, kind, o, hits[i] AS hit, CASE kind WHEN 'assign' THEN regexp_extract(hits[i], p, 1) ELSE hits[i] END AS v,
+        m AS (SELECT r, owner, lang, kind, o, hits[i] AS hit, CASE kind WHEN 'assign' THEN regexp_extract(hits[i], p, 1) ELSE hits[i] END AS v,
                      sum(length(gaps[i])) OVER w + coalesce(sum(length(hits[i])) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM n
               WINDOW w AS (PARTITION BY r, kind ORDER BY i)),
-        s AS (SELECT r, owner, kind, o, v, a, a + length(hit) AS b FROM m
+        s AS (SELECT r, owner, lang, kind, o, v, a, a + length(hit) AS b FROM m
               WHERE length(v) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 20 END
                 AND (kind <> 'blob' OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
         c AS (SELECT * FROM s WHERE kind <> 'blob' OR NOT EXISTS (SELECT 1 FROM s y WHERE y.r = s.r AND y.kind <> 'blob' AND y.a < s.b AND y.b > s.a)),
-        h AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
-        f AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        h AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repositories FROM c GROUP BY v),
+        f AS (SELECT r, max(owners) AS most_owners, max(repositories) AS most_repositories, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                      sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER (kind <> 'blob'), '')) AS base_sha256,
                      coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER (kind <> 'blob' OR owners < {secret_owners.COPIED}), '') AS spans,
                      count(*) FILTER (owners < {secret_owners.COPIED}) AS n_live, count(*) FILTER (owners >= {secret_owners.COPIED} AND kind <> 'blob') AS n_copied
               FROM c JOIN h USING (v) GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-               coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+               coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+               coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
         FROM t LEFT JOIN f USING (r)""",
     "op8_warc_chunks": """
         WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

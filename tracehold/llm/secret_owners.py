@@ -65,7 +65,9 @@ def _written(spans: Column) -> Column:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", copied: int = COPIED) -> DataFrame:
     """A row for each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_copied
-    (spans whose value fewer than ``copied`` owners hold, and the others).
+    (spans whose value fewer than ``copied`` owners hold, and the others), most_owners and most_repositories
+    (of the row's values, the most owners and the most repositories that hold one; 0 without any). Owners
+    decide, as one owner's forks of a secret are still one owner's; repositories show how far it went.
 
     A repository is an owner's name with the ``repository`` column; an unknown owner counts as one more
     owner. Null and empty texts have no spans. Repeated rows are scanned each, and add nothing to the
@@ -80,10 +82,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     held = spans.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(
         F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = spans.join(held, "hash").groupBy("row").agg(
+        F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
         F.count_if(F.col("owners") < copied).alias("n_live"), F.count_if((F.col("owners") >= copied) & (F.col("span.kind") != "blob")).alias("n_copied"),
         F.collect_list(F.when((F.col("owners") < copied) & (F.col("span.kind") == "blob"), F.col("span"))).alias("added"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.join(judged, "row", "left").select(
         "doc_id", n("assign"), n("access"), n("hex"), F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
         _written(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"))
