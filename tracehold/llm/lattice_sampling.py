@@ -71,7 +71,7 @@ class Lattices:
     _BY_EDGE = {"upto": float, "logp": float, "rest": float, "piece": np.int32, "next": np.int64}
 
     def __init__(self, pieces, byte_ids, byte_weights):
-        self.byte_ids, self.byte_weights = byte_ids, byte_weights
+        self.byte_ids, self._byte_weight = byte_ids, byte_weights.tolist().__getitem__
         self.longest = max(map(len, pieces), default=1)
         prefixes: dict[str, tuple[int, float]] = {}
         for p, (i, w) in pieces.items():
@@ -146,10 +146,12 @@ class Lattices:
     def _add(self, fresh: list[str]) -> None:
         if not fresh:
             return
+        text = "".join(fresh)
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         # the mark for spaces is a character too: where a text holds it, it goes as bytes
-        keys = [_SPACE * (len(u) - len(v := u.lstrip(" "))) + v.replace(_SPACE, "\0") for u in fresh]
-        size = np.fromiter(map(len, keys), np.int64, len(keys))
-        codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes[codes == ord(_SPACE)] = 0
+        codes[codes == ord(" ")] = ord(_SPACE)
         n, ends = len(codes), np.cumsum(size)
         end, begin = np.repeat(ends, size), np.repeat(ends - size, size)
         src, dst, piece, weight = [], [], [], []
@@ -159,16 +161,17 @@ class Lattices:
             at, h = at[fits], self._mix(h[fits], codes[at[fits] + length - 1])
             k, known = self._prefixes(h)
             at, h, k = at[known], h[known], k[known]
-            whole = self._piece[k] >= 0
-            src.append(at[whole]), dst.append(at[whole] + length), piece.append(self._piece[k][whole]), weight.append(self._weight[k][whole])
+            ids = self._piece[k]
+            whole = np.flatnonzero(ids >= 0)
+            here = at[whole]
+            src.append(here), dst.append(here + length), piece.append(ids[whole]), weight.append(self._weight[k[whole]])
             if length == 1:
-                alone[at[whole]] = True
-        text = "".join(fresh)
+                alone[here] = True
         chains = [(i, as_bytes(text[i])) for i in np.flatnonzero(~alone).tolist()]  # no piece for the character alone: its bytes, one path
         src.append(np.array([i for i, _ in chains], np.int64))
         dst.append(src[-1] + 1)
         piece.append(np.array([self.byte_ids[raw[0]] for _, raw in chains], np.int64))
-        weight.append(np.array([self.byte_weights[list(raw)].sum() for _, raw in chains]))
+        weight.append(np.array([sum(map(self._byte_weight, raw)) for _, raw in chains], float))
         by_bytes = np.repeat([False, True], [sum(map(len, src[:-1])), len(chains)])
         src, dst, piece, weight = map(np.concatenate, (src, dst, piece, weight))
         order = np.argsort(src, kind="stable")
@@ -177,33 +180,40 @@ class Lattices:
         far = end[src] - src
         longest = int(size.max())
         order = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
-        near, to, score = src[order], dst[order], weight[order]
-        beta, last = np.zeros(n + 1), to == end[near]
+        near, score = src[order], weight[order]
+        beta, to = np.zeros(n + 1), np.where(dst == end[src], n, dst)[order]  # nothing is left after a word's last state
         bounds = np.searchsorted(far[order], np.arange(1, longest + 2))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            here = near[lo:hi]
-            score[lo:hi] += np.where(last[lo:hi], 0.0, beta[to[lo:hi]])
-            head = np.flatnonzero(np.diff(here, prepend=-1))
-            total = np.logaddexp.reduceat(score[lo:hi], head)
-            beta[here[head]] = total
-            score[lo:hi] -= np.repeat(total, np.diff(head, append=hi - lo))
+        head = np.flatnonzero(np.diff(near, prepend=-1))
+        begins, owner = np.searchsorted(head, bounds).tolist(), near[head]
+        bounds = bounds.tolist()
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if lo < hi:
+                x, y = begins[i], begins[i + 1]
+                score[lo:hi] += beta[to[lo:hi]]
+                beta[owner[x:y]] = np.logaddexp.reduceat(score[lo:hi], head[x:y] - lo)
+        score -= beta[near]
         logp = np.empty(len(src))
         logp[order] = score
         # the likeliest edge of a state comes first
         head = np.flatnonzero(np.diff(src, prepend=-1))
-        top = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, head), np.diff(head, append=len(src))))
+        degree = np.diff(head, append=len(src))
+        top = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, head), degree))
         top = top[np.diff(src[top], prepend=-1) > 0]
         for x in (dst, piece, by_bytes, logp):
             x[head], x[top] = x[top], x[head]
         p = np.exp(logp)
-        degree = np.diff(head, append=len(src))
-        rank = np.arange(len(src)) - np.repeat(head, degree)
         total = np.repeat(np.add.reduceat(p, head), degree)
-        others = np.where(rank == 0, np.repeat(np.add.reduceat(np.where(rank == 0, 0.0, p), head), degree), total - p)
+        tailed = p.copy()
+        tailed[head] = 0.0
+        others = total - p
+        others[head] = np.add.reduceat(tailed, head)
         run = np.cumsum(p)
         run -= np.repeat(run[head] - p[head], degree)
         base, state = self.states, self.states + src
-        upto = np.where(rank + 1 == np.repeat(degree, degree), state + 1.0, state + np.minimum(run / total, 1.0))
+        run /= total
+        upto = state + np.minimum(run, 1.0, out=run)
+        final = head + degree - 1
+        upto[final] = state[final] + 1.0
         to = np.where(dst == end[src], -1, base + dst)
         extra = base + n
         tail = {k: [] for k in ("offset", "upto", "piece", "next")}
@@ -217,8 +227,8 @@ class Lattices:
                 tail["upto"].append(extra + 1.0), tail["piece"].append(int(self.byte_ids[raw[k]])), tail["next"].append(extra + 1 if k + 1 < len(raw) else after)
                 extra += 1
         more = extra - base - n
-        with np.errstate(divide="ignore"):
-            rest = np.where(np.repeat(degree, degree) > 1, np.log(np.maximum(others, 1e-300)), -np.inf)
+        rest = np.log(np.maximum(others, 1e-300, out=others))
+        rest[head[degree == 1]] = -np.inf
         starts = self.edges + np.concatenate([head, len(src) + np.arange(more)])
         self.states = self._append(self._BY_STATE, n + more, base, 1, start=starts, offset=np.concatenate([4 * (np.arange(n) - begin), np.array(tail["offset"], np.int64)]),
                                    lead=np.concatenate([(p / total)[head] + (degree == 1), np.full(more, 2.0)]))
@@ -309,21 +319,29 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
         return [(0.0, -t0, 0.0, np.zeros(0, np.int32))]
     queue, found, serial = [(t0, 0, None)], [], 0
 
-    def push(logt: float, log_before: np.ndarray, log_rest: np.ndarray, place: np.ndarray, stream: int, node) -> None:
-        """Queue the branches with mass before * rest, which shrinks along the path. Only k + 1 of them can
-        be reached; a block none of which can be among them (no wait is under exp(-37)) ends the search."""
+    def push(logt: float, before: float, edges: np.ndarray, place: np.ndarray, stream: int, node) -> None:
+        """Queue the branches off a path, whose mass up to here is exp(before) and shrinks along it. Only k + 1
+        of them can be reached; a block none of which can be among them (no wait is under exp(-37)) ends the
+        search."""
         nonlocal serial
         best = []
         for a in range(0, len(place), _BLOCK):
-            if len(best) > k and -37.0 - log_before[a] > best[k][0]:
+            if len(best) > k and -37.0 - before > best[k][0]:
                 break
-            good = a + np.flatnonzero(log_rest[a:a + _BLOCK] > -np.inf)
-            wait = np.log(-np.log(uniform(key, (1 << 20) + stream, place[good]))) - log_before[good] - log_rest[good]
+            block = edges[a:a + _BLOCK]
+            logp, mass = net.logp[block], net.rest[block]
+            upto = before + np.cumsum(logp)
+            mass += upto
+            mass -= logp
+            good = np.flatnonzero(mass > -np.inf)
+            before = float(upto[-1])
+            wait = np.log(-np.log(uniform(key, (1 << 20) + stream, place[a + good])))
+            wait -= mass[good]
             times = np.logaddexp(logt, wait)
             if len(times) > k + 1:
-                least = np.sort(np.argpartition(times, k)[:k + 1])
+                least = np.argpartition(times, k)[:k + 1]
                 times, good = times[least], good[least]
-            best = sorted([*best, *zip(times.tolist(), good.tolist())])[:k + 1]
+            best = sorted([*best, *zip(times.tolist(), (a + good).tolist())])[:k + 1]
         for t, i in best:
             serial += 1
             heapq.heappush(queue, (t, serial, node(i)))
@@ -355,10 +373,10 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
                 mass = float(net.logp[oe[:i]].sum() + np.log(np.exp(net.logp[others]).sum()))
                 serial += 1
                 heapq.heappush(queue, (float(np.logaddexp(logt, math.log(-math.log(uniform_one(seed, (1 << 20) + stream + 1, int(op[i])))) - mass)), serial, (old, i, barred | {pick})))
-        upto = np.cumsum(net.logp[edges])
+        logp = net.logp[edges]
         path = (edges, words, places)
-        push(logt, np.concatenate([[0.0], upto])[done:-1], net.rest[edges[done:]], places[done:], stream, lambda j, path=path, done=done: (path, done + j, frozenset([int(path[0][done + j])])))
-        found.append((float(upto[-1]), -logt, net.piece[edges]))
+        push(logt, float(logp[:done].sum()), edges[done:], places[done:], stream, lambda j, path=path, done=done: (path, done + j, frozenset([int(path[0][done + j])])))
+        found.append((float(logp.sum()), -logt, net.piece[edges]))
     nxt = queue[0][0] if queue else None
 
     def inclusion(lp: float) -> float:
@@ -467,7 +485,7 @@ def byte_table(model: str) -> list[bytes]:
 
 def decoded(of: list[bytes], ids: list[int] | None) -> str:
     """The text of pieces; the space that the model puts before a text goes."""
-    return b"".join([of[i] for i in ids or ()])[1:].decode("utf-8", "replace")
+    return b"".join(map(of.__getitem__, ids or ()))[1:].decode("utf-8", "replace")
 
 
 def _decode(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
