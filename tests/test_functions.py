@@ -9,6 +9,7 @@ from tracehold import conventions as cv
 from tracehold.functions import otel, sql, text
 from tracehold.functions.numeric import exact_sum, money, round_half_away
 from tracehold.schemas import ATTRS, KEY_VALUE
+from tracehold.sources.dims import read_erasure
 
 
 def one(spark, **cols):
@@ -135,3 +136,19 @@ def test_shared_folder_is_asked_for_off_local_mode():
                 sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: Nothing()})())
     with pytest.raises(RuntimeError):
         shared_dir(Session)
+
+
+def test_an_erasure_list_is_refused_or_whole(spark, tmp_path):
+    path = tmp_path / "erased.txt"
+    path.write_text("# people\nbob\n\n  alice \nbob\neve\n")
+    assert read_erasure(spark, str(path)) == read_erasure(spark, str(path), most=None) == ["alice", "bob", "eve"]
+    assert read_erasure(spark, str(path), most=3) == ["alice", "bob", "eve"]  # a handle that repeats counts once
+    with pytest.raises(ValueError):
+        read_erasure(spark, str(path), most=2)
+    path.write_text("".join(f"person-{i}\n" for i in range(12_000)))
+    with pytest.raises(ValueError):
+        read_erasure(spark, str(path))
+    assert len(read_erasure(spark, str(path), most=None)) == 12_000
+    path.write_text("two words\n")
+    with pytest.raises(ValueError):
+        read_erasure(spark, str(path), most=None)

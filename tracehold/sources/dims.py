@@ -93,10 +93,12 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("entry")).filter((F.col("entry") != "") & ~F.startswith("entry", F.lit("#")))
 
 
-def read_erasure(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
-    """The handles to mask. The list is small by nature; one that is not is refused, never cut."""
-    got = [r.entry for r in _entries(spark, path).limit(most + 1).collect()]
-    if len(got) > most:
+def read_erasure(spark: SparkSession, path: str, most: int | None = 10_000) -> list[str]:
+    """The handles to mask, each once. The list becomes part of every plan that masks: one over ``most`` is
+    refused, never cut; ``None`` takes a list of any length that the driver holds."""
+    entries = _entries(spark, path).distinct()
+    got = sorted(r.entry for r in (entries if most is None else entries.limit(most + 1)).collect())
+    if most is not None and len(got) > most:
         raise ValueError(f"{path}: over {most} handles")
     for h in got:
         if " " in h or "\t" in h:
