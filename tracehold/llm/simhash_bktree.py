@@ -10,10 +10,15 @@ would grow with the corpus.
 
 A shard emits a spanning forest of its links, never all pairs of a group. Copies share a fingerprint
 and take part once.
+
+For a radius over two, fingerprints are wider and buckets are drawn bits instead of blocks of four
+(``wide``, ``bucket_links``): each bucket has a BK-tree for each class of values found so far, and a value
+looks for one link to each class, the middle of the bucket first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -24,10 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.llm.common import as_bytes, columns, cut, slices
+from tracehold.llm.common import as_bytes, columns, cut, partitions, slices
 
 WORDS, RADIUS, SHARD = 3, 2, 1024
 _PIECE = 1 << 16
+#: Bits of the wide fingerprint that BK-trees compare; rows that share a bucket's key by chance, at most, on average.
+COMPARED, CHANCE = 128, 256
+#: Of pairs at a similarity, the share that meet in no bucket or are outside the radius, each at most.
+MISSED, SPREAD = 0.002, 3.1
+_LANES = np.uint64(0x0101010101010101)
+_EACH = np.random.default_rng(9).integers(0, 1 << 63, 1 << 10, dtype=np.uint64)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -45,6 +56,37 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def differing(similar: float) -> float:
+    """The share of fingerprint bits that differ between sets of that Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+
+
+def layout(similar: float, rows: int) -> tuple[int, int, int]:
+    """Bits of a bucket's key, how many keys a text has, and the radius within ``COMPARED`` bits."""
+    bits, off = max(16, math.ceil(math.log2(max(1, rows) / CHANCE))), differing(similar)
+    meet = min((1 - off) ** bits, 1 - 1e-9)
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - meet)), math.ceil(COMPARED * off + SPREAD * math.sqrt(COMPARED * off * (1 - off)))
+
+
+def wide(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprint bits of a set of hashes, at least as many as asked: a bit is set where more than half of
+    the hashes have it. Every 64 bits come from the hashes mixed anew, so no two share their errors."""
+    turns = _EACH[:-(-bits // 64)]
+    ones = np.zeros((8, len(turns), 8), np.int64)
+    for at in range(0, len(hashes), 255):  # a byte counts up to 255
+        x = turns[:, None] ^ hashes[at:at + 255]
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        for k in range(8):
+            lanes = x >> np.uint64(k)
+            lanes &= _LANES
+            ones[k] += lanes.sum(axis=1).view(np.uint8).reshape(-1, 8)
+    return (2 * ones > len(hashes)).transpose(1, 0, 2).ravel()
+
+
 def _fingerprints(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         fps = np.array([simhash(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
@@ -146,6 +188,84 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     return of.unionByName(finer).mapInArrow(partial(_links, radius), "a long, b long").distinct()
 
 
+def class_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Places of distinct values, as links that connect what the radius connects. A value looks for one link
+    to each class of those before it, so a crowd costs each member a look, not one for each other member."""
+    classes: list[list[tuple[BKTree, list[int]]]] = []
+    for i, v in enumerate(values):
+        met, apart = [], []
+        for trees in classes:
+            hit = next((of[j] for tree, of in trees for j in tree.within(v, radius)), None)
+            if hit is None:
+                apart.append(trees)
+            else:
+                met += trees
+                yield i, hit
+        if met:
+            tree, of = met[0]
+            tree.add(v)
+            of.append(i)
+        else:
+            met = [(BKTree(v), [i])]
+        classes = [met, *apart]
+
+
+def middle_first(values: list[int]) -> list[int]:
+    """Places of the values, those first that are nearest to the bits most of them have."""
+    raw = np.frombuffer(b"".join(v.to_bytes(COMPARED // 8, "big") for v in values), np.uint8).reshape(len(values), -1)
+    most = np.packbits(2 * sum(np.unpackbits(raw[at:at + _PIECE], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(raw), _PIECE)) > len(values))
+    return np.argsort(np.bitwise_count(raw ^ most).sum(axis=1, dtype=np.int64), kind="stable").tolist()
+
+
+def _bucket_links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key, so a bucket's rows follow each other."""
+    def linked(node: list[int], value: list[int], found: list[tuple[int, int]]) -> None:
+        first: dict[int, int] = {}
+        for n, v in zip(node, value):
+            if first.setdefault(v, n) != n:
+                found.append((n, first[v]))
+        values, nodes = list(first), list(first.values())
+        if len(values) > 2:
+            order = middle_first(values) if len(values) > 16 else range(len(values))
+            values, nodes = [values[i] for i in order], [nodes[i] for i in order]
+            found += [(nodes[i], nodes[j]) for i, j in class_links(values, radius)]
+        elif len(values) == 2 and (values[0] ^ values[1]).bit_count() <= radius:
+            found.append((nodes[0], nodes[1]))
+
+    last, node, value = None, [], []
+    for b in batches:
+        key, high, low = (b.column(c).to_numpy() for c in ("key", "high", "low"))
+        nodes = b.column("node").to_pylist()
+        values = [x << 64 | y for x, y in zip(high.view(np.uint64).tolist(), low.view(np.uint64).tolist())]
+        starts, found = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)], []
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            if lo == hi:
+                continue
+            if key[lo] != last:
+                if len(node) > 1:
+                    linked(node, value, found)
+                last, node, value = key[lo], [], []
+            node += nodes[lo:hi]
+            value += values[lo:hi]
+        yield _ends(found)
+    found = []
+    if len(node) > 1:
+        linked(node, value, found)
+    yield _ends(found)
+
+
+def _ends(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array([(min(x), max(x)) for x in set(found)], np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
+
+
+def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Distinct links a, b between the nodes of each bucket of ``keyed`` (node, key, and high and low, the
+    halves of the fingerprint), which connect what the radius connects within the bucket."""
+    laid = keyed.select("key", "node", "high", "low").repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    return laid.mapInArrow(partial(_bucket_links, radius), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label for every end of an edge; nodes have one label exactly when edges connect them.
     Each round hooks every node to its least neighbour and contracts, so the edges left fall quickly."""
