@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from tracehold.session import cut, prepare  # noqa: F401  (cut is imported from
 SLICE = 128
 #: The column of row keys.
 ROW = "_row_key"
+_kept: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,19 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in small pieces, so that few texts are Python objects at once."""
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under this name; it keeps one thing at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, name: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in small pieces, so that few texts are Python objects at once. A worker serves many
+    operators one after another: what it keeps under other names than ``name`` goes."""
+    for other in [x for x in _kept if x != name]:
+        del _kept[other]
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)

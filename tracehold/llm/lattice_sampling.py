@@ -20,7 +20,9 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
+from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.llm.common import as_bytes, columns, slices
+from tracehold.llm.common import as_bytes, columns, kept, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -58,7 +60,11 @@ def weights(processor) -> tuple[dict[str, tuple[int, float]], np.ndarray, np.nda
 
 def units(text: str) -> list[str]:
     """The words of a text, each with the spaces before it; the model puts one space before a text."""
-    return _UNIT.findall(" " + text) if text else []
+    if not text:
+        return []
+    if "  " in text or "\0" in text or text[0] == " " or text[-1] == " ":
+        return _UNIT.findall(" " + text)
+    return f" {text}".replace(" ", "\0 ").split("\0")[1:]  # one space before each word: the same, sooner
 
 
 class Lattices:
@@ -132,7 +138,7 @@ class Lattices:
                 del self.first[u]
             self.states, self.edges = self._kept
             self.start[self.states] = self.edges
-        fresh = [u for u in dict.fromkeys(units) if u not in self.first]
+        fresh = list(filterfalse(self.first.__contains__, dict.fromkeys(units)))
         met = list(map(hash, fresh))
         again = [u for u, h in zip(fresh, met) if h in self._met]
         self._passing = [u for u, h in zip(fresh, met) if h not in self._met]
@@ -416,7 +422,7 @@ class Sampler:
         ends = np.cumsum(count)
         flat = [u for w in words for u in w]
         net.learn(flat)
-        first = np.fromiter(map(net.first.__getitem__, flat), np.int64, len(flat))
+        first = np.fromiter(itemgetter(*flat)(net.first) if len(flat) > 1 else map(net.first.__getitem__, flat), np.int64, len(flat))
         size = 4 * np.fromiter(map(len, flat), np.int64, len(flat))  # a character is four bytes at most
         at = np.cumsum(size) - size
         row = np.repeat(np.arange(len(held)), count)
@@ -438,15 +444,19 @@ _FIELDS = [("sample", pa.int32()), ("n_pieces", pa.int32()), ("log_prob", pa.flo
 _COLUMNS = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
-@lru_cache(maxsize=1)
 def _sampler(model: str, samples: int) -> tuple[Sampler, list[bytes]]:
-    """Kept by a Python worker from task to task, with the lattices it knows; no draw depends on them."""
-    return Sampler(model, samples), byte_table(model)
+    """Kept by a Python worker from task to task, with the lattices it knows, until a task of another
+    operator comes; no draw depends on them."""
+    return kept(_kept_as(model, samples), lambda: (Sampler(model, samples), byte_table(model)))
+
+
+def _kept_as(model: str, samples: int) -> str:
+    return f"lattices {samples} {model}"
 
 
 def _encode(model: str, samples: int, check: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sampler, of = _sampler(model, samples)
-    for b in slices(batches, 64):
+    for b in slices(batches, 64, _kept_as(model, samples)):
         texts = b.column("text").to_pylist()
         got = list(sampler.sample(b.column("doc_id").to_pylist(), texts))
         ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s[3]) for _, _, s in got])]).astype(np.int32), np.concatenate([s[3] for _, _, s in got]).astype(np.int32))
@@ -485,7 +495,8 @@ def byte_table(model: str) -> list[bytes]:
 
 def decoded(of: list[bytes], ids: list[int] | None) -> str:
     """The text of pieces; the space that the model puts before a text goes."""
-    return b"".join(map(of.__getitem__, ids or ()))[1:].decode("utf-8", "replace")
+    raw = b"".join(itemgetter(*ids)(of)) if ids and len(ids) > 1 else b"".join(map(of.__getitem__, ids or ()))
+    return raw[1:].decode("utf-8", "replace")
 
 
 def _decode(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

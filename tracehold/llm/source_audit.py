@@ -111,7 +111,7 @@ class Transducer:
         ``text`` from ends[i] to ends[i + 1]; all words are walked at once, a byte a step."""
         of, table = self._table
         column, ends = of.astype(np.int16)[text[ends[0]:ends[-1]]], ends - ends[0]  # the text may hold much else
-        out, skip, to = np.full(len(ends) - 1, -1, np.int64), self.skip, self.to
+        out, skip, to, width = np.full(len(ends) - 1, -1, np.int64), self.skip, self.to, table.shape[1]
         word, at, end = np.arange(len(ends) - 1), ends[:-1].astype(np.int64), ends[1:].astype(np.int64)
         state, before = np.full(len(word), self.root), np.zeros(len(word), np.int64)
         while len(word):
@@ -119,13 +119,15 @@ class Transducer:
             if over.any():
                 whole = over & self.final[state]
                 out[word[whole]] = before[whole]
-                word, at, end, state, before = (x[~over] for x in (word, at, end, state, before))
-            edge = table[state, column[at]]
+                left = np.flatnonzero(~over)
+                word, at, end, state, before = (x.take(left) for x in (word, at, end, state, before))
+            edge = table.take(state * width + column.take(at))
             known = edge >= 0
             if not known.all():
-                word, at, end, before, edge = (x[known] for x in (word, at, end, before, edge))
-            before = before + skip[edge]
-            state, at = to[edge], at + 1
+                left = np.flatnonzero(known)
+                word, at, end, before, edge = (x.take(left) for x in (word, at, end, before, edge))
+            before = before + skip.take(edge)
+            state, at = to.take(edge), at + 1
         return out
 
     def places(self, words: list[bytes]) -> np.ndarray:
@@ -168,7 +170,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), counts in held.items():
             found = sorted(counts)
             serial += 1
-            yield pa.record_batch([pa.array([lang]), pa.array([source]), pa.array([at * 1_000_003 + serial]), pa.array([found], pa.list_(pa.binary())), pa.array([[counts[t] for t in found]], pa.list_(pa.int64()))], ["lang", "source", "run", "terms", "counts"])
+            times = np.fromiter(map(counts.__getitem__, found), np.int64, len(found))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), x) for x in (pa.array(found, pa.binary()), pa.array(times))]
+            yield pa.record_batch([pa.array([lang]), pa.array([source]), pa.array([at * 1_000_003 + serial]), *lists], ["lang", "source", "run", "terms", "counts"])
 
     for b in slices(batches):
         for lang, source, text in zip(*[b.column(c).to_pylist() for c in ("lang", "source", "text")]):
@@ -223,7 +227,8 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from sent()
                 source, counts = (key["lang"], key["source"]), np.zeros(key["n"], np.int64)
             at = fst.ordinals(text, ends[spans[i]:spans[i + 1] + 1])
-            counts[at[at >= 0]] += each[froms[i]:froms[i + 1]][at >= 0]  # a run holds a term once
+            known = np.flatnonzero(at >= 0)
+            counts[at.take(known)] += each[froms[i]:froms[i + 1]].take(known)  # a run holds a term once
     yield from sent()
 
 
@@ -253,7 +258,7 @@ def recount(docs: DataFrame, shards: DataFrame, text: str = "text", lang: str =
     spark = docs.sparkSession
     runs = cut(_groups(docs, text, lang, source).mapInArrow(_runs, "lang string, source string, run long, terms array<binary>, counts array<long>"), "audit-runs")
     of = cut(shards.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("shard", "first", "n", "base"))).alias("shards")), "audit-firsts")
-    n, held = shards.count(), runs.agg(F.sum(F.size("terms"))).first()[0] or 0
+    n, held = shards.count(), runs.agg(F.sum(F.size("counts"))).first()[0] or 0
     tasks = max(partitions(spark), -(-held // TASK))
     salts = max(1, -(-GROUPS * tasks // max(1, n)))
     sent = runs.join(of, "lang").mapInArrow(_cut_runs, "lang string, run long, source string, shard long, n long, base long, terms array<binary>, counts array<long>")
