@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tracehold.llm import shingle_links, template_decontam
+from tracehold.llm import common, lattice_sampling, shingle_links, simhash_bktree, template_decontam
 
 SCHEMA = "doc_id long, text string"
 PLAIN = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
@@ -102,3 +102,44 @@ def test_shingles_of_odd_rows(spark, odd, empty):
     ids = lambda *want: {x for i, x in of if i in want}
     assert len(of) == 14 and len(ids(1, 2, 3, None)) == len(ids(4, 5, 6)) == len(ids(7, 8)) == len(ids(12)) == 1 and len({x for _, x in of}) == 7
     assert shingle_links.near_duplicates(keyed(empty), ROW).count() == 0
+
+
+def test_class_links_connect_what_the_radius_connects():
+    rnd = random.Random(2)
+    for _ in range(40):
+        values = [rnd.getrandbits(128) for _ in range(4)]
+        for _ in range(rnd.randrange(60)):
+            v = rnd.choice(values)
+            for _ in range(rnd.randrange(40)):
+                v ^= 1 << rnd.randrange(128)
+            values.append(v)
+        values = list(dict.fromkeys(values))
+        values = [values[i] for i in simhash_bktree.middle_first(values)]
+        links, near = list(simhash_bktree.class_links(values, 32)), lambda i, j: (values[i] ^ values[j]).bit_count() <= 32
+        assert all(near(i, j) for i, j in links)
+        of = [list(range(len(values))) for _ in range(2)]
+        for label, pairs in zip(of, (links, [(i, j) for i in range(len(values)) for j in range(i) if near(i, j)])):
+            for i, j in pairs:
+                x, y = sorted((label[i], label[j]))
+                label[:] = [x if a == y else a for a in label]
+        assert of[0] == of[1]
+
+
+def test_near_copies_come_from_simhash_buckets(spark, monkeypatch):
+    """Without the links of the BK-trees nothing is found."""
+    docs = spark.createDataFrame([(1, PLAIN[0] + " " + PLAIN[1]), (2, PLAIN[0] + " " + PLAIN[1] + " end")], SCHEMA)
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
+    monkeypatch.setattr(simhash_bktree, "bucket_links", lambda keyed, radius: spark.createDataFrame([], "a long, b long"))
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    common.kept("lattices", lambda: 1)
+    assert list(common.slices(iter([]), name="lattices")) == [] and common.kept("lattices", lambda: 2) == 1
+    assert list(common.slices(iter([]))) == [] and common.kept("lattices", lambda: 2) == 2
+
+
+def test_units_of_plain_and_odd_spacing():
+    for text in ("a b", " a b", "a  b", "a b ", "a\0b c", "a\nb c", "a", " ", "▁ é"):
+        assert lattice_sampling.units(text) == lattice_sampling._UNIT.findall(" " + text)
+    assert lattice_sampling.units("") == lattice_sampling.units(None) == []
