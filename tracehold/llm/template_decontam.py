@@ -17,6 +17,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,72 +28,94 @@ from pyspark.sql import functions as F
 from tracehold.llm.common import ROW, columns, cut, keyed, slices
 
 WINDOW, COVERED, LITERALS = 5, 0.8, 3
-#: Bits of the bitmap as a power of two, and tokens a task remembers.
-MAP_BITS, REMEMBERED = 24, 400_000
+#: Bits of the bitmap as a power of two, tokens a task remembers, and characters read at once.
+MAP_BITS, REMEMBERED, READ = 24, 400_000, 1 << 20
 UNITS = frozenset("mm cm dm m km mg g kg t ml cl l s sec min h hr hour hours day days week weeks month months year years minute minutes second seconds meter meters metre "
                   "metres kilometer kilometers mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
                   "degree degrees percent dollar dollars euro euros cent cents usd eur gbp w kw kwh v a hz khz mhz ghz b kb mb gb tb kmh mph".split())
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(%|[a-zA-Z°]{1,4})?$")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%°]+$")
-_WORD, _NUM, _UNIT = 0, 1, 2
+_WORD, _NUM, _UNIT, _KIND, _CAPITAL, _ENDS = 0, 1, 2, 3, 4, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _HOLDERS = np.array([0, xxhash.xxh64_intdigest(b"<number>"), xxhash.xxh64_intdigest(b"<unit>"), xxhash.xxh64_intdigest(b"<name>")], np.uint64)
 
 
+class _Places(dict):
+    """Tokens to their places in two lists: hashes, and what is known of a token, as bits: its kind, _CAPITAL and
+    _ENDS. A new token is worked out when it is asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.known = [], []
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = n = len(self)
+        flags, plain = 0, True
+        if raw.isalpha():
+            word = raw
+        else:
+            flags = _ENDS if raw[-1] in ".!?:" else 0
+            if raw[-1] not in ",.;:!?" or not (word := raw[:-1]).isalpha():
+                word, plain = _EDGE.sub("", raw), False
+        low = word.lower()
+        if low != word or not word.isascii():  # some capitals have no small letter
+            flags |= _CAPITAL if word[:1].isupper() and not word.isupper() else 0
+        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
+        self.known.append(flags | (_NUM if not plain and _NUMBER.match(word) else _UNIT if low in UNITS else _WORD))
+        return n
+
+
 class Templates:
-    """Texts to window hashes. What a token is gets worked out once and remembered."""
+    """Texts to window hashes. What a token is gets worked out once and remembered; the texts of a slice are
+    read at once, with numpy."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.hashes, self.kinds = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
-        self.capital, self.ends = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool)
+        self.place, self.hashes, self.known = _Places(), np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
-    def _learn(self, raw: str) -> int:
-        word = _EDGE.sub("", raw)
-        low = word.lower()
-        n = len(self.place)
-        if n == len(self.hashes):
-            self.hashes, self.kinds, self.capital, self.ends = [np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.kinds, self.capital, self.ends)]
-        self.hashes[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.kinds[n] = _NUM if _NUMBER.match(word) else _UNIT if low in UNITS else _WORD
-        self.capital[n], self.ends[n] = word[:1].isupper() and not word.isupper(), raw[-1:] in ".!?:"
-        self.place[raw] = n
-        return n
-
-    def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens, their hashes, and each one's slot (0: none, else 1 number, 2 unit, 3 name)."""
-        words = [] if text is None else text.split()
+    def read(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """The tokens of each text, and of all in a row their hashes and each one's slot (0: none, else 1 number,
+        2 unit, 3 name)."""
+        words = [[] if t is None else t.split() for t in texts]
         if len(self.place) > REMEMBERED:
             self.forget()
-        get, learn = self.place.get, self._learn
-        at = np.array([learn(w) if (i := get(w)) is None else i for w in words], np.int64)
-        if not len(at):
-            return words, np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        kind, first = self.kinds[at], np.concatenate([[True], self.ends[at[:-1]]])
-        after_number = np.concatenate([[False], kind[:-1] == _NUM])
-        slot = np.where(kind == _NUM, 1, np.where((kind == _UNIT) & after_number, 2, np.where(self.capital[at] & ~first, 3, 0))).astype(np.int8)
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+        if self.place.hashes:
+            self.hashes = np.concatenate([self.hashes, np.array(self.place.hashes, np.uint64)])
+            self.known = np.concatenate([self.known, np.array(self.place.known, np.int8)])
+            self.place.hashes, self.place.known = [], []
+        known = self.known[at]
+        kind, first, after_number = known & _KIND, np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, bool)
+        first[1:], after_number[1:] = known & _ENDS > 0, kind == _NUM
+        starts = np.cumsum(count) - count
+        first[starts], after_number[starts] = True, False  # an empty text's start is the next one's
+        slot = np.where(kind == _NUM, 1, np.where((kind == _UNIT) & after_number[:-1], 2, np.where((known & _CAPITAL > 0) & ~first[:-1], 3, 0))).astype(np.int8)
         return words, self.hashes[at], slot
 
-    def windows(self, text: str | None, size: int = WINDOW) -> Iterator[tuple[bool, list[str], np.ndarray, np.ndarray, int, np.ndarray]]:
-        """For the readings with name slots and without: which, tokens, slots, and the windows' places,
-        length and hashes. A text of fewer tokens is one window."""
-        words, hashes, slot = self.read(text)
-        size = min(size, len(words))
-        n = len(words) - size + 1
-        for names in (True, False) if words else ():
+    def windows(self, texts: list[str | None], size: int = WINDOW) -> Iterator[tuple[bool, list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For the readings with name slots and without: which, the tokens of each text, all slots in a row, and
+        the windows' texts, their places in that row, their lengths and hashes. A text of fewer tokens is one window."""
+        words, hashes, slot = self.read(texts)
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        starts, own, total = np.cumsum(count) - count, np.minimum(size, count), np.where(count > 0, np.maximum(count - size, 0) + 1, 0)
+        of = np.repeat(np.arange(len(words)), total)
+        at = np.arange(len(of)) + (starts - (np.cumsum(total) - total))[of]
+        whole, sizes = bool((own[of] == size).all()), own[of]
+        for names in (True, False):
             if not names:
-                slot = np.where(slot == 3, 0, slot)
-            held = np.where(slot > 0, _HOLDERS[slot], hashes)
-            h = np.full(n, np.uint64(2 * size + names))
+                slot = np.where(slot == 3, 0, slot).astype(np.int8)
+            held = np.concatenate([np.where(slot > 0, _HOLDERS[slot], hashes), np.zeros(size, np.uint64)])
+            h = (2 * sizes + names).astype(np.uint64)
             with np.errstate(over="ignore"):
                 for i in range(size):
-                    h ^= held[i:i + n]
-                    h *= _P
-                    h ^= h >> np.uint64(29)
-            yield names, words, slot, np.arange(n), size, h
+                    x = h ^ held[at + i]
+                    x *= _P
+                    x ^= x >> np.uint64(29)
+                    h = x if whole else np.where(sizes > i, x, h)
+            yield names, words, slot, of, at, sizes, h
 
 
 def _clean(word: str) -> str:
@@ -103,21 +126,39 @@ _FIELDS = [("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slot
 _SCHEMA = "key long, at int, hash long, slots array<string>, total int, tokens int, plain int, names boolean"
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
+    """Keys and texts of a few rows; a text of over ``READ`` characters comes alone."""
+    for b in slices(batches):
+        keys, texts, weight = [], [], 0
+        for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+            weight += len(text or "")
+            if weight > READ and keys:
+                yield keys, texts
+                keys, texts, weight = [], [], len(text or "")
+            keys.append(key), texts.append(text)
+        yield keys, texts
+
+
 def _window_rows(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, bits = Templates(), None if bitmap is None else bitmap.value
-    for b in slices(batches):
+    for keys, texts in _together(batches):
         rows = []
-        for key, (names, words, slot, at, s, h) in ((k, w) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) for w in reader.windows(t)):
-            total, plain = len(at), int((slot == 0).sum())
-            if bits is not None and total:
+        for names, words, slot, of, at, sizes, h in reader.windows(texts):
+            if bits is not None:
                 top = h >> np.uint64(64 - MAP_BITS)
                 hit = (bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
                 chosen = np.flatnonzero(hit)
             else:
-                chosen = range(total)
-            for i in chosen:
-                p = int(at[i])
-                rows.append((key, p, int(h[i].view(np.int64)), [f"{q - p}:{slot[q]}:{_clean(words[q])}" for q in range(p, p + s) if slot[q]], total, len(words), plain, names))
+                chosen = np.arange(len(h))
+            count = list(map(len, words))
+            start = np.cumsum(count) - count
+            total, until = np.bincount(of, minlength=len(words)).tolist(), np.concatenate([[0], np.cumsum(slot == 0)])
+            plain = (until[start + count] - until[start]).tolist()
+            start = start.tolist()
+            for r, g, s, value in zip(of[chosen].tolist(), at[chosen].tolist(), sizes[chosen].tolist(), h[chosen].view(np.int64).tolist()):
+                p, kinds = g - start[r], slot[g:g + s].tolist()
+                slots = [f"{i}:{k}:{_clean(words[r][p + i])}" for i, k in enumerate(kinds) if k]
+                rows.append((keys[r], p, value, slots, total[r], count[r], plain[r], names))
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip([c for c, _ in _FIELDS], map(list, zip(*rows)))), pa.schema(_FIELDS))
 
