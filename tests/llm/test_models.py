@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,6 +159,22 @@ def test_samples_do_not_depend_on_batches(sampler):
     assert together == alone
 
 
+def test_what_lattices_remember(monkeypatch):
+    """Words that come twice are not remembered, those that come thrice are; forgetting changes no sample."""
+    rnd = random.Random(4)
+    texts = [" ".join(["often", *rnd.choices([f"w{i}" for i in range(300)], k=20)]) for _ in range(300)]
+    plain = lattice_sampling.Sampler(lattice_sampling.MODEL, 2)
+    want = [(i, r, s[0], s[3].tolist()) for i, r, s in plain.sample(list(range(300)), texts)]
+    monkeypatch.setattr(lattice_sampling, "REMEMBERED", 500)
+    small = lattice_sampling.Sampler(lattice_sampling.MODEL, 2)
+    assert [(i, r, s[0], s[3].tolist()) for i, t in enumerate(texts) for _, r, s in small.sample([i], [t])] == want
+    net = lattice_sampling.Sampler(lattice_sampling.MODEL, 2).net
+    for times in range(3):
+        assert net.learn([" twice", " other", " twice"]).tolist()[0] == net.first[" twice"]
+        net.learn([f" else{times}"])
+        assert (" twice" in net.first) == (times == 2)
+
+
 def test_segmentations_decode(odd, empty):
     rows = lattice_sampling.round_trips(odd).collect()
     assert all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == 13

@@ -21,7 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import partial
-from itertools import filterfalse
+from itertools import compress, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -35,9 +35,10 @@ from tracehold.llm.common import as_bytes, columns, kept, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Edges of word lattices that a task remembers, and bytes of text walked at once.
-REMEMBERED, WALKED = 4_000_000, 1 << 20
-#: Words a task knows to have met once.
-MET = 500_000
+REMEMBERED, WALKED = 2_000_000, 1 << 20
+#: Words met at most so many times are not remembered. How often is counted by hash: counters as a power of two, and
+#: how many are used before all start again.
+SELDOM, MET_BITS, MET = 2, 22, 500_000
 _BLOCK = 512
 #: Low bits that the buckets of the prefix table leave out.
 _TOP = 46
@@ -74,7 +75,7 @@ class Lattices:
     an edge, and ``next`` is -1 at the end of a word."""
 
     _BY_STATE = {"start": np.int64, "offset": np.int32, "lead": float}
-    _BY_EDGE = {"upto": float, "logp": float, "rest": float, "piece": np.int32, "next": np.int64}
+    _BY_EDGE = {"upto": float, "logp": float, "rest": float, "piece": np.int32, "next": np.int32}
 
     def __init__(self, pieces, byte_ids, byte_weights):
         self.byte_ids, self._byte_weight = byte_ids, byte_weights.tolist().__getitem__
@@ -94,7 +95,8 @@ class Lattices:
         self._prefix = h[order]
         self._piece, self._weight = [np.array(x)[order] for x in zip(*prefixes.values())]
         starts = np.searchsorted(self._prefix >> np.uint64(_TOP), np.arange(1 << 64 - _TOP, dtype=np.uint64))
-        self._bucket = np.minimum(starts, len(order) - 1)
+        self._bucket = np.minimum(starts, len(order) - 1).astype(np.int32)
+        self._met, self._marks = np.zeros(1 << MET_BITS, np.uint8), 0
         for n, t in (self._BY_STATE | self._BY_EDGE).items():
             setattr(self, n, np.zeros(1 << 12, t))
         self.forget()
@@ -116,10 +118,16 @@ class Lattices:
             return h ^ (h >> np.uint64(29))
 
     def forget(self) -> None:
-        self.first: dict[str, int] = {}
+        """How often words were met is still known, so that those that come again are remembered at once."""
+        self._known: dict[str, int] = {}
+        self._passing: tuple[list[str], np.ndarray] = [], np.zeros(0, np.int64)
         self.states = self.edges = 0
-        self._passing: list[str] = []
-        self._met: set[int] = set()
+        self._kept = 0, 0
+
+    @property
+    def first(self) -> dict[str, int]:
+        """The first state of every word that is known until the next call of ``learn``."""
+        return self._known | dict(zip(self._passing[0], self._passing[1].tolist()))
 
     def _append(self, names, count: int, n: int, spare: int, **new) -> int:
         for name in names:
@@ -130,28 +138,35 @@ class Lattices:
             x[n:n + count] = new[name]
         return n + count
 
-    def learn(self, units: list[str]) -> None:
-        """Work out the lattices of words that are not known yet. A word met for the first time is known
-        until the next call only: most such words never come again."""
-        if self._passing:
-            for u in self._passing:
-                del self.first[u]
-            self.states, self.edges = self._kept
-            self.start[self.states] = self.edges
-        fresh = list(filterfalse(self.first.__contains__, dict.fromkeys(units)))
-        met = list(map(hash, fresh))
-        again = [u for u, h in zip(fresh, met) if h in self._met]
-        self._passing = [u for u, h in zip(fresh, met) if h not in self._met]
-        if len(self._met) > MET:
-            self._met.clear()
-        self._met.update(met)
-        self._add(again)
+    def learn(self, units: list[str]) -> np.ndarray:
+        """The first state of each word; the lattices of words that are not remembered are worked out. A word met
+        seldom is known until the next call only: most such words never come again."""
+        self.states, self.edges = self._kept
+        self.start[self.states] = self.edges
+        words = dict.fromkeys(units)
+        first = np.fromiter(map(self._known.get, words, repeat(-1)), np.int64, len(words))
+        new = first < 0
+        fresh, names = np.flatnonzero(new), list(compress(words, new.tolist()))
+        marks = np.fromiter(map(hash, names), np.int64, len(names)) & (1 << MET_BITS) - 1
+        times = self._met[marks]
+        self._marks += int(np.count_nonzero(times == 0))
+        if self._marks > MET:
+            self._met[:], self._marks = 0, 0
+        often = times >= SELDOM
+        self._met[marks] = np.minimum(times, SELDOM) + 1
+        known, passing = (list(compress(names, x.tolist())) for x in (often, ~often))
+        first[fresh[often]] = starts = self._add(known)
+        self._known.update(zip(known, starts.tolist()))
         self._kept = self.states, self.edges
-        self._add(self._passing)
+        first[fresh[~often]] = starts = self._add(passing)
+        self._passing = passing, starts
+        place = dict(zip(words, range(len(words))))
+        return first[np.fromiter(map(place.__getitem__, units), np.int64, len(units))]
 
-    def _add(self, fresh: list[str]) -> None:
+    def _add(self, fresh: list[str]) -> np.ndarray:
+        """Work out the lattices of the words, and give their first states."""
         if not fresh:
-            return
+            return np.zeros(0, np.int64)
         text = "".join(fresh)
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -241,7 +256,7 @@ class Lattices:
         self.edges = self._append(self._BY_EDGE, len(src) + more, self.edges, 0, upto=np.concatenate([upto, tail["upto"]]), logp=np.concatenate([logp, np.zeros(more)]),
                                   rest=np.concatenate([rest, np.full(more, -np.inf)]), piece=np.concatenate([piece, np.array(tail["piece"], np.int64)]), next=np.concatenate([to, np.array(tail["next"], np.int64)]))
         self.start[self.states] = self.edges
-        self.first.update(zip(fresh, (base + ends - size).tolist()))
+        return base + ends - size
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each state, by a uniform number below one."""
@@ -421,8 +436,7 @@ class Sampler:
         count = np.array([len(w) for w in words])
         ends = np.cumsum(count)
         flat = [u for w in words for u in w]
-        net.learn(flat)
-        first = np.fromiter(itemgetter(*flat)(net.first) if len(flat) > 1 else map(net.first.__getitem__, flat), np.int64, len(flat))
+        first = net.learn(flat)
         size = 4 * np.fromiter(map(len, flat), np.int64, len(flat))  # a character is four bytes at most
         at = np.cumsum(size) - size
         row = np.repeat(np.arange(len(held)), count)
@@ -430,12 +444,10 @@ class Sampler:
             at = at - np.repeat(at[np.minimum(ends - count, len(at) - 1)], count)
         seed = seeds[row]
         paths = [walk(net, first, at, seed, 2 * j + 1) for j in range(self.samples)]
+        borders = [np.searchsorted(word, np.concatenate([[0], ends])).tolist() for _, word, _ in paths]
         for r, (i, _, _) in enumerate(held):
             a, b = int(ends[r] - count[r]), int(ends[r])
-            own = []
-            for e, word, place in paths:
-                x, y = np.searchsorted(word, [a, b])
-                own.append((e[x:y], word[x:y] - a, place[x:y]))
+            own = [(e[x:y], word[x:y] - a, place[x:y]) for (e, word, place), (x, y) in zip(paths, (by[r:r + 2] for by in borders))]
             for rank, s in enumerate(top_k(net, own, first[a:b], at[a:b], int(seeds[r])), 1):
                 yield i, rank, s
 
@@ -456,7 +468,7 @@ def _kept_as(model: str, samples: int) -> str:
 
 def _encode(model: str, samples: int, check: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sampler, of = _sampler(model, samples)
-    for b in slices(batches, 64, _kept_as(model, samples)):
+    for b in slices(batches, 128, _kept_as(model, samples)):
         texts = b.column("text").to_pylist()
         got = list(sampler.sample(b.column("doc_id").to_pylist(), texts))
         ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s[3]) for _, _, s in got])]).astype(np.int32), np.concatenate([s[3] for _, _, s in got]).astype(np.int32))
