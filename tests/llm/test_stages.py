@@ -125,6 +125,43 @@ def test_class_links_connect_what_the_radius_connects():
         assert of[0] == of[1]
 
 
+def test_labels_count_as_connected():
+    """Values of one label need no link; what is left connects what the radius and the labels connect."""
+    rnd = random.Random(5)
+    assert not list(simhash_bktree.class_links([1, 2, 3, 7], 32, [4, 4, 4, 4]))
+    for _ in range(20):
+        values = list(dict.fromkeys(rnd.choice([0, (1 << 128) - 1]) ^ sum(1 << rnd.randrange(128) for _ in range(rnd.randrange(30))) & (1 << 128) - 1 for _ in range(40)))
+        labels = [rnd.randrange(60) for _ in values]
+        links = list(simhash_bktree.class_links(values, 16, labels))
+        near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 16]
+        assert set(links) <= set(near) and all(labels[i] != labels[j] for i, j in links)
+        of = [list(labels) for _ in range(2)]
+        for label, pairs in zip(of, (links, near)):
+            for i, j in pairs:
+                x, y = sorted((label[i], label[j]))
+                label[:] = [x if a == y else a for a in label]
+        assert of[0] == of[1]
+
+
+def test_a_crowd_of_near_copies_has_few_links(spark, monkeypatch):
+    """Every member has 83 keys; it is not linked anew by each, and an edge is held once."""
+    rnd, seen = random.Random(8), {"simhash-edges": [], "shingle-near": []}
+    base = [f"b{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(changed(rnd, base, 2))) for i in range(400)], SCHEMA)
+
+    def counted(df, name="cut"):
+        out = common.cut(df, name)
+        if name in seen:
+            seen[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_bktree, "cut", counted)
+    monkeypatch.setattr(shingle_links, "cut", counted)
+    labels = shingle_links.near_duplicates(docs, "doc_id")
+    assert labels.select("label").distinct().count() == 1
+    assert sum(seen["shingle-near"]) <= 20 * 400 and max(seen["simhash-edges"]) <= sum(seen["shingle-near"])
+
+
 def test_near_copies_come_from_simhash_buckets(spark, monkeypatch):
     """Without the links of the BK-trees nothing is found."""
     docs = spark.createDataFrame([(1, PLAIN[0] + " " + PLAIN[1]), (2, PLAIN[0] + " " + PLAIN[1] + " end")], SCHEMA)

@@ -188,26 +188,30 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     return of.unionByName(finer).mapInArrow(partial(_links, radius), "a long, b long").distinct()
 
 
-def class_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
+def class_links(values: list[int], radius: int, labels: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Places of distinct values, as links that connect what the radius connects. A value looks for one link
-    to each class of those before it, so a crowd costs each member a look, not one for each other member."""
-    classes: list[list[tuple[BKTree, list[int]]]] = []
+    to each class of those before it, so a crowd costs each member a look, not one for each other member.
+    Values of one label are connected already and need no link."""
+    classes: list[tuple[set[int], list[tuple[BKTree, list[int]]]]] = []
     for i, v in enumerate(values):
-        met, apart = [], []
-        for trees in classes:
-            hit = next((of[j] for tree, of in trees for j in tree.within(v, radius)), None)
-            if hit is None:
-                apart.append(trees)
-            else:
-                met += trees
+        own, met, apart = {i if labels is None else labels[i]}, [], []
+        for c in classes:
+            held, trees = c
+            hit = None
+            if own.isdisjoint(held) and (hit := next((of[j] for tree, of in trees for j in tree.within(v, radius)), None)) is None:
+                apart.append(c)
+                continue
+            met.append(c)
+            if hit is not None:
                 yield i, hit
-        if met:
-            tree, of = met[0]
+        trees = [t for _, ts in met for t in ts]
+        if trees:
+            tree, of = trees[0]
             tree.add(v)
             of.append(i)
         else:
-            met = [(BKTree(v), [i])]
-        classes = [met, *apart]
+            trees = [(BKTree(v), [i])]
+        classes = [(own.union(*[held for held, _ in met]), trees), *apart]
 
 
 def middle_first(values: list[int]) -> list[int]:
@@ -219,23 +223,31 @@ def middle_first(values: list[int]) -> list[int]:
 
 def _bucket_links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by key, so a bucket's rows follow each other."""
-    def linked(node: list[int], value: list[int], found: list[tuple[int, int]]) -> None:
-        first: dict[int, int] = {}
-        for n, v in zip(node, value):
-            if first.setdefault(v, n) != n:
-                found.append((n, first[v]))
-        values, nodes = list(first), list(first.values())
-        if len(values) > 2:
-            order = middle_first(values) if len(values) > 16 else range(len(values))
-            values, nodes = [values[i] for i in order], [nodes[i] for i in order]
-            found += [(nodes[i], nodes[j]) for i, j in class_links(values, radius)]
-        elif len(values) == 2 and (values[0] ^ values[1]).bit_count() <= radius:
-            found.append((nodes[0], nodes[1]))
-
-    last, node, value = None, [], []
+    def linked(node: list[int], value: list[int], label: list[int], found: list[tuple[int, int]]) -> None:
+        up = {x: x for x in label}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        first: dict[int, tuple[int, int]] = {}
+        for n, v, x in zip(node, value, label):
+            m, y = first.setdefault(v, (n, x))
+            if (x := top(x)) != (y := top(y)):
+                found.append((n, m))
+                up[x] = y
+        values, nodes, labels = list(first), [n for n, _ in first.values()], [top(x) for _, x in first.values()]
+        if len(set(labels)) < 2:
+            return
+        order = middle_first(values) if len(values) > 16 else range(len(values))
+        values, nodes, labels = ([of[i] for i in order] for of in (values, nodes, labels))
+        found += [(nodes[i], nodes[j]) for i, j in class_links(values, radius, labels)]
+
+    last, node, value, label = None, [], [], []
     for b in batches:
         key, high, low = (b.column(c).to_numpy() for c in ("key", "high", "low"))
-        nodes = b.column("node").to_pylist()
+        nodes, labels = b.column("node").to_pylist(), b.column("label").to_pylist()
         values = [x << 64 | y for x, y in zip(high.view(np.uint64).tolist(), low.view(np.uint64).tolist())]
         starts, found = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)], []
         for lo, hi in zip(starts[:-1], starts[1:]):
@@ -243,14 +255,15 @@ def _bucket_links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                 continue
             if key[lo] != last:
                 if len(node) > 1:
-                    linked(node, value, found)
-                last, node, value = key[lo], [], []
+                    linked(node, value, label, found)
+                last, node, value, label = key[lo], [], [], []
             node += nodes[lo:hi]
             value += values[lo:hi]
+            label += labels[lo:hi]
         yield _ends(found)
     found = []
     if len(node) > 1:
-        linked(node, value, found)
+        linked(node, value, label, found)
     yield _ends(found)
 
 
@@ -261,18 +274,25 @@ def _ends(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
     """Distinct links a, b between the nodes of each bucket of ``keyed`` (node, key, and high and low, the
-    halves of the fingerprint), which connect what the radius connects within the bucket."""
-    laid = keyed.select("key", "node", "high", "low").repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    halves of the fingerprint), which connect what the radius connects within the bucket. Nodes of one ``label``,
+    if there is such a column, count as connected."""
+    label = F.col("label" if "label" in keyed.columns else "node").alias("label")
+    laid = keyed.select("key", "node", "high", "low", label).repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
     return laid.mapInArrow(partial(_bucket_links, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label for every end of an edge; nodes have one label exactly when edges connect them.
-    Each round hooks every node to its least neighbour and contracts, so the edges left fall quickly."""
-    e = cut(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
+    Each round hooks every node to its least neighbour and contracts, so the edges left fall quickly. An edge
+    is held once, not once for each direction."""
+    def once(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    e = cut(edges.filter("a <> b").select(*once("a", "b")).distinct(), "simhash-edges")
     labels = None
     while not e.isEmpty():
-        hook = cut(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "simhash-hooks")
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "simhash-hooks")
         jump = hook.select(F.col("a").alias("root"), F.col("root").alias("next"))
         hook = cut(hook.join(jump, "root", "left").select("a", F.coalesce("next", "root").alias("root")), "simhash-hooks")
         to = hook.select(F.col("a").alias("label"), "root")
@@ -280,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
                   else labels.join(to, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
         labels = cut(labels, "simhash-labels")
         moved = e.join(hook, "a").select(F.col("root").alias("a"), "b").join(hook.select(F.col("a").alias("b"), F.col("root").alias("to")), "b")
-        e = cut(moved.select("a", F.col("to").alias("b")).filter("a <> b").distinct(), "simhash-edges")
+        e = cut(moved.filter("a <> to").select(*once("a", "to")).distinct(), "simhash-edges")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
 
 
