@@ -175,6 +175,35 @@ def test_what_lattices_remember(monkeypatch):
         assert (" twice" in net.first) == (times == 2)
 
 
+def test_parts_of_words_are_worked_out_once():
+    """A word is not worked out again for each mark, line end or odd character that follows it."""
+    sampler = lattice_sampling.Sampler(lattice_sampling.MODEL, 2)
+    words, ends = ["lattice", "segment", "weights"], [",", ".", ";", "!", "?", ".\n", ":\n", "☃", "☃☃"]
+    list(sampler.sample([1], [" ".join(w + e for w in words for e in ends)]))
+    assert sampler.net.states < 60  # over 200 characters
+
+
+def test_parts_lose_no_piece():
+    """Texts are cut at word borders and where no piece holds both characters; nothing else is lost."""
+    import sentencepiece
+    processor = sentencepiece.SentencePieceProcessor(model_file=lattice_sampling.MODEL)
+    pieces = lattice_sampling.weights(processor)[0]
+    pairs = {x for p in pieces for x in itertools.pairwise(p.replace("▁", " "))}
+    net = lattice_sampling.Lattices(*lattice_sampling.weights(processor))
+    rnd = random.Random(9)
+    for _ in range(300):
+        texts = ["".join(rnd.choices(" \n\0.,aehtTS9é日本▁🎉☃", k=rnd.randrange(12))) for _ in range(4)]
+        parts, count, before = net.cut([t.encode() for t in texts])
+        parts, before = iter(parts.to_pylist()), iter(before.tolist())
+        for text, n in zip(texts, count.tolist()):
+            own = [next(parts).decode() for _ in range(n)]
+            full = " " + text if text else ""
+            at = [next(before) for _ in range(n)]
+            assert "".join(own) == full and at == list(itertools.accumulate(map(len, own), initial=0))[:-1]
+            assert all(full[i] == " " != full[i - 1] or (full[i - 1], full[i]) not in pairs for i in at[1:])
+            assert set(itertools.accumulate(map(len, lattice_sampling.units(text)), initial=0)) <= {*at, len(full)}
+
+
 def test_segmentations_decode(odd, empty):
     rows = lattice_sampling.round_trips(odd).collect()
     assert all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == 13

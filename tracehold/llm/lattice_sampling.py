@@ -9,8 +9,9 @@ the queue, its best path is completed by sampling, and the sets that branch off
 with bounds drawn below its value. Bounds are kept as times exp(-value), where the largest of a set of
 mass m below a bound t is t + Exp(1)/m; they are logarithms throughout, as m falls below any double.
 
-No piece crosses a word border, so a lattice is a chain of word lattices, each worked out once per task
-and remembered; all words of a slice of texts are walked at once with numpy. Every draw is a hash of the
+No piece crosses a word border, nor a place between two bytes that no piece has next to each other. A
+text is cut at all of these, so its lattice is a chain of short lattices, each worked out once per task
+and remembered; all parts of a slice of texts are walked at once with numpy. Every draw is a hash of the
 row key, the sample's number and the place in the text: it depends on no batch, partition or retry.
 """
 
@@ -26,6 +27,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +62,8 @@ def weights(processor) -> tuple[dict[str, tuple[int, float]], np.ndarray, np.nda
 
 
 def units(text: str) -> list[str]:
-    """The words of a text, each with the spaces before it; the model puts one space before a text."""
+    """The words of a text, each with the spaces before it; the model puts one space before a text. The parts that
+    ``Lattices.cut`` gives are these words, or parts of them."""
     if not text:
         return []
     if "  " in text or "\0" in text or text[0] == " " or text[-1] == " ":
@@ -96,6 +99,10 @@ class Lattices:
         self._piece, self._weight = [np.array(x)[order] for x in zip(*prefixes.values())]
         starts = np.searchsorted(self._prefix >> np.uint64(_TOP), np.arange(1 << 64 - _TOP, dtype=np.uint64))
         self._bucket = np.minimum(starts, len(order) - 1).astype(np.int32)
+        self._joined = np.zeros(1 << 16, bool)
+        for raw in (p.replace(_SPACE, " ").encode() for p in pieces):
+            self._joined[[a << 8 | b for a, b in zip(raw, raw[1:])]] = True
+        self._joined.reshape(256, 256)[:, 0x80:0xC0] = True  # never within a character
         self._met, self._marks = np.zeros(1 << MET_BITS, np.uint8), 0
         for n, t in (self._BY_STATE | self._BY_EDGE).items():
             setattr(self, n, np.zeros(1 << 12, t))
@@ -119,15 +126,15 @@ class Lattices:
 
     def forget(self) -> None:
         """How often words were met is still known, so that those that come again are remembered at once."""
-        self._known: dict[str, int] = {}
-        self._passing: tuple[list[str], np.ndarray] = [], np.zeros(0, np.int64)
+        self._known: dict[bytes, int] = {}
+        self._passing: tuple[list[bytes], np.ndarray] = [], np.zeros(0, np.int64)
         self.states = self.edges = 0
         self._kept = 0, 0
 
     @property
     def first(self) -> dict[str, int]:
         """The first state of every word that is known until the next call of ``learn``."""
-        return self._known | dict(zip(self._passing[0], self._passing[1].tolist()))
+        return {w.decode("utf-8", "surrogatepass"): s for w, s in [*self._known.items(), *zip(self._passing[0], self._passing[1].tolist())]}
 
     def _append(self, names, count: int, n: int, spare: int, **new) -> int:
         for name in names:
@@ -138,12 +145,41 @@ class Lattices:
             x[n:n + count] = new[name]
         return n + count
 
+    def cut(self, raws: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+        """The parts of some texts, each text with the space that the model puts before it: what is cut at word borders
+        and wherever two bytes meet that no piece has next to each other. Then how many parts each text has, and
+        how many characters of its text come before each part."""
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        size += size > 0
+        data = b"".join([b" " + x for x in raws if x])
+        if not data:
+            return pa.array([], pa.binary()), np.zeros(len(raws), np.int64), np.zeros(0, np.int64)
+        code, begin = np.frombuffer(data, np.uint8), np.cumsum(size) - size
+        new = np.ones(len(code), bool)
+        np.logical_not(self._joined[code[:-1].astype(np.uint16) << 8 | code[1:]], out=new[1:])
+        space = code == ord(" ")
+        new[1:] |= space[1:] & ~space[:-1]
+        new[begin[size > 0]] = True
+        start = np.flatnonzero(new)
+        parts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(code)).astype(np.int32)), pa.py_buffer(data)])
+        count = np.diff(np.searchsorted(start, np.append(begin, len(code))))
+        before = start - np.repeat(begin, count)
+        late = np.flatnonzero((code & 0xC0) == 0x80)  # a character has one byte that is not one of these
+        if len(late):
+            before -= np.searchsorted(late, start) - np.repeat(np.searchsorted(late, begin), count)
+        return parts, count, before
+
     def learn(self, units: list[str]) -> np.ndarray:
-        """The first state of each word; the lattices of words that are not remembered are worked out. A word met
-        seldom is known until the next call only: most such words never come again."""
+        """The first state of each word."""
+        return self.states_of(pa.array([as_bytes(u) for u in units], pa.binary()))
+
+    def states_of(self, parts: pa.BinaryArray) -> np.ndarray:
+        """The first state of each part; the lattices of parts that are not remembered are worked out. One met
+        seldom is known until the next call only: most such parts never come again."""
         self.states, self.edges = self._kept
         self.start[self.states] = self.edges
-        words = dict.fromkeys(units)
+        parts = parts.dictionary_encode()
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.fromiter(map(self._known.get, words, repeat(-1)), np.int64, len(words))
         new = first < 0
         fresh, names = np.flatnonzero(new), list(compress(words, new.tolist()))
@@ -160,15 +196,17 @@ class Lattices:
         self._kept = self.states, self.edges
         first[fresh[~often]] = starts = self._add(passing)
         self._passing = passing, starts
-        place = dict(zip(words, range(len(words))))
-        return first[np.fromiter(map(place.__getitem__, units), np.int64, len(units))]
+        return first[parts.indices.to_numpy()]
 
-    def _add(self, fresh: list[str]) -> np.ndarray:
+    def _add(self, fresh: list[bytes]) -> np.ndarray:
         """Work out the lattices of the words, and give their first states."""
         if not fresh:
             return np.zeros(0, np.int64)
-        text = "".join(fresh)
+        raw = b"".join(fresh)
+        text = raw.decode("utf-8", "surrogatepass")
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        if len(text) < len(raw):
+            size = np.add.reduceat((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         # the mark for spaces is a character too: where a text holds it, it goes as bytes
         codes[codes == ord(_SPACE)] = 0
@@ -358,11 +396,10 @@ def top_k(net: Lattices, paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
             before = float(upto[-1])
             wait = np.log(-np.log(uniform(key, (1 << 20) + stream, place[a + good])))
             wait -= mass[good]
-            times = np.logaddexp(logt, wait)
-            if len(times) > k + 1:
-                least = np.argpartition(times, k)[:k + 1]
-                times, good = times[least], good[least]
-            best = sorted([*best, *zip(times.tolist(), (a + good).tolist())])[:k + 1]
+            if len(wait) > k + 1:
+                least = np.argpartition(wait, k)[:k + 1]
+                wait, good = wait[least], good[least]
+            best = sorted([*best, *zip(np.logaddexp(logt, wait).tolist(), (a + good).tolist())])[:k + 1]
         for t, i in best:
             serial += 1
             heapq.heappush(queue, (t, serial, node(i)))
@@ -431,17 +468,12 @@ class Sampler:
         net = self.net
         if net.edges > REMEMBERED:
             net.forget()
-        words = [units(t) for _, _, t in held]
         seeds = np.array([xxhash.xxh64_intdigest(str(k).encode(), seed=7) for _, k, _ in held], np.uint64)
-        count = np.array([len(w) for w in words])
+        parts, count, at = net.cut([as_bytes(t) for _, _, t in held])
         ends = np.cumsum(count)
-        flat = [u for w in words for u in w]
-        first = net.learn(flat)
-        size = 4 * np.fromiter(map(len, flat), np.int64, len(flat))  # a character is four bytes at most
-        at = np.cumsum(size) - size
+        first = net.states_of(parts)
+        at *= 4  # a character is four bytes at most
         row = np.repeat(np.arange(len(held)), count)
-        if len(at):
-            at = at - np.repeat(at[np.minimum(ends - count, len(at) - 1)], count)
         seed = seeds[row]
         paths = [walk(net, first, at, seed, 2 * j + 1) for j in range(self.samples)]
         borders = [np.searchsorted(word, np.concatenate([[0], ends])).tolist() for _, word, _ in paths]
@@ -456,10 +488,10 @@ _FIELDS = [("sample", pa.int32()), ("n_pieces", pa.int32()), ("log_prob", pa.flo
 _COLUMNS = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
-def _sampler(model: str, samples: int) -> tuple[Sampler, list[bytes]]:
+def _sampler(model: str, samples: int) -> tuple[Sampler, pa.LargeBinaryArray]:
     """Kept by a Python worker from task to task, with the lattices it knows, until a task of another
     operator comes; no draw depends on them."""
-    return kept(_kept_as(model, samples), lambda: (Sampler(model, samples), byte_table(model)))
+    return kept(_kept_as(model, samples), lambda: (Sampler(model, samples), pa.array(byte_table(model), pa.large_binary())))
 
 
 def _kept_as(model: str, samples: int) -> str:
@@ -476,7 +508,8 @@ def _encode(model: str, samples: int, check: bool, batches: Iterator[pa.RecordBa
         out = [b.column("doc_id").take(pa.array([i for i, _, _ in got])), *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)], ids]
         names = ["doc_id", *[n for n, _ in _FIELDS]]
         if check:
-            out.append(pa.array([decoded(of, s[3].tolist()) == (texts[i] or "") for i, _, s in got]))
+            raws = [as_bytes(t) for t in texts]
+            out.append(pa.array([x == raws[i] for x, (i, _, _) in zip(spelled(of, ids), got)], pa.bool_()))
             names.append("round_trip")
         yield pa.record_batch(out, names)
 
@@ -511,6 +544,15 @@ def decoded(of: list[bytes], ids: list[int] | None) -> str:
     return raw[1:].decode("utf-8", "replace")
 
 
+def spelled(of: pa.LargeBinaryArray, ids: pa.ListArray) -> list[bytes]:
+    """The bytes that lists of pieces stand for, all looked up at once, without the space before a text."""
+    pieces = of.take(ids.values)
+    data = pieces.buffers()[2]
+    raw = data.to_pybytes() if data else b""
+    border = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy())])[ids.offsets.to_numpy()].tolist()
+    return [raw[a + 1:b] for a, b in zip(border[:-1], border[1:])]
+
+
 def _decode(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = byte_table(model)
     for b in slices(batches, 64):
