@@ -53,6 +53,23 @@ def test_toxicity_of_odd_rows(odd, empty, labels):
     assert ordinal_toxicity.fit(empty, labels).weights == {}
 
 
+def test_toxicity_fit_of_repeated_ids_and_texts_without_words(spark):
+    """Each row counts, whatever its id: a table with every row twice gives the weights of one with ids of
+    their own; texts without a word are rows without features, and the rows stay bounded."""
+    texts = [(i, f"vile{i % 3} awful common" if i % 4 == 0 else f"kind{i % 5} common") for i in range(120)] + [(200, ""), (201, None), (202, "-- !"), (203, "")]
+    labels = [(i, int(i % 4 == 0)) for i, _ in texts]
+    once = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    twice = ordinal_toxicity.fit(once.unionByName(once), marks)
+    apart = ordinal_toxicity.fit(once.unionByName(once.withColumn("doc_id", F.col("doc_id") + 1000)), marks.unionByName(marks.withColumn("doc_id", F.col("doc_id") + 1000)))
+    assert twice.weights.keys() == apart.weights.keys() and twice.weights["awful"] > 0
+    assert np.allclose([twice.weights[f] for f in sorted(twice.weights)], [apart.weights[f] for f in sorted(twice.weights)], atol=1e-6)
+    assert np.allclose(twice.thresholds, apart.thresholds, atol=1e-6)
+    assert ordinal_toxicity.without_toxic(once, twice).count() == 120 - 30 + 4
+    bounded = ordinal_toxicity.fit(once.unionByName(once).unionByName(once), marks, rows=124)
+    assert bounded.weights["awful"] > 0
+
+
 # ---- quality
 
 def test_flat_trees_walk_like_nested_ones():

@@ -94,11 +94,17 @@ def fit_ordinal(x: list[dict[int, float]], grades: np.ndarray, width: int, l2: f
     return p[:width], np.concatenate([p[width:width + 1], p[width] + np.cumsum(np.exp(p[width + 1:]))])
 
 
+_FOUND = [("row", pa.int64()), ("key", pa.int64()), ("same", pa.int64()), ("toxic", pa.int32()), ("feature", pa.string()), ("n", pa.int64())]
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a feature; a text without features has one row, whose feature is null."""
     for b in slices(batches):
-        for key, text, toxic in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            f = features(text)
-            yield pa.record_batch([pa.array([key] * len(f), pa.int64()), pa.array([toxic] * len(f), pa.int32()), pa.array(list(f)), pa.array(list(f.values()), pa.int64())], ["key", "toxic", "feature", "n"])
+        for row, key, same, text, toxic in zip(*(b.column(c).to_pylist() for c in ("row", "key", "same", "text", "toxic"))):
+            f = features(text) or {None: 0}
+            of = len(f)
+            values = [[row] * of, [key] * of, [same] * of, [toxic] * of, list(f), list(f.values())]
+            yield pa.record_batch([pa.array(v, t) for v, (_, t) in zip(values, _FOUND)], [n for n, _ in _FOUND])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -112,11 +118,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> Data
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, keep: int = FEATURES) -> Ordinal:
     """Grades from ``label``: where it has two values only, the rows of the higher one are graded 1 to 3
     by thirds of how many occurrences of features that mark it they hold. Without both values among the
-    labels every row has grade zero."""
-    sample = labelled(docs, labels, label, rows).select(F.col("doc_id").alias("key"), "text", F.col("label").cast("int").alias("toxic"))
-    found = cut(sample.mapInArrow(_feature_rows, "key long, toxic int, feature string, n long"), "toxicity-features")
-    per_row = found.groupBy("key").agg(F.max("toxic").alias("toxic"))
-    total = per_row.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("p"), F.max("toxic").alias("top")).first()
+    labels every row has grade zero. Rows that share an id are rows of their own, also where their texts
+    are equal; of more than ``rows`` those with the least hashes of id and text count. A null or empty text
+    is a row without features."""
+    sample = (labelled(docs, labels, label, rows).select(F.col("doc_id").alias("key"), "text", F.col("label").cast("int").alias("toxic"))
+              .withColumns({"same": F.xxhash64("text"), "row": F.monotonically_increasing_id()}))
+    found = cut(sample.mapInArrow(_feature_rows, "row long, key long, same long, toxic int, feature string, n long"), "toxicity-features")
+    per_row = found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("key", "same", "toxic")])
+    totals = lambda df: df.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("p"), F.max("toxic").alias("top")).first()
+    total = totals(per_row)
+    if total["n"] > rows:
+        per_row = cut(per_row.orderBy(F.xxhash64("key"), "key", "same", "row").limit(rows), "toxicity-rows")
+        found, total = found.join(per_row.select("row"), "row", "left_semi"), totals(per_row)
     n, p = total["n"], total["p"]
     if not p or p == n:
         return Ordinal(thresholds=[30.0])
@@ -125,13 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     b, d = p - a, (n - p) - c
     seen = a + c
     g2 = 2 * (cell(a, seen * p / n) + cell(c, seen * (n - p) / n) + cell(b, (n - seen) * p / n) + cell(d, (n - seen) * (n - p) / n))
-    kept = (found.groupBy("feature").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("c"))
+    kept = (found.filter("feature IS NOT NULL").groupBy("feature").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("c"))
             .filter("a + c >= 3").select("feature", g2.alias("g2"), (a / p > c / (n - p)).alias("marks"))
             .filter(F.col("g2") >= EVIDENCE).orderBy(F.desc("g2"), "feature").limit(keep))  # bounded by keep
     kept = cut(kept, "toxicity-kept")
     names = {r["feature"]: (i, r["marks"]) for i, r in enumerate(kept.orderBy("feature").collect())}
-    pairs = found.join(F.broadcast(kept), "feature").groupBy("key").agg(F.map_from_arrays(F.collect_list("feature"), F.collect_list("n")).alias("has"))
-    rows_ = per_row.join(pairs, "key", "left").orderBy("key").collect()
+    pairs = found.join(F.broadcast(kept), "feature").groupBy("row").agg(F.map_from_arrays(F.collect_list("feature"), F.collect_list("n")).alias("has"))
+    rows_ = per_row.join(pairs, "row", "left").orderBy("key", "same", "row").collect()
     x = [{names[f][0]: float(np.log1p(k)) for f, k in sorted((r["has"] or {}).items())} for r in rows_]
     grades = np.array([max(0, r["toxic"]) for r in rows_])
     if total["top"] == 1:
