@@ -28,9 +28,9 @@ NS = "cast(unix_micros({}) * 1000 as string)"
 HEX = "lpad(lower(hex({})), {}, '0')"
 
 
-def run_lines(spark, d):
+def run_lines(spark, d, orders=None):
     """Each order as one export request with its run span; text that no reader has parsed yet."""
-    o = fx.spread(fx.table(spark, d, "orders"))
+    o = fx.spread(fx.table(spark, d, "orders")) if orders is None else orders
     span = ("named_struct('traceId', upper({t}), 'spanId', {s}, 'parentSpanId', '', 'name', '{name}', 'kind', 1, 'startTimeUnixNano', {st}, "
             "'endTimeUnixNano', {en}, 'attributes', array({at}), 'status', named_struct('code', if(o_orderstatus = 'O', 2, 1)))").format(
         t=HEX.format("o_orderkey", 32), s=HEX.format("o_orderkey", 16), name=cv.RUN_SPAN, st=NS.format("o_orderdate"),

@@ -15,7 +15,7 @@ from tracehold import conventions as cv
 from tracehold.operators import governance
 from tracehold.plans import catalogue, rollups
 from tracehold.plans.engine import Engine
-from tracehold.session import scratch
+from tracehold.session import scratch, utc
 from tracehold.sources.batches import nesting, parse_lines
 from tracehold.streaming import hot, live
 from tracehold.streaming.ship import write_batch
@@ -59,16 +59,10 @@ EDGES = f"""{fx.RUNS_SQL.replace("FROM orders)", f'''FROM (SELECT * REPLACE (CAS
 def _engine(spark, d):
     """Orders with a fifth of them at either end of the window, shipped twice and compacted between."""
     root, received = scratch(spark, "engine"), dt.datetime(1995, 3, 10, 8)
-    lines = run_lines(spark, d)
-    key = F.conv(F.get_json_object("line", "$.resourceSpans[0].scopeSpans[0].spans[0].spanId"), 16, 10).cast("bigint")
-    old = F.get_json_object("line", "$.resourceSpans[0].scopeSpans[0].spans[0].startTimeUnixNano")
-    length = F.get_json_object("line", "$.resourceSpans[0].scopeSpans[0].spans[0].endTimeUnixNano").cast("decimal(20,0)") - old.cast("decimal(20,0)")
-    ns = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp()) * 10 ** 9
-    start = F.when(key % 5 == 0, F.lit(ns(UNTIL))).when(key % 5 == 1, F.lit(ns(SINCE))).otherwise(old.cast("bigint"))
-    end = (start.cast("decimal(20,0)") + length).cast("decimal(20,0)").cast("string")
-    moved = F.regexp_replace(F.regexp_replace("line", F.lit(r'"startTimeUnixNano":"\d+"'), F.concat(F.lit('"startTimeUnixNano":"'), start.cast("string"), F.lit('"'))),
-                             F.lit(r'"endTimeUnixNano":"\d+"'), F.concat(F.lit('"endTimeUnixNano":"'), end, F.lit('"')))
-    lines = lines.withColumn("line", moved).withColumns({"class": F.lit("service"), "name": F.lit("svc"), "status": F.lit("ok"), "signal": F.lit("traces")})
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    moved = F.when(key % 5 == 0, F.lit(utc(UNTIL))).when(key % 5 == 1, F.lit(utc(SINCE))).otherwise(date)
+    orders = fx.spread(fx.table(spark, d, "orders")).filter(key.isNotNull() & date.isNotNull()).withColumn("o_orderdate", moved)  # without a time there is nothing to move
+    lines = run_lines(spark, d, orders).withColumns({"class": F.lit("service"), "name": F.lit("svc"), "status": F.lit("ok"), "signal": F.lit("traces")})
     none = spark.createDataFrame([], "run string, valid boolean, lane string, harness string, focus string, item string, step string, budget bigint")
     e = Engine(spark, root, now=received + dt.timedelta(hours=5))
     write_batch(lines, none, root, "c1", "first", received=received)

@@ -9,6 +9,7 @@ from otlp import NOW, event, metric, run, ship, span
 from tracehold import conventions as cv
 from tracehold.plans.engine import Engine, parse_when
 from tracehold.plans.store import Store
+from tracehold.sources.batches import line_signal, line_status, unreadable_lines
 
 H, D, M = (lambda n: dt.timedelta(hours=n)), (lambda n: dt.timedelta(days=n)), (lambda n: dt.timedelta(minutes=n))
 
@@ -282,6 +283,34 @@ def test_a_moved_root(spark, tmp_path):
     assert s.table("traces", [at]).count() == 1
 
 
+def test_covered_batches_are_not_opened(spark, tmp_path, monkeypatch):
+    """Beside a part only batches it does not cover are read, left out by name or, where many are covered, by a join."""
+    root, at = str(tmp_path), NOW - H(3)
+    first = ship(root, "traces", at, run("1", "1", "fix", "converged", "m", 1.0, at), run("2", "2", "fix", "converged", "m", 1.0, at))
+    e = Engine(spark, root, now=NOW)
+    e.store.compact(NOW, lookback=H(8))
+    ship(root, "traces", at, run("2", "2", "fix", "converged", "m", 1.0, at), run("3", "3", "fix", "converged", "m", 1.0, at))
+    copies = lambda: sorted(r.trace_id[-1] for r in e.store.copies("traces", e.store.state("traces", [at]), strict=True).collect())
+    assert copies() == ["1", "2", "2", "3"]
+    monkeypatch.setattr("tracehold.plans.store.BY_NAME", 0)
+    assert copies() == ["1", "2", "2", "3"]
+    monkeypatch.undo()
+    with open(first, "wb") as f:
+        f.write(b"junk")
+    assert copies() == ["1", "2", "2", "3"]
+
+
+def test_lines_without_records(spark, tmp_path):
+    """Each line's status is the reader's, whatever the line holds."""
+    good, log = run("1", "1", "fix", "converged", "m", 1.0, NOW), event("x", NOW)
+    lines = [good, log, good + " ", good[:-1], "", " \t", "\v", "[]", "null", "{}", '{"resourceSpans":null}', '{"resourceSpans":[],"resourceLogs":[]}', '{"resourceSpans":5}', "x" * 5000, '"' + "y" * 5000]
+    path = ship(str(tmp_path), "traces", NOW, *lines)
+    want = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.when((line_status(F.col("line"), 4000) == "ok") & (line_signal(F.col("line")) != "traces"), "malformed")
+                                                                              .otherwise(line_status(F.col("line"), 4000)).alias("status")).filter("status IN ('malformed', 'oversized')")
+    got = unreadable_lines(spark, "traces", [os.path.dirname(path)], 4000)
+    assert sorted(rows(got, "line", "status")) == sorted(rows(want, "line", "status")) and got.count() > 5
+
+
 def test_quarantine_again(spark, tmp_path, monkeypatch):
     """A compaction that fails after the bad lines were written writes none of them twice."""
     root, at = str(tmp_path), NOW - H(5)

@@ -85,6 +85,32 @@ def test_budget_and_marks_over_several_triggers(spark, tmp_path):
     assert shipped(spark, ck + "-ledger").first().asDict() == want
 
 
+def test_lines_of_no_run_stay_in_their_pieces(spark, tmp_path):
+    """Lines that no run wrote are not brought together for the manifests' sake; those of runs have their manifest."""
+    spool, root = spool_of(tmp_path), str(tmp_path / "store")
+    manifests = dims.read_run_manifests(spark, spool + "/manifests")
+    each = [("service", "svc", run(str(i), str(i), "forged", "converged", "m", 1.0, NOW)) for i in range(400)]
+    lines = spark.createDataFrame([(*x, "ok", "traces") for x in each], "class string, name string, line string, status string, signal string").repartition(4)
+    assert len(write_batch(lines, manifests, root, "c1", "b0", received=NOW)) == 4
+    mixed = spark.createDataFrame([(*x, "ok", "traces") for x in [("run", "r1", each[0][2]), ("run", "r2", each[1][2]), (None, None, each[2][2]), each[3]]], lines.schema)
+    write_batch(mixed, manifests, root + "2", "c1", "b1", received=NOW)
+    got = {r.trace_id[-1]: (r.lane, r.item_key, r.provenance) for r in Store(spark, root + "2").table("traces", [NOW]).collect()}
+    assert got == {"0": ("fix", "I-1", "run"), "1": (None, None, "run"), "2": ("forged", None, None), "3": ("forged", None, "service")}
+
+
+def test_a_fill_writes_an_hour_once(spark, tmp_path):
+    """Each event hour of a filled table is one task's files, not every task's."""
+    root, path = str(tmp_path / "store"), str(tmp_path / "hot")
+    ship(root, "traces", NOW - H(1), *[run(str(i), str(i), "fix", "converged", "m", 1.0, NOW - H(1 + i % 3)) for i in range(300)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot.fill(Store(spark, root), path, "traces", H(6), NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(len(glob.glob(f"{h}/*.parquet")) for h in glob.glob(f"{path}/spans/hour=*")) == [1, 1, 1]
+    assert hot.hot_table(spark, path, "traces").count() == 300
+
+
 def test_tail(spark, tmp_path):
     spool = spool_of(tmp_path)
     manifests = dims.read_run_manifests(spark, spool + "/manifests")

@@ -60,7 +60,7 @@ def flatten_spans(raw: DataFrame, erased: Sequence[str] = (), c: cv.Conventions
         otel.otel_status(F.col("sp.status.code")).alias("status"),
         F.col("sp.status.message").alias("status_message"),
         *_promoted(c), otel.attr(F.col("attributes"), c.run_cost).try_cast("double").alias("cost_usd"),
-        "scope", "resource", "attributes", "file", *extra)
+        "scope", "resource", otel.own_projection(F.col("attributes")).alias("attributes"), "file", *extra)
 
 
 def flatten_logs(raw: DataFrame, erased: Sequence[str] = (), identity: str = "logical",
@@ -83,7 +83,7 @@ def flatten_logs(raw: DataFrame, erased: Sequence[str] = (), identity: str = "lo
         otel.otel_text(F.col("lr.severityNumber")).try_cast("int").alias("severity_number"),
         otel.log_body(F.col("lr.body")).alias("body"),
         otel.lower_id(F.col("lr.traceId")).alias("trace_id"), otel.lower_id(F.col("lr.spanId")).alias("span_id"),
-        *_promoted(c), "scope", "resource", "attributes", "file", *extra)
+        *_promoted(c), "scope", "resource", otel.own_projection(F.col("attributes")).alias("attributes"), "file", *extra)
 
 
 _POINT = ("array<struct<type:string,temporality:string,monotonic:boolean,start:string,at:string,value:double,"
@@ -128,7 +128,7 @@ def flatten_points(raw: DataFrame, erased: Sequence[str] = (), identity: str = "
                  F.md5(F.concat("rid", F.coalesce("name", F.lit("")), "p.pid")).alias("record_id"))
     return y.select("record_id", otel.otel_time(F.col("at")).alias("time"), otel.otel_time(F.col("start")).alias("start_time"),
                     "name", "unit", "type", "temporality", "monotonic", "value", "count",
-                    *_promoted(c), "scope", "resource", "attributes", "file", *extra)
+                    *_promoted(c), "scope", "resource", otel.own_projection(F.col("attributes")).alias("attributes"), "file", *extra)
 
 
 FLATTEN = {"traces": flatten_spans, "logs": flatten_logs, "metrics": flatten_points}

@@ -94,12 +94,16 @@ def _pair(key: str, v: Column, kv: T.ArrayType) -> Column:
 
 
 # --- stamping -------------------------------------------------------------------------------------
-def with_manifest(lines: DataFrame, manifests: DataFrame) -> DataFrame:
+def with_manifest(lines: DataFrame, manifests: DataFrame | None) -> DataFrame:
     """Lines of ``class, name`` with the trusted mapping of their run and a warning where it is missing.
 
     An outer equi-join on the run: small manifests are broadcast by Spark's own size check, large ones
-    shuffle, and the adaptive skew join splits a run with most of the lines.
+    shuffle, and the adaptive skew join splits a run with most of the lines. Lines that no run wrote share
+    a name and would meet in one task; a caller that has them apart gives no manifests, and nothing is joined.
     """
+    if manifests is None:
+        return lines.withColumns({n: F.lit(None).cast(t) for n, t in (
+            ("valid", "boolean"), ("budget", "bigint"), ("warning", "string"), *[(f"_{c}", "string") for c in ("run", "lane", "harness", "focus", "item", "step")])})
     m = manifests.select(F.col("run").alias("_run"), "valid", *[F.col(c).alias(f"_{c}") for c in (
         "lane", "harness", "focus", "item", "step")], "budget")
     is_run = F.col("class") == "run"
@@ -112,11 +116,12 @@ def with_manifest(lines: DataFrame, manifests: DataFrame) -> DataFrame:
         "_run", F.when(F.col("valid"), F.col("_run")))
 
 
-def stamp(raw: DataFrame, manifests: DataFrame, collector_id: str, instance: str | None = None, received: Column | None = None) -> DataFrame:
+def stamp(raw: DataFrame, manifests: DataFrame | None, collector_id: str, instance: str | None = None, received: Column | None = None) -> DataFrame:
     """Each resource with the sender's own stamps removed and the reader's put in their place.
 
     ``raw`` has ``class`` and ``name`` of its writer. A run's factory attributes come only from its
-    manifest; without one the record is kept and warned about.
+    manifest; without one the record is kept and warned about. ``manifests`` may be None where no run
+    wrote any of the lines.
     """
     signal, column = _signal_of(raw)
     depth = _depth(raw)

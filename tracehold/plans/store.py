@@ -29,7 +29,7 @@ from tracehold.operators.dedupe import content_order, keep_one, one_per_record
 from tracehold.operators.flatten import flatten_logs, flatten_points, flatten_spans
 from tracehold.plans import rollups
 from tracehold.schemas import ITEM_INDEX, MANIFEST, ROLLUPS, TABLE
-from tracehold.session import cut, prepare, utc
+from tracehold.session import cut, nothing, prepare, utc
 from tracehold.sources.batches import list_files, read_batches, unreadable_lines, whole_files
 from tracehold.sources.keys import batch_hour
 from tracehold.sources.parts import read_parts, write_sorted
@@ -37,6 +37,8 @@ from tracehold.sources.parts import read_parts, write_sorted
 HOUR = "%Y-%m-%d-%H"
 #: Files that are deleted at one time.
 DELETES = 32
+#: Covered batches that a read leaves out by name; more are left out by a join.
+BY_NAME = 1024
 _FLATTEN = {"traces": flatten_spans, "logs": flatten_logs, "metrics": flatten_points}
 
 
@@ -116,7 +118,7 @@ class Store:
         manifest holds a whole path."""
         have = self._values(f"manifests/signal={signal}", "hour=") & set(hours)
         if not have:
-            return self.spark.createDataFrame([], MANIFEST)
+            return nothing(self.spark, MANIFEST)
         base = f"{self.root}/manifests"
         return (self.spark.read.schema(MANIFEST).option("basePath", base)
                 .parquet(*[f"{base}/signal={signal}/hour={h}" for h in sorted(have)]).withColumn("batch", batch_key(F.col("batch"))))
@@ -161,7 +163,7 @@ class Store:
     def read_plan(self, signals: Sequence[str], since: dt.datetime, until: dt.datetime) -> DataFrame:
         """``signal, hour, kind, path`` of what a window reads: trusted parts and uncovered batches."""
         hours = window_hours(since, until)
-        out = self.spark.createDataFrame([], "signal string, hour string, kind string, path string")
+        out = nothing(self.spark, "signal string, hour string, kind string, path string")
         for signal in signals:
             st = self.state(signal, hours)
             parts = [(s.signal, s.hour, "part", f"{self.root}/compacted/signal={s.signal}/hour={s.hour}/n={s.n}") for s in st if s.n]
@@ -174,10 +176,15 @@ class Store:
         extra = {} if signal == "traces" else {"identity": self.identity}
         return _FLATTEN[signal](raw, erased=self.erased, c=self.c, keep=("hour",), **extra)
 
-    def _received(self, signal: str, dirs: Sequence[str], strict: bool = False) -> DataFrame:
-        """Well-formed batches of some hour folders as nested rows with their receipt ``hour``. A strict read
-        fails at what it cannot read, a storage fault included, instead of passing over it."""
-        raw = read_batches(self.spark, signal, dirs, skip_corrupt=not strict)
+    def _received(self, signal: str, dirs: Sequence[str], strict: bool = False, covered: DataFrame | None = None) -> DataFrame:
+        """Well-formed batches of some hour folders as nested rows with their receipt ``hour``, without those a
+        part covers. A strict read fails at what it cannot read, a storage fault included, instead of passing over it."""
+        def uncovered(lines: DataFrame) -> DataFrame:
+            paths = [r.path for r in covered.select("path").limit(BY_NAME + 1).collect()]
+            if len(paths) <= BY_NAME:  # their names are left out where Spark lists files, so they are not opened
+                return lines.filter(~F.col("file").isin(paths)) if paths else lines
+            return lines.join(covered.select("batch"), batch_key(F.col("file")) == F.col("batch"), "left_anti")
+        raw = read_batches(self.spark, signal, dirs, skip_corrupt=not strict, only=None if covered is None else uncovered)
         return raw.withColumn("hour", batch_hour(batch_key(F.col("file")), signal)).filter("hour IS NOT NULL")
 
     def copies(self, signal: str, states: Sequence[HourState], strict: bool = False) -> DataFrame:
@@ -197,9 +204,9 @@ class Store:
         raw = self._received(signal, plain, strict)
         if mixed:
             dirs = [self._batch_dir(signal, s.hour) for s in mixed]
-            covered = (self.latest(signal, [s.hour for s in mixed]).select("batch")
-                       .join(list_files(self.spark, dirs, "*.jsonl.gz").select(batch_key(F.col("path")).alias("batch")), "batch", "left_semi"))
-            raw = raw.unionByName(self._received(signal, dirs, strict).join(covered, batch_key(F.col("file")) == F.col("batch"), "left_anti"))
+            covered = (list_files(self.spark, dirs, "*.jsonl.gz").select("path", batch_key(F.col("path")).alias("batch"))
+                       .join(self.latest(signal, [s.hour for s in mixed]).select("batch"), "batch", "left_semi"))
+            raw = raw.unionByName(self._received(signal, dirs, strict, covered))
         return held.unionByName(self._flat(signal, raw).select(*table))
 
     def table(self, signal: str, hours: Sequence[dt.datetime]) -> DataFrame:
@@ -237,7 +244,7 @@ class Store:
         Returns ``signal, hour, n, records`` of the parts written.
         """
         closed = self.closed_hours(now, lookback, grace)
-        written = self.spark.createDataFrame([], "signal string, hour string, n int, records bigint")
+        written = nothing(self.spark, "signal string, hour string, n int, records bigint")
         touched: dict[str, set[str]] = {}
         purge: dict[str, set[str]] = {}
         for signal in cv.SIGNALS:
@@ -286,7 +293,7 @@ class Store:
     def quarantined(self) -> DataFrame:
         """``kind, path, lines`` of what was kept aside: damaged batches, and batches with lines that hold no
         record, with their number."""
-        files, none = f"{self.root}/quarantine/files", self.spark.createDataFrame([], "kind string, path string, lines bigint")
+        files, none = f"{self.root}/quarantine/files", nothing(self.spark, "kind string, path string, lines bigint")
         if self._exists("quarantine/files"):
             none = none.unionByName(list_files(self.spark, [files], "*.jsonl.gz").select(F.lit("damaged").alias("kind"), "path", F.lit(None).cast("bigint").alias("lines")))
         if any(n.startswith("signal=") for n in self._names("quarantine/lines")):
@@ -300,9 +307,10 @@ class Store:
         numbers = {s.hour: max([s.n, *(int(n) for n in self._values(f"compacted/signal={signal}/hour={s.hour}", "n=") if n.isdigit())]) + 1
                    for s in due}
         number = self.spark.createDataFrame([(h, n) for h, n in numbers.items()], "hour string, n int")
+        number_of = F.try_element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("hour"))
         rows = self.copies(signal, due, strict=True)
         rows = keep_one(rows, ["hour", "record_id"], [F.col("file").asc_nulls_last(), content_order(rows.drop("hour"))])
-        rows = rows.join(number, "hour").withColumn("file", self.part_name(F.lit(signal), F.col("hour"), F.col("n")))
+        rows = rows.withColumn("n", number_of).filter("n IS NOT NULL").withColumn("file", self.part_name(F.lit(signal), F.col("hour"), F.col("n")))
         write_sorted(rows, base, ["time", "record_id"], ["hour", "n"])
         counts = (read_parts(self.spark, signal, [f"{base}/hour={h}/n={n}" for h, n in numbers.items() if self._exists(
             f"compacted/signal={signal}/hour={h}/n={n}")], (), ["hour", "n"], base, check=False)
@@ -449,7 +457,7 @@ class Store:
     def rollup(self, kind: str, period: str) -> DataFrame:
         folder = f"rollups/{kind}/{period}"
         if not self._names(folder):
-            return self.spark.createDataFrame([], ROLLUPS[kind])
+            return nothing(self.spark, ROLLUPS[kind])
         return self.spark.read.schema(ROLLUPS[kind]).parquet(f"{self.root}/{folder}")
 
     def rolled(self, kind: str, period: str) -> set[dt.date]:

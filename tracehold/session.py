@@ -52,6 +52,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nothing(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows of a schema, as a relation that Spark knows to be empty: what is read or joined with it is left
+    out of a plan, where rows made in Python are of unknown size and are shuffled for."""
+    fields = (T.DataType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(1).filter("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def plain_times(df: DataFrame) -> DataFrame:
     """Timestamps without a zone, so an answer reads the same whatever the reader's zone is."""
     return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema.fields

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tracehold import conventions as cv
 from tracehold.schemas import RAW, full
+from tracehold.session import nothing
 
 _PIECE = 1 << 20
-_NEST = '"(?:arrayValue|kvlistValue)"'
+_LISTS = ('"arrayValue"', '"kvlistValue"')
+_NEST = f"(?:{'|'.join(_LISTS)})"
 
 
 def line_signal(line: Column) -> Column:
@@ -41,7 +43,8 @@ def nesting(lines: DataFrame, column: str = "line", most: int = cv.MAX_NESTING)
     """How many levels of lists and maps the deepest attribute value on some lines has: 2 at least, ``most``
     at most. Only lines with more than two lists or maps are read closely, token by token on the JVM."""
     line = F.col(column)
-    many = lines.filter(F.size(F.regexp_extract_all(line, F.lit(_NEST), F.lit(0))) > 2)
+    some = F.contains(line, F.lit(_LISTS[0])) | F.contains(line, F.lit(_LISTS[1]))  # a plain search first: most lines have none
+    many = lines.filter(some & (F.size(F.regexp_extract_all(line, F.lit(_NEST), F.lit(0))) > 2))
     # Open objects as a text, a list or map as one m and any other as one o; a name marks the object after it.
     start = F.struct(F.lit("").alias("open"), F.lit(False).alias("named"), F.lit(0).alias("deepest"))
 
@@ -66,7 +69,7 @@ def parse_lines(lines: DataFrame, signal: str, column: str = "line", whole: bool
 
 
 def empty_raw(spark: SparkSession, signal: str) -> DataFrame:
-    return spark.createDataFrame([], RAW[signal]).withColumn("file", F.lit("").cast("string"))
+    return nothing(spark, RAW[signal]).withColumn("file", F.lit("").cast("string"))
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = True, recurse: bool = True) -> DataFrame:
@@ -77,21 +80,26 @@ def read_lines(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = T
 
 
 def read_batches(spark: SparkSession, signal: str, paths: Sequence[str], skip_corrupt: bool = True,
-                 max_bytes: int = cv.MAX_OBJECT_BYTES) -> DataFrame:
+                 max_bytes: int = cv.MAX_OBJECT_BYTES, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A signal's batches as nested rows with their ``file``, without malformed and oversized lines (which
-    ``unreadable_lines`` gives)."""
+    ``unreadable_lines`` gives). ``only`` picks lines by their file before any is parsed."""
     if not paths:
         return empty_raw(spark, signal)
     lines = read_lines(spark, paths, skip_corrupt).filter(F.octet_length("line") <= max_bytes)
-    return parse_lines(lines, signal)
+    return parse_lines(lines if only is None else only(lines), signal)
 
 
 def unreadable_lines(spark: SparkSession, signal: str, paths: Sequence[str], max_bytes: int = cv.MAX_OBJECT_BYTES) -> DataFrame:
     """``file, status, line`` of the lines of whole batches that carry no record: malformed (or of another
     signal) or oversized."""
-    lines = read_lines(spark, paths, skip_corrupt=False)
-    other = line_signal(F.col("line")) != signal
-    status = F.when((line_status(F.col("line"), max_bytes) == "ok") & other, "malformed").otherwise(line_status(F.col("line"), max_bytes))
+    line, carried = F.col("line"), F.col("carried")
+    read = F.array_compact(F.array(*[F.when(F.get_json_object(line, f"$.{c}").isNotNull(), s) for s, c in cv.RESOURCE_COLUMN.items()]))
+    # A generator, as in parse_lines: a status that is a column is worked out for the filter and again for
+    # the answer, each time with every look into the line that it names.
+    lines = read_lines(spark, paths, skip_corrupt=False).select("file", "line", F.explode(F.array(F.when(F.octet_length(line) <= max_bytes, read))).alias("carried"))
+    own = (F.size(carried) == 1) & (F.get(carried, F.lit(0)) == signal)
+    blank = F.btrim(line, F.lit(" \t\r\n\v\f")) == ""
+    status = F.when(carried.isNull(), "oversized").when(own, "ok").when(blank, "blank").otherwise("malformed")
     return lines.select("file", status.alias("status"), "line").filter("status IN ('malformed', 'oversized')")
 
 
@@ -132,6 +140,6 @@ def whole_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*.jso
 def list_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*") -> DataFrame:
     """``path, size, modified`` of the files under some paths, listed by Spark without reading them."""
     if not paths:
-        return spark.createDataFrame([], "path string, size bigint, modified timestamp")
+        return nothing(spark, "path string, size bigint, modified timestamp")
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
             .load(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")))

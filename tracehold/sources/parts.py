@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tracehold import conventions as cv
 from tracehold.functions import otel
 from tracehold.schemas import TABLE
+from tracehold.session import nothing
 
 VERSION_COLUMN = "_schema_version"
 
@@ -44,7 +45,7 @@ def read_parts(spark: SparkSession, signal: str, paths: Sequence[str], erased: S
     fields += [T.StructField(p, T.StringType()) for p in partition_columns]
     schema = T.StructType(fields)
     if not paths:
-        return spark.createDataFrame([], schema).drop(VERSION_COLUMN)
+        return nothing(spark, schema).drop(VERSION_COLUMN)
     reader = spark.read.schema(schema)
     if base:
         reader = reader.option("basePath", base)

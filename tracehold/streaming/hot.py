@@ -18,7 +18,7 @@ from tracehold.plans import catalogue
 from tracehold.plans.engine import LONG_RANGE, QUERIES, Engine
 from tracehold.plans.store import Store, window_hours
 from tracehold.schemas import TABLE
-from tracehold.session import utc
+from tracehold.session import nothing, utc
 from tracehold.sources.batches import parse_lines
 from tracehold.sources.keys import batch_hour
 
@@ -41,7 +41,7 @@ def hot_table(spark: SparkSession, hot: str, signal: str, hours: Sequence[str] |
     path = f"{hot}/{cv.TABLES[signal]}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
+        return nothing(spark, schema)
     df = spark.read.schema(schema).parquet(path)
     return df.filter(F.col("hour").isin(list(hours))) if hours is not None else df
 
@@ -70,7 +70,9 @@ def fill(store: Store, hot: str, signal: str, window: dt.timedelta, now: dt.date
     since = at - window
     copies = store.copies(signal, store.state(signal, window_hours(since, at)), strict=True).drop("hour")
     held = hot_table(spark, hot, signal).select("record_id")
-    new_records(_recent(copies, since), held).write.mode("append").partitionBy("hour").parquet(f"{hot}/{cv.TABLES[signal]}")
+    # Rebalanced by hour, as parts are: otherwise each task writes a file for each event hour of a long window.
+    fresh = new_records(_recent(copies, since), held).hint("rebalance", "hour")
+    fresh.write.mode("append").partitionBy("hour").parquet(f"{hot}/{cv.TABLES[signal]}")
     if _held_since(spark, hot, signal) is None:
         spark.createDataFrame([(since,)], "since timestamp_ntz").coalesce(1).write.mode("overwrite").parquet(f"{hot}/{_FILLED}/{cv.TABLES[signal]}")
 

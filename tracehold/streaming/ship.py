@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracehold import conventions as cv
 from tracehold.operators.governance import mark_unknown, stamp, within_budget
-from tracehold.session import cut
+from tracehold.session import cut, nothing
 from tracehold.sources.batches import nesting, parse_lines
 from tracehold.sources.spool import counters, read_spool
 
@@ -32,7 +32,7 @@ def ship_id(received: dt.datetime, seed: str) -> str:
 def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(f"{schema}, batch string").parquet(path) if there else spark.createDataFrame([], f"{schema}, batch string")
+    return spark.read.schema(f"{schema}, batch string").parquet(path) if there else nothing(spark, f"{schema}, batch string")
 
 
 def _kept(lines: DataFrame, good: DataFrame, manifests: DataFrame, ledger: str, seed: str) -> DataFrame:
@@ -78,11 +78,17 @@ def write_batch(lines: DataFrame, manifests: DataFrame, root: str, collector_id:
     good = good.persist()
     try:
         depth = nesting(good)
-        signals = [r.signal for r in good.select("signal").distinct().collect()]
-        for signal in sorted(signals):
+        by_run = F.col("class").eqNullSafe("run")
+        sides = [(r.signal, r.by_run) for r in good.select("signal", by_run.alias("by_run")).distinct().collect()]
+        for signal in sorted({s for s, _ in sides}):
             column = cv.RESOURCE_COLUMN[signal]
-            raw = parse_lines(good.filter(F.col("signal") == signal).select("line", "class", "name", *(["over_budget"] if ledger is not None else [])), signal, whole=True, depth=depth)
-            out = stamp(raw, manifests, collector_id, instance, F.lit(now.replace(tzinfo=dt.timezone.utc)))
+            lines_of = good.filter(F.col("signal") == signal).select("line", "class", "name", *(["over_budget"] if ledger is not None else []))
+            # Only lines of runs are joined with manifests: the others stay in the pieces they come in.
+            out = None
+            for run in sorted(run for s, run in sides if s == signal):
+                raw = parse_lines(lines_of.filter(by_run if run else ~by_run), signal, whole=True, depth=depth)
+                one = stamp(raw, manifests if run else None, collector_id, instance, F.lit(now.replace(tzinfo=dt.timezone.utc)))
+                out = one if out is None else out.unionByName(one)
             out = out if registry is None else mark_unknown(out, registry)
             staging = f"{root}/.staging/{seed}-{signal}"
             out.select(F.to_json(F.struct(column)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(staging)
